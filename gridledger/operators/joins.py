@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridledger import dims
 from gridledger.functions import fixed_values as fv
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import display_name, norm_text, squeeze
 
 
@@ -73,14 +74,17 @@ def match_word_terms(texts: DataFrame, vocab: DataFrame, key: str, text: str) ->
     """
     terms = vocab.select("label", norm_text(F.col("term")).alias("term")).where("term <> ''").distinct()
     sizes = sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())
-    words = F.split(norm_text(F.col(text)), " ")
-    runs = F.flatten(F.array(*[
-        F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(
+    words = F.col("_words")
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) >= n, F.transform(
+            starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
                 F.array().cast("array<string>"))
-        for n in sizes]))
-    grams = texts.select(key, F.explode(F.array_distinct(runs)).alias("term"))
+
+    split = compute_once(texts.select(key, text), {"_words": F.split(norm_text(F.col(text)), " ")})
+    grams = split.select(key, F.explode(F.array_distinct(F.flatten(
+        F.array(*[runs(n) for n in sizes])))).alias("term"))
     return grams.join(terms, "term").select(key, "label", "term")
 
 

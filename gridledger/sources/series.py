@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.functions.numbers import parse_numeric
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import blank, strip
 from gridledger.functions.times import parse_period
 
@@ -60,20 +61,21 @@ def read_series_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.try_variant_get("record", f"$.{name}", "string").alias(name)
+    return F.try_variant_get("record", f"$.{name}", "string")
 
 
 def parse_series_lines(lines: DataFrame, keep: tuple[str, ...] = ("file", "block", "row")) -> DataFrame:
     """One row per non-blank line, ``reject_reason`` null for usable series."""
-    parsed = lines.where(~blank(F.col("line"))).withColumn("record", F.try_parse_json("line"))
+    parsed = compute_once(lines.where(~blank(F.col("line"))), {"record": F.try_parse_json("line")})
     listed = F.expr("try_variant_get(record, '$.data', 'array<variant>')")
     reason = (
         F.when(F.col("record").isNull(), "malformed_json")
         .when(blank(F.col("series_id")), "no_series_id")
         .when(F.col("data").isNull(), "no_data_array")
     )
-    typed = parsed.select(*keep, *[_field(n) for n in SERIES_FIELDS], listed.alias("data"), "record")
-    return typed.withColumn("reject_reason", reason).drop("record")
+    typed = compute_once(parsed, {**{n: _field(n) for n in SERIES_FIELDS}, "data": listed})
+    return typed.withColumn("reject_reason", reason).select(
+        *keep, *SERIES_FIELDS, "data", "reject_reason")
 
 
 def valid_series(series: DataFrame) -> DataFrame:
@@ -100,6 +102,9 @@ def explode_observations(series: DataFrame, keep: tuple[str, ...] = ("series_id"
           for k in ("period", "timestamp", "date")])
     value = F.coalesce(F.try_variant_get("item", "$[1]", "string"),
                        F.try_variant_get("item", "$.value", "string"))
-    rows = items.select(*keep, "pos", period.alias("period"), parse_numeric(value).alias("value"))
+    texts = compute_once(items, {"period": period, "number": value}).where(
+        "period is not null and number is not null")
+    rows = compute_once(texts, {"value": parse_numeric(F.col("number"))}).select(
+        *keep, "pos", "period", "value")
     return (rows.where(F.col("period").isNotNull() & F.col("value").isNotNull())
             .withColumn("ts", parse_period(F.col("period"))))
