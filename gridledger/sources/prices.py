@@ -63,8 +63,17 @@ def typed_price_rows(rows: DataFrame) -> DataFrame:
     })
 
 
+def _decode(raw: bytes) -> str | None:
+    for encoding in fv.CSV_ENCODINGS:
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return None
+
+
 def _open_archive(content: bytes):
-    """(member name, text, reject reason) of one landed archive."""
+    """(member name, text or list of error bodies, reject reason) of one landed archive."""
     import io
     import zipfile
 
@@ -75,7 +84,7 @@ def _open_archive(content: bytes):
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
-        return None, None, "bad_zip"
+        return None, [_decode(content) or ""], "bad_zip"
     members = [m for m in archive.infolist() if not m.is_dir()]
     names = [m.filename.lower() for m in members]
     tables = [m for m in members if m.filename.lower().endswith(".csv")]
@@ -91,14 +100,12 @@ def _open_archive(content: bytes):
     elif tables[0].file_size > fv.ARCHIVE_MAX_MEMBER_BYTES:
         reject = "member_too_large"
     if reject:
-        return None, None, reject
-    raw = archive.read(tables[0])
-    for encoding in fv.CSV_ENCODINGS:
-        try:
-            return tables[0].filename, raw.decode(encoding), None
-        except UnicodeDecodeError:
-            continue
-    return None, None, "undecodable"
+        errors = [_decode(archive.read(m)) or "" for m in members
+                  if m.filename.lower().endswith(".xml")
+                  and m.file_size <= fv.ARCHIVE_MAX_MEMBER_BYTES] if reject == "xml_only" else None
+        return None, errors, reject
+    text = _decode(archive.read(tables[0]))
+    return (tables[0].filename, text, None) if text is not None else (None, None, "undecodable")
 
 
 def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +118,7 @@ def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"]):
             member, text, reject = _open_archive(bytes(content) if content is not None else b"")
             if reject:
-                out.append((path, None, 0, None, None, reject))
+                out.append((path, None, 0, None, text, reject))
                 continue
             header = None
             for number, cells in enumerate(r for r in csv.reader(io.StringIO(text)) if r):
@@ -131,6 +138,7 @@ def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def price_archive_rows(archives: DataFrame) -> DataFrame:
     """``path, content`` rows to CSV records; a rejected archive gives one row.
 
+    The row of a body that is XML (zipped or plain) carries its text in ``cells``.
     A ZIP cannot be split, so one archive is opened by one task; its records
     leave in batches. Archives are independent, so they spread over the cluster.
     """
@@ -142,6 +150,13 @@ def read_price_archives(spark: SparkSession, path: str) -> DataFrame:
     return price_archive_rows(files)
 
 
+def detect_price_errors(archives: DataFrame) -> DataFrame:
+    """Error message of each rejected archive, null when its body names none."""
+    found = F.filter(F.transform("cells", price_error), lambda m: m.isNotNull())
+    return archives.where("reject_reason is not null").select(
+        "path", "reject_reason", F.get(found, F.lit(0)).alias("message"))
+
+
 _NAMED_ERROR = r"(?is)<(?:ERR_DESC|ERROR_DESC|MESSAGE)>(.*?)</(?:ERR_DESC|ERROR_DESC|MESSAGE)>"
 
 

@@ -45,8 +45,8 @@ def parse_reactor_tables(pages: DataFrame, key: str = "page_id", html: str = "ht
         F.when(~is_row, _region(_plain(F.col("token")))).alias("named"),
         F.when(is_row, cells).alias("cells"))
     rows = rows.withColumn("region", _carry(key)).where(F.col("is_row") & (F.size("cells") >= 2))
-    power = F.nullif(F.regexp_extract(F.col("cells")[1], r"-?\d+", 0), F.lit("")).try_cast("int")
-    rows = rows.withColumns({"unit_name": F.col("cells")[0], "power_percent": power})
+    power = F.nullif(F.regexp_extract(F.get("cells", F.lit(1)), r"-?\d+", 0), F.lit("")).try_cast("int")
+    rows = rows.withColumns({"unit_name": F.get("cells", F.lit(0)), "power_percent": power})
     return _usable(rows, key, ("unit", "reactor"))
 
 
