@@ -28,4 +28,5 @@ def parse_opt_int(c: Column) -> Column:
 
 
 def round_half_up(c: Column, digits: int = 3) -> Column:
-    return F.round(c, digits)
+    """Half up on the value at nine decimals, so summation noise cannot flip a tie."""
+    return F.round(c.cast("decimal(28,9)"), digits).cast("double")

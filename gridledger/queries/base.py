@@ -63,7 +63,7 @@ def sql_nth(values: Sequence[str], index: str) -> str:
     return f"{sql_list(values)}[(({index}) % {len(values)}) + 1]"
 
 
-AS_OF = "2024-02-01 06:30:00"
+AS_OF = "2024-01-04 02:30:00"  # 3 January in the market zone
 
 # Energy phrases appended to the conversation texts, so that every label of the
 # classifiers occurs somewhere in the questions.

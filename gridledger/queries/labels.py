@@ -167,7 +167,7 @@ def first_rule_sql(column: str, rules, default: str) -> str:
 
 MARKET_SQL = f"""parsed AS (SELECT *, {first_rule_sql('lower(question)', fv.MARKET_RULES, 'GENERAL')} AS market,
   {first_rule_sql('lower(question)', fv.INTENT_RULES, 'general')} AS intent,
-  CASE WHEN contains(lower(question), 'yesterday') THEN '2024-01-30' WHEN contains(lower(question), 'today') THEN '2024-01-31' END AS requested_date,
+  CASE WHEN contains(lower(question), 'yesterday') THEN '2024-01-02' WHEN contains(lower(question), 'today') THEN '2024-01-03' END AS requested_date,
   len(regexp_extract_all(question, '{fv.NODE_PATTERN}')) AS node_count FROM questions)"""
 
 

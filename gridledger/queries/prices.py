@@ -261,7 +261,7 @@ q AS (SELECT o_orderkey AS question_id, o_orderkey % 7 AS ask, (o_orderkey // 7)
 r AS (SELECT *, CASE ask WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 6 THEN 0 END AS hub,
    CASE WHEN mw IN (0, 1, 2, 7, 8) THEN 'DAM' WHEN mw IN (3, 9) THEN 'FMM' WHEN mw = 4 THEN 'AMBIGUOUS'
         WHEN mw = 5 THEN 'RTM' ELSE 'UNSPECIFIED' END AS market,
-   CASE form WHEN 4 THEN DATE '2024-01-30' WHEN 5 THEN DATE '2024-01-29' WHEN 6 THEN DATE '2024-01-31'
+   CASE form WHEN 4 THEN DATE '2024-01-02' WHEN 5 THEN DATE '2024-01-01' WHEN 6 THEN DATE '2024-01-03'
         WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL ELSE day END AS market_date FROM q),
 resolved AS (SELECT *, {sql_list(HUB_NAMES)}[hub + 1] AS location, ['NP-15', 'SP-15', 'ZP-26'][hub + 1] AS display_name,
    CASE WHEN hub IS NULL THEN 'unsupported_location' WHEN market = 'UNSPECIFIED' THEN 'needs_clarification'

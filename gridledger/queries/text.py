@@ -211,13 +211,13 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = varied_urls(spark, sf_dir).withColumn("url", F.trim("url"))
     out = urls.join(pages, "page_id")
     return out.select(
-        F.pmod("page_id", F.lit(23)).alias("question_id"), F.col("page_id").alias("pos"),
+        F.expr("page_id div 12").alias("question_id"), F.col("page_id").alias("pos"),
         nth(PHRASES, F.col("page_id") * 3).alias("title"), nth(PHRASES, F.col("page_id") + 5).alias("snippet"),
-        "url", F.lit("").alias("domain"), nth(PHRASES, F.pmod("page_id", F.lit(23))).alias("question"))
+        "url", F.lit("").alias("domain"), nth(PHRASES, F.expr("page_id div 12")).alias("question"))
 
 
-RESULTS_SQL = f"""results AS (SELECT page_id % 23 AS question_id, page_id AS pos, {sql_nth(PHRASES, 'page_id * 3')} AS title,
-   {sql_nth(PHRASES, 'page_id + 5')} AS snippet, url, host, {sql_nth(PHRASES, 'page_id % 23')} AS question FROM split)"""
+RESULTS_SQL = f"""results AS (SELECT page_id // 12 AS question_id, page_id AS pos, {sql_nth(PHRASES, 'page_id * 3')} AS title,
+   {sql_nth(PHRASES, 'page_id + 5')} AS snippet, url, host, {sql_nth(PHRASES, 'page_id // 12')} AS question FROM split)"""
 TIER_SQL = """CASE WHEN list_has_any({c}, [host]) OR {cs} THEN 'controlling' WHEN list_has_any({a}, [host]) OR {as_} THEN 'authoritative'
   WHEN host <> '' THEN 'supporting' ELSE 'unknown' END""".format(
     c=sql_list(fv.CONTROLLING_DOMAINS), cs="(" + " OR ".join(f"ends_with(host, '.{d}')" for d in fv.CONTROLLING_DOMAINS) + ")",
