@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
 from gridledger.functions.numbers import round_half_up
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import (
     content_fingerprint, contains_count, matched_terms, strip, tokenize)
 from gridledger.functions.urls import (
@@ -64,7 +65,7 @@ def score_discovery(df: DataFrame) -> DataFrame:
 
     Needs the plan terms, ``host``, and the authority ``tier`` of the host.
     """
-    df = df.withColumn("_text", F.lower(F.concat_ws(" ", "title", "snippet", "url")))
+    df = compute_once(df, {"_text": F.lower(F.concat_ws(" ", "title", "snippet", "url"))})
     text, name = F.col("_text"), F.col("host")
     listed = F.exists("official_domains", lambda d: (
         (name == F.regexp_replace(F.lower(strip(d)), r"^www\.", ""))
@@ -85,7 +86,7 @@ def score_discovery(df: DataFrame) -> DataFrame:
         - F.when(low_value(F.col("title"), F.col("snippet"), F.col("url")), 15.0).otherwise(0.0))
     every = F.array_union(F.array_union("question_terms", "entity_terms"),
                           F.array_union("geography_terms", "intent_terms"))
-    return df.withColumns({
+    return compute_once(df, {
         "official": official, "score": round_half_up(score),
         "matched": F.array_sort(matched_terms(text, every))}).drop("_text")
 
@@ -97,7 +98,7 @@ def score_page(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     for the compatible setting) restricts the look-up to the leading window.
     """
     body = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
-    df = df.withColumn("_text", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), body)))
+    df = compute_once(df, {"_text": F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), body))})
     text = F.col("_text")
     low = F.lower(F.coalesce("title", F.lit("")))
     score = (
@@ -108,8 +109,8 @@ def score_page(df: DataFrame, max_chars: int | None = None) -> DataFrame:
         + F.least(F.length("text") / 8000, F.lit(2.0))
         + F.least(F.col("discovery_score") / 20, F.lit(2.0)))
     every = F.array_union(F.array_union("question_terms", "entity_terms"), F.col("geography_terms"))
-    return df.withColumns({"relevance": round_half_up(score),
-                           "matched": F.array_sort(matched_terms(text, every))}).drop("_text")
+    return compute_once(df, {"relevance": round_half_up(score),
+                             "matched": F.array_sort(matched_terms(text, every))}).drop("_text")
 
 
 def source_tier(name: Column) -> Column:
@@ -129,27 +130,31 @@ def score_source(results: DataFrame, question: str = "question") -> DataFrame:
     terms = F.array_distinct(F.filter(F.transform(
         F.split(strip(F.col(question)), r"\s+"), lambda w: F.lower(F.regexp_replace(w, edge, ""))),
         lambda w: F.length(w) >= 3))
-    df = results.withColumns({"domain": domain, "source_tier": tier,
-                              "_text": F.lower(F.concat_ws(" ", "title", "snippet", domain))})
-    return df.withColumn("score", bonus + F.size(matched_terms(F.col("_text"), terms)) * 4.0
-                         + contains_count(F.col("_text"), fv.ENERGY_TERMS) * 1.5).drop("_text")
+    df = compute_once(results, {
+        "domain": domain, "source_tier": tier, "_bonus": bonus, "_terms": terms,
+        "_text": F.lower(F.concat_ws(" ", "title", "snippet", domain))})
+    score = (F.col("_bonus") + F.size(matched_terms(F.col("_text"), F.col("_terms"))) * 4.0
+             + contains_count(F.col("_text"), fv.ENERGY_TERMS) * 1.5)
+    return compute_once(df, {"score": score}).drop("_text", "_bonus", "_terms")
 
 
 def group_candidates(scored: DataFrame, key: str = "question_id") -> DataFrame:
     """Per canonical URL: best-scored result, first position, distinct queries.
 
-    The best row is chosen by a pruned rank and query lists are built from rows
-    already reduced to one per (URL, query), a set bounded by the plan's queries.
+    One pass over the scored rows: they are first reduced per (URL, query), which
+    combines on the map side, so the list of a URL is bounded by its plan's queries.
     """
-    best = top_k(scored, [key, "url"], [F.col("score").desc(), F.col("pos").asc()], 1)
-    per_query = scored.where(F.coalesce("query", F.lit("")) != "").groupBy(key, "url", "query").agg(
+    fields = [c for c in scored.columns if c not in (key, "url", "query")]
+    per_query = scored.groupBy(key, "url", "query").agg(
+        F.max_by(F.struct(*fields), F.struct("score", (-F.col("pos")).alias("p"))).alias("best"),
         F.min("pos").alias("p"))
-    queries = per_query.groupBy(key, "url").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("p", "query"))), lambda s: s["query"]).alias("queries"))
-    first = scored.groupBy(key, "url").agg(F.min("pos").alias("first_pos"))
-    return (best.drop("pos", "query").join(first, [key, "url"]).join(queries, [key, "url"], "left")
-            .withColumnRenamed("first_pos", "pos")
-            .withColumn("queries", F.coalesce("queries", F.array().cast("array<string>"))))
+    asked = F.when(F.coalesce("query", F.lit("")) != "", F.struct("p", "query"))
+    grouped = per_query.groupBy(key, "url").agg(
+        F.max_by("best", F.struct(F.col("best.score"), (-F.col("best.pos")).alias("p"))).alias("best"),
+        F.min("p").alias("first_pos"), F.array_sort(F.collect_list(asked)).alias("asked"))
+    return grouped.select(
+        key, "url", *[F.col(f"best.{c}").alias(c) for c in fields if c != "pos"],
+        F.col("first_pos").alias("pos"), F.transform("asked", lambda s: s["query"]).alias("queries"))
 
 
 def provider_counts(results: DataFrame, key: str = "question_id") -> DataFrame:
@@ -176,7 +181,7 @@ def accept_validated(docs: DataFrame, min_score: float = 0.62) -> DataFrame:
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("relevance_score")))
     scope = F.lower(strip(F.col("source_scope")))
     scope = F.when(scope.isin("direct", "partial", "background", "irrelevant"), scope).otherwise("irrelevant")
-    docs = docs.withColumns({"semantic_score": score, "scope": scope})
+    docs = compute_once(docs, {"semantic_score": score, "scope": scope})
     ok = (F.col("semantic_score") >= min_score) & F.col("scope").isin("direct", "partial")
     return docs.withColumns({
         "accepted": ok,
@@ -228,7 +233,7 @@ def limitations(reasons: DataFrame, key: str = "question_id", pos: str = "pos",
 
 # ---- greedy de-duplication ---------------------------------------------------
 def with_dedup_keys(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
-    return docs.withColumns({
+    return compute_once(docs, {
         "dedup_url": dedup_url(F.col("url")),
         "fingerprint": content_fingerprint(F.col("text"), max_chars),
         "generic": is_generic_homepage(F.col("title"), F.col("url"), F.col("scope"))})

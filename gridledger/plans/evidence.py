@@ -6,12 +6,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridledger.functions.plan import compute_once
 from gridledger.functions.urls import canonicalize_url, host
 from gridledger.operators.evidence import (
     accept_validated, dedup_capped, group_candidates, packet_rollup, page_gate, retained_rollup,
     score_discovery, score_page, validated_rollup, with_dedup_keys, with_plan_terms)
 from gridledger.operators.joins import join_authority
 from gridledger.operators.ranking import cap_documents, top_candidates
+from gridledger.session import cut_lineage
 from gridledger.sources.web import extract_page_text
 
 PLAN_COLUMNS = ("question_terms", "entity_terms", "geography_terms", "intent_terms", "entities",
@@ -34,8 +36,8 @@ def discover(plans: DataFrame, results: DataFrame, authorities: DataFrame, k: in
     columns scoring needs travel with the join.
     """
     terms = with_plan_terms(plans).select("question_id", *PLAN_COLUMNS)
-    clean = results.withColumn("url", canonicalize_url(F.col("url"))).where("url <> ''")
-    clean = join_authority(clean.withColumn("host", host(F.col("url"))), "host", authorities)
+    clean = compute_once(results, {"url": canonicalize_url(F.col("url"))}).where("url <> ''")
+    clean = join_authority(compute_once(clean, {"host": host(F.col("url"))}), "host", authorities)
     scored = score_discovery(clean.join(terms, "question_id")).drop(*PLAN_COLUMNS)
     return top_candidates(group_candidates(scored), k)
 
@@ -54,7 +56,7 @@ def collect(candidates: DataFrame, plans: DataFrame, pages: DataFrame, authoriti
         F.col("title").alias("result_title"), "official")
     wanted = pages.join(tried.select("url").distinct(), "url", "left_semi")
     texts = extract_page_text(wanted).drop("html")
-    texts = join_authority(texts.withColumn("host", host(F.col("final_url"))), "host", authorities)
+    texts = join_authority(compute_once(texts, {"host": host(F.col("final_url"))}), "host", authorities)
     docs = tried.join(texts, "url", "left").withColumn(
         "reject_reason", F.when(F.col("final_url").isNull(), "not_fetched").otherwise(F.col("reject_reason")))
     docs = score_page(docs.join(terms, "question_id"), max_chars).drop(*PLAN_COLUMNS)
@@ -69,9 +71,14 @@ def collect(candidates: DataFrame, plans: DataFrame, pages: DataFrame, authoriti
 def evidence_batch(plans: DataFrame, results: DataFrame, pages: DataFrame, scores: DataFrame,
                    authorities: DataFrame) -> EvidenceTables:
     """Discovery to retained evidence. ``scores`` holds the model's verdict per
-    (question_id, url): relevance_score, relevant, answerable, source_scope."""
-    candidates = discover(plans, results, authorities)
-    documents = collect(candidates, plans, pages, authorities)
+    (question_id, url): relevance_score, relevant, answerable, source_scope.
+
+    Candidates (at most 30 per question) and tried documents (at most 12) are
+    checkpointed: several outputs read them, and neither the scoring nor the page
+    extraction should run once per output.
+    """
+    candidates = cut_lineage(discover(plans, results, authorities))
+    documents = cut_lineage(collect(candidates, plans, pages, authorities))
     accepted = documents.where("accepted").withColumn("request_url", F.col("url")).withColumn(
         "url", F.col("final_url")).drop("accepted")
     packets = packet_rollup(accepted)

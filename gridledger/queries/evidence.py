@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridledger import dims
 from gridledger.functions import fixed_values as fv
+from gridledger.functions.plan import compute_once
 from gridledger.functions.urls import canonicalize_url, host
 from gridledger.operators.evidence import (
     accept_validated, dedup_capped, greedy_dedup, group_candidates, limitations, merge_queries,
@@ -112,8 +113,8 @@ disc AS (SELECT *, {ROUND.format('''1.2 * len(list_filter(qt, lambda w: contains
 
 def scored(spark, sf_dir):
     terms = with_plan_terms(plans(spark, sf_dir))
-    rows = web_and_news(spark, sf_dir).withColumn("url", canonicalize_url(F.col("url")))
-    rows = join_authority(rows.withColumn("host", host(F.col("url"))), "host", dims.authorities(spark))
+    rows = compute_once(web_and_news(spark, sf_dir), {"url": canonicalize_url(F.col("url"))})
+    rows = join_authority(compute_once(rows, {"host": host(F.col("url"))}), "host", dims.authorities(spark))
     return score_discovery(rows.join(terms.drop("search_queries"), "question_id"))
 
 
@@ -150,7 +151,7 @@ def _discover(spark, sf_dir):
 # ---- pages fetched for candidates -----------------------------------------------------------
 def landed_pages(spark, sf_dir):
     """Page bodies keyed by canonical URL, the lowest page id of a URL."""
-    urls = varied_urls(spark, sf_dir).withColumn("url", canonicalize_url(F.col("url")))
+    urls = compute_once(varied_urls(spark, sf_dir), {"url": canonicalize_url(F.col("url"))})
     pages = urls.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     return top_k(pages, ["url"], [F.col("page_id").asc()], 1).select("url", F.col("url").alias("final_url"), "page_id", "html")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridledger import dims
 from gridledger.functions import fixed_values as fv
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import (
     answer_terms, content_fingerprint, display_name, extract_entities, extract_nodes,
     freshness_need, norm_text, normalize_route, power_full, power_online, tokenize)
@@ -109,7 +110,7 @@ def varied_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(F.pmod(i, F.lit(4)) == 3, F.regexp_replace(url, "^http", "HTTP")).otherwise(url)
     url = F.when(F.pmod(i, F.lit(17)) == 8, F.concat(F.lit("  "), url, F.lit(" "))).otherwise(url)
     url = F.when(F.pmod(i, F.lit(31)) == 9, F.lit("no scheme/path")).otherwise(url)
-    return pages.select("page_id", url.alias("url"))
+    return compute_once(pages.select("page_id", "url"), {"url": url})
 
 
 VARIED_SQL = f"""v0 AS (SELECT page_id, regexp_replace(url, 'example\\.(com|net|org)', {sql_nth(HOSTS, 'page_id')}) AS u FROM pages),
@@ -194,7 +195,6 @@ def _match_word_terms(spark, sf_dir):
 @register("match_terms", f"""WITH {QUESTIONS_SQL}, {rules_cte('vocab', fv.TOPIC_TERMS)}
 SELECT question_id, label, count(*) AS hits FROM questions JOIN vocab ON contains(lower(question), term) GROUP BY 1, 2""")
 def _match_terms(spark, sf_dir):
-    from gridledger.functions.plan import compute_once
     from gridledger.functions.text import contains_count
 
     q = compute_once(questions(spark, sf_dir), {"low": F.lower("question")})

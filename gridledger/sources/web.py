@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import SPACE, squeeze, strip
 
 # ---- fixed values: named characters that are decoded ------------------------
@@ -61,7 +62,7 @@ def extract_page_text(pages: DataFrame, html: str = "html", content_type: str |
     text = F.when(plain, strip(source)).otherwise(page_text(source))
     if max_chars is not None:
         text = strip(F.substring(text, 1, max_chars))
-    out = pages.withColumns({"title": F.when(plain, "").otherwise(page_title(source)), "text": text})
+    out = compute_once(pages, {"title": F.when(plain, "").otherwise(page_title(source)), "text": text})
     known = kind.isin("text/html", "application/xhtml+xml", "text/plain")
     return out.withColumn("reject_reason", F.when(~known, "unsupported_content_type").when(
         F.length(F.coalesce("text", F.lit(""))) < min_chars, "insufficient_text"))
@@ -87,7 +88,7 @@ def extract_page_blocks(pages: DataFrame, html: str = "html", content_type: str
     source = F.col(html)
     is_json = F.lower(F.col(content_type)).contains("json") if content_type else F.lit(False)
     title = F.coalesce(F.nullif(page_title(source), F.lit("")), F.lit("Official source"))
-    out = pages.withColumns({
+    out = compute_once(pages, {
         "title": F.when(is_json, "Structured official response").otherwise(title),
         "text": F.when(is_json, source).otherwise(page_blocks(source))})
     bad_json = is_json & F.try_parse_json(source).isNull()
