@@ -13,6 +13,7 @@ from gridledger.operators.gates import (
 from gridledger.operators.joins import match_providers
 from gridledger.operators.labels import classify_questions, plan_capabilities, plan_retrieval
 from gridledger.operators.ranking import number_sources, until_satisfied
+from gridledger.session import cut_lineage
 from gridledger.sources.api_pages import fetch_status
 
 METHOD_SLOTS = 8  # more than the methods one provider can have
@@ -43,7 +44,8 @@ def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
     ``questions``: question_id, question, claim_type, credentials, licenses,
     evaluated_at. ``fetches``: question_id, provider_id, method, status_code.
     ``records``: question_id, provider_id, method, record_no and the fields of
-    ``draft_answers`` and ``quality_inputs``.
+    ``draft_answers`` and ``quality_inputs``. The walked attempts and the records
+    they yielded feed several outputs, so both are checkpointed.
     """
     steps = planned_attempts(questions)
     ids = ["question_id", "provider_id", "method"]
@@ -55,12 +57,13 @@ def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
     attempts = attempts.withColumns({
         "records": F.when(ok, F.coalesce("records", F.lit(0))).otherwise(0),
         "primary_records": F.when(ok, F.coalesce("primary_records", F.lit(0))).otherwise(0)})
-    attempts = until_satisfied(attempts, min_records=min_records, require_primary=require_primary)
+    attempts = cut_lineage(until_satisfied(attempts, min_records=min_records,
+                                           require_primary=require_primary))
 
     used = attempts.where(F.col("records") > 0).select(*ids, F.col("pos").alias("attempt_pos"))
     kept = records.join(used, ids)
     step = F.lit(1 << 40)
-    kept = kept.withColumn("pos", F.col("attempt_pos") * step + F.col("record_no"))
+    kept = cut_lineage(kept.withColumn("pos", F.col("attempt_pos") * step + F.col("record_no")))
     claim_types = questions.select("question_id", "question", "claim_type", "evaluated_at")
 
     inputs = quality_inputs(kept, keys=questions).join(claim_types, "question_id")
