@@ -1,7 +1,9 @@
 """Question labels by keyword tables.
 
-Every classifier is a projection over the row's own text: one substring or
-padded-word test per term inside generated code, no explode and no shuffle.
+The terms of all vocabularies a classifier needs are found in one pass over the
+text (``find_terms``); a vocabulary is then a literal array of (order, label, term
+numbers) compared with the found numbers by higher-order functions. The plan stays
+small however many terms there are: no explode, no join, no shuffle.
 """
 from __future__ import annotations
 
@@ -12,50 +14,73 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
 from gridledger.functions.plan import compute_once
-from gridledger.functions.text import (
-    contains_any, contains_count, extract_entities, extract_nodes, freshness_need, has_word,
-    norm_text, strip, text_array)
+from gridledger.functions.terms import find_terms
+from gridledger.functions.text import extract_nodes, norm_text, strip, text_array
 from gridledger.functions.times import local_day
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
-def _pick(keys: Sequence[Column], labels: Sequence[str], default: str) -> Column:
-    """Label of the greatest key; equal keys keep listing order; zero is no match."""
-    n = len(labels)
-    best = F.greatest(*[k * n + (n - 1 - i) for i, k in enumerate(keys)])
-    return F.when(best < n, F.lit(default)).otherwise(
-        F.element_at(text_array(labels), (n - F.pmod(best, F.lit(n))).cast("int")))
-
-
-def argmax_label(text: Column, rules: Rules, default: str) -> Column:
-    """Most matching terms, then the longest matching term, then listing order."""
-    keys = []
-    for _, terms in rules:
-        lengths = [F.when(text.contains(t), len(t)).otherwise(0) for t in terms]
-        longest = F.greatest(*lengths) if len(lengths) > 1 else lengths[0]
-        keys.append(contains_count(text, terms) * 1000 + longest)
-    return _pick(keys, [label for label, _ in rules], default)
-
-
-def priority_label(normalized: Column, rules: Rules, default: Column) -> Column:
-    """Most whole-word hits, ties by listing priority."""
-    keys = []
-    for _, terms in rules:
-        count = F.lit(0)
-        for term in terms:
-            count = count + has_word(normalized, term).cast("int")
-        keys.append(count)
-    label = _pick(keys, [name for name, _ in rules], "")
-    return F.when(label == "", default).otherwise(label)
-
-
-def first_rule(text: Column, rules: Rules, default: str | None) -> Column:
-    """First rule with any matching substring."""
-    out = F.lit(default)
-    for label, terms in reversed(list(rules)):
-        out = F.when(contains_any(text, terms), label).otherwise(out)
-    return out
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array(terms: Sequence[str]) -> str:
+    return f"array({', '.join(_quote(t) for t in terms)})"
+
+
+class Terms:
+    """Distinct terms of several vocabularies, searched together.
+
+    ``found`` is the name of the column that holds ``find_terms`` output.
+    """
+
+    def __init__(self, *vocabularies: Rules, found: str = "_found") -> None:
+        self.found = found
+        self.terms = tuple(dict.fromkeys(t for rules in vocabularies for _, ts in rules for t in ts))
+        self._number = {t: i for i, t in enumerate(self.terms)}
+
+    def search(self, df: DataFrame, text: Column) -> DataFrame:
+        return df.withColumn(self.found, find_terms(text, self.terms))
+
+    def _rows(self, rules: Rules) -> str:
+        """SQL literal: array of (ord, label, ids, lens) in listing order."""
+        rows = []
+        for i, (label, terms) in enumerate(rules):
+            ids = ", ".join(str(self._number[t]) for t in terms)
+            lens = ", ".join(f"named_struct('id', {self._number[t]}, 'len', {len(t)})" for t in terms)
+            rows.append(f"named_struct('ord', {i}, 'label', {_quote(label)}, 'ids', array({ids}), 'lens', array({lens}))")
+        return f"array({', '.join(rows)})"
+
+    def any_of(self, terms: Sequence[str]) -> Column:
+        """Whether any listed term was found."""
+        ids = ", ".join(str(self._number[t]) for t in terms)
+        return F.expr(f"arrays_overlap({self.found}, array({ids}))")
+
+    def best_label(self, rules: Rules, default: str, longest: bool = True) -> Column:
+        """Label with most found terms, then the longest one (when ``longest``), then order."""
+        length = (f"coalesce(array_max(transform(filter(v.lens, t -> array_contains({self.found}, t.id)),"
+                  " t -> t.len)), 0)") if longest else "0"
+        row = F.expr(
+            f"array_max(transform(filter({self._rows(rules)}, v -> arrays_overlap(v.ids, {self.found})),"
+            f" v -> named_struct('n', size(array_intersect(v.ids, {self.found})), 'len', {length},"
+            " 'ord', -v.ord, 'label', v.label)))")
+        return F.coalesce(row["label"], F.lit(default))
+
+    def first_rule(self, rules: Rules, default: str | None = None) -> Column:
+        """First rule with any found term."""
+        label = F.expr(f"get(filter({self._rows(rules)}, v -> arrays_overlap(v.ids, {self.found})), 0).label")
+        return F.coalesce(label, F.lit(default)) if default is not None else label
+
+    def labels(self, rules: Rules) -> Column:
+        """Labels of all rules with a found term, in listing order."""
+        return F.expr(f"transform(filter({self._rows(rules)}, v -> arrays_overlap(v.ids, {self.found})), v -> v.label)")
+
+
+def _whole_words(rules: Rules) -> Rules:
+    """Terms padded with spaces, for look-up in padded ``norm_text`` output."""
+    return [(label, tuple(dict.fromkeys(f" {t.replace('-', ' ')} " for t in terms)))
+            for label, terms in rules]
 
 
 def first_pattern(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -72,15 +97,25 @@ def keywords(c: Column) -> Column:
                     lambda w: F.length(w) >= 3)
 
 
+# Literal spellings that must occur before a mention pattern is worth testing.
+_MENTION_HINTS = [(name, (name.lower(), name.lower().replace("-", "")) if "15" in name else (name.lower(),))
+                  for _, name in fv.ENTITY_MENTIONS]
+
+
 def classify_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Commodity, topic, geography, entities and keywords."""
-    return (compute_once(compute_once(questions, {"_low": F.lower(text)}), {
-        "commodity": argmax_label(F.col("_low"), fv.COMMODITY_TERMS, "unknown"),
-        "topic": argmax_label(F.col("_low"), fv.TOPIC_TERMS, "general"),
-        "geography": argmax_label(F.col("_low"), fv.GEOGRAPHY_TERMS, "unknown"),
-        "entities": extract_entities(F.col(text)),
-        "keywords": keywords(F.col(text)),
-    }).drop("_low"))
+    terms = Terms(fv.COMMODITY_TERMS, fv.TOPIC_TERMS, fv.GEOGRAPHY_TERMS, _MENTION_HINTS)
+    df = terms.search(questions, F.lower(text))
+    df = compute_once(df, {
+        "commodity": terms.best_label(fv.COMMODITY_TERMS, "unknown"),
+        "topic": terms.best_label(fv.TOPIC_TERMS, "general"),
+        "geography": terms.best_label(fv.GEOGRAPHY_TERMS, "unknown")})
+    hints = dict(_MENTION_HINTS)
+    mentions = [F.when(terms.any_of(hints[name]) & F.col(text).rlike(rf"(?i)\b{pattern}\b"), F.lit(name))
+                for pattern, name in fv.ENTITY_MENTIONS]
+    return df.withColumns({
+        "entities": F.array_compact(F.array_distinct(F.array(*mentions))),
+        "keywords": keywords(F.col(text))}).drop("_found")
 
 
 # ---- fixed values: topic groups and deductions ------------------------------
@@ -111,57 +146,60 @@ def plan_capabilities(classified: DataFrame) -> DataFrame:
         "minimum_sources": F.when(cross, 2).otherwise(1)})
 
 
-def route_domain(normalized: Column) -> Column:
-    fallback = F.when(contains_any(normalized, fv.GENERAL_ENERGY_WORDS), "general_energy").otherwise("unknown")
-    return priority_label(normalized, fv.DOMAIN_TERMS, fallback)
-
-
-def route_geography(normalized: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for label, terms in reversed(fv.ROUTE_GEOGRAPHY_TERMS):
-        hit = F.lit(False)
-        for term in dict.fromkeys(t.replace("-", " ") for t in terms):
-            hit = hit | has_word(normalized, term)
-        out = F.when(hit, label).otherwise(out)
-    return out
+_ROUTE_DOMAINS = _whole_words(fv.DOMAIN_TERMS)
+_ROUTE_PLACES = _whole_words(fv.ROUTE_GEOGRAPHY_TERMS)
+_ROUTE_ENTITIES = _whole_words([(e, (e,)) for e in fv.ROUTE_ENTITIES])
 
 
 def route_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Domain, mode, freshness, geography, entities, providers, cross-source flag."""
-    df = compute_once(questions, {"_norm": norm_text(F.col(text))})
-    norm = F.col("_norm")
-    df = compute_once(df, {"domain": route_domain(norm), "geography": route_geography(norm)})
+    terms = Terms(_ROUTE_DOMAINS, _ROUTE_PLACES, _ROUTE_ENTITIES, [("explain", fv.EXPLAIN_TERMS)],
+                  [("energy", fv.GENERAL_ENERGY_WORDS)], [("live", fv.LIVE_TERMS)],
+                  [("current", fv.CURRENT_TERMS)])
+    # The pad lets a term with spaces around it match at both ends. It cannot make
+    # an unpadded term appear, except one ending in a space, which is tested apart.
+    norm = norm_text(F.col(text))
+    df = terms.search(questions, F.concat(F.lit(" "), norm, F.lit(" ")))
+    fallback = F.when(terms.any_of(fv.GENERAL_ENERGY_WORDS), "general_energy").otherwise("unknown")
+    current = [t for t in fv.CURRENT_TERMS if not t.endswith(" ")]
+    inner = [t for t in fv.CURRENT_TERMS if t.endswith(" ")]
+    ends_inside = F.lit(False)
+    for term in inner:
+        ends_inside = ends_inside | (terms.any_of([term]) & norm.contains(term))
+    freshness = (
+        F.when(terms.any_of(fv.LIVE_TERMS), "live")
+        .when(terms.any_of(current) | ends_inside, "current")
+        .when(norm.rlike(r"\b(19|20)\d{2}\b"), "historical").otherwise("stable"))
+    df = compute_once(df, {
+        "domain": F.coalesce(F.nullif(terms.best_label(_ROUTE_DOMAINS, "", longest=False), F.lit("")), fallback),
+        "geography": terms.first_rule(_ROUTE_PLACES), "_explain": terms.any_of(fv.EXPLAIN_TERMS)})
     domain = F.col("domain")
     mode = (
         F.when(domain == "unknown", "clarification")
         .when(domain.isin(*fv.DOCUMENT_DOMAINS), "official_document")
-        .when(contains_any(norm, fv.EXPLAIN_TERMS), "hybrid_research")
-        .when(domain == "general_energy", "hybrid_research")
+        .when(F.col("_explain") | (domain == "general_energy"), "hybrid_research")
         .otherwise("structured_data"))
-    entities = F.array_compact(F.array(*[
-        F.when(has_word(norm, e.replace("-", " ")), F.lit(e)) for e in fv.ROUTE_ENTITIES]))
     providers = F.array().cast("array<string>")
     for name, plans in fv.ROUTE_PROVIDERS:
         providers = F.when(domain == name, text_array([p.split("/")[0] for p in plans])).otherwise(providers)
-    df = df.withColumns({
-        "mode": mode, "freshness": freshness_need(F.col(text)),
-        "entities": entities, "providers": providers})
+    df = df.withColumns({"mode": mode, "providers": providers, "freshness": freshness,
+                         "entities": terms.labels(_ROUTE_ENTITIES)})
     cross = (domain != "unknown") & ((F.col("mode") == "hybrid_research")
                                      | domain.isin(*fv.CROSS_SOURCE_DOMAINS))
-    return df.withColumn("cross_source", cross).drop("_norm")
+    return df.withColumn("cross_source", cross).drop("_found", "_explain")
 
 
 def parse_market_questions(questions: DataFrame, as_of: str = "as_of",
                            text: str = "question") -> DataFrame:
     """Market, intent, nodes and a relative date."""
-    low = F.lower(text)
+    terms = Terms(fv.MARKET_RULES, fv.INTENT_RULES, [("day", ("yesterday", "today"))])
     today = local_day(F.col(as_of))
-    return compute_once(questions, {
-        "market": first_rule(low, fv.MARKET_RULES, "GENERAL"),
-        "intent": first_rule(low, fv.INTENT_RULES, "general"),
+    return compute_once(terms.search(questions, F.lower(text)), {
+        "market": terms.first_rule(fv.MARKET_RULES, "GENERAL"),
+        "intent": terms.first_rule(fv.INTENT_RULES, "general"),
         "nodes": extract_nodes(F.col(text)),
-        "requested_date": F.when(low.contains("yesterday"), F.date_sub(today, 1))
-                           .when(low.contains("today"), today)})
+        "requested_date": F.when(terms.any_of(["yesterday"]), F.date_sub(today, 1))
+                           .when(terms.any_of(["today"]), today)}).drop("_found")
 
 
 def plan_research(parsed: DataFrame, text: str = "question") -> DataFrame:
@@ -183,8 +221,11 @@ def plan_research(parsed: DataFrame, text: str = "question") -> DataFrame:
                    "The requested market date is ambiguous.")))})
 
 
-def source_intent(c: Column) -> Column:
-    return first_rule(F.lower(c), fv.SOURCE_INTENT_RULES, "general")
+def with_source_intent(questions: DataFrame, text: str = "question") -> DataFrame:
+    """Intent that selects a question's allowed domains."""
+    terms = Terms(fv.SOURCE_INTENT_RULES)
+    df = terms.search(questions, F.lower(text))
+    return compute_once(df, {"source_intent": terms.first_rule(fv.SOURCE_INTENT_RULES, "general")}).drop("_found")
 
 
 def resolve_authority(c: Column) -> Column:
@@ -260,35 +301,31 @@ def plan_retrieval(matched: DataFrame, credentials: str = "credentials",
         "method_pos": F.coalesce("method_pos", F.lit(0))})
 
 
-def resolve_hub(text: Column) -> Column:
-    """Struct (location, display_name): exact spelling, else exactly one embedded hub."""
+def resolve_hub(text: str) -> Column:
+    """Struct (location, display_name): exact spelling, else exactly one embedded hub.
+
+    ``text`` names a column holding ``norm_text`` output.
+    """
     from gridledger.dims import norm
 
-    exact = F.lit(None).cast("int")
-    inside = []
-    for i, (canonical, display, words) in reversed(list(enumerate(fv.HUBS))):
-        full = sorted({norm(w) for w in (canonical, display, *words)})
-        exact = F.when(text.isin(*full), i).otherwise(exact)
-    for i, (_, display, words) in enumerate(fv.HUBS):
-        inside.append(contains_any(text, sorted({norm(w) for w in (display, *words)})))
-    hits = sum((h.cast("int") for h in inside[1:]), inside[0].cast("int"))
-    only = F.lit(None).cast("int")
-    for i, hit in enumerate(inside):
-        only = F.when(hit, i).otherwise(only)
-    chosen = F.coalesce(exact, F.when(hits == 1, only))
-    return F.struct(
-        F.get(text_array([h[0] for h in fv.HUBS]), chosen).alias("location"),
-        F.get(text_array([h[1] for h in fv.HUBS]), chosen).alias("display_name"))
-
-
-def resolve_price_market(text: Column) -> Column:
+    hubs = []
+    for i, (canonical, display, words) in enumerate(fv.HUBS):
+        inside = sorted({norm(w) for w in (display, *words)})
+        hubs.append(f"named_struct('location', {_quote(canonical)}, 'display_name', {_quote(display)},"
+                    f" 'exact', {_array([norm(canonical), *inside])}, 'inside', {_array(inside)})")
+    table = f"array({', '.join(hubs)})"
+    exact = f"filter({table}, h -> array_contains(h.exact, {text}))"
+    inside = f"filter({table}, h -> exists(h.inside, w -> contains({text}, w)))"
+    return F.expr(f"coalesce(get({exact}, 0), CASE WHEN size({inside}) = 1 THEN get({inside}, 0) END)")
+
+
+def resolve_price_market(text: str) -> Column:
     """DAM, FMM, RTM; UNSPECIFIED when none is named, AMBIGUOUS when several are."""
-    hits = [(code, contains_any(text, terms)) for code, *_, terms in fv.PRICE_MARKETS]
-    n = sum((h.cast("int") for _, h in hits[1:]), hits[0][1].cast("int"))
-    out = F.lit("UNSPECIFIED")
-    for code, hit in hits:
-        out = F.when(hit, code).otherwise(out)
-    return F.when(n > 1, "AMBIGUOUS").otherwise(out)
+    rows = ", ".join(f"named_struct('code', {_quote(code)}, 'terms', {_array(terms)})"
+                     for code, *_, terms in fv.PRICE_MARKETS)
+    found = F.expr(f"transform(filter(array({rows}), m -> exists(m.terms, t -> contains({text}, t))), m -> m.code)")
+    return F.when(F.size(found) == 0, "UNSPECIFIED").when(F.size(found) > 1, "AMBIGUOUS").otherwise(
+        F.get(found, F.lit(0)))
 
 
 def is_blank_question(c: Column) -> Column:

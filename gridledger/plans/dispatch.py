@@ -8,6 +8,7 @@ from gridledger.operators.labels import resolve_authority, resolve_metric, route
 from gridledger.plans.prices import answer_prices
 from gridledger.plans.reactors import answer_reactors
 from gridledger.plans.series import answer_operating
+from gridledger.session import cut_lineage
 
 UNKNOWN_ANSWER = "Please provide an energy-market, fuel, asset, regulatory or grid-related question."
 PLANNED_ANSWER = ("The question was classified successfully, but its live source executor has not"
@@ -40,8 +41,12 @@ def research_explanation(df: DataFrame) -> DataFrame:
 
 def dispatch(questions: DataFrame, price_rows: DataFrame, series: DataFrame,
              units: DataFrame) -> DataFrame:
-    """One answer row per question; each pathway only sees its own questions."""
-    routed = assign_pathways(questions).select("question_id", "question", "as_of", "domain", "pathway")
+    """One answer row per question; each pathway only sees its own questions.
+
+    The routed questions are checkpointed once, because every pathway reads them.
+    """
+    routed = cut_lineage(assign_pathways(questions).select(
+        "question_id", "question", "as_of", "domain", "pathway"))
 
     def of(name: str) -> DataFrame:
         return routed.where(F.col("pathway") == name)

@@ -19,7 +19,7 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
     """Hub, market, date and window of each question, with one status."""
     df = compute_once(questions, {"_norm": norm_text(F.col(text))})
     df = compute_once(df, {
-        "_hub": resolve_hub(F.col("_norm")), "market": resolve_price_market(F.col("_norm")),
+        "_hub": resolve_hub("_norm"), "market": resolve_price_market("_norm"),
         "market_date": resolve_market_date(F.col(text), F.col(as_of), zone)})
     df = df.withColumns({"location": F.col("_hub.location"), "display_name": F.col("_hub.display_name")})
     status = (

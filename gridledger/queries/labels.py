@@ -9,7 +9,7 @@ from gridledger.operators.joins import match_providers, match_sources, restrict_
 from gridledger.operators.labels import (
     CROSS_CHECK_TOPICS, CURRENT_TOPICS, EXACT_TOPICS, STRUCTURED_INTENTS, WEB_INTENTS,
     classify_questions, parse_market_questions, plan_capabilities, plan_research, plan_retrieval,
-    route_questions, source_intent)
+    route_questions, with_source_intent)
 from gridledger.plans.dispatch import assign_pathways, research_explanation
 from gridledger.queries.base import (
     QUESTIONS_SQL, joined, norm_sql, nth, questions, register, rules_cte, sql_list, sql_nth,
@@ -208,7 +208,7 @@ i AS (SELECT question_id, {first_rule_sql('lower(question)', fv.SOURCE_INTENT_RU
 d(source_intent, allowed_domains) AS (VALUES {sql_rows([(n, '|'.join(ds)) for n, ds in fv.INTENT_DOMAINS])})
 SELECT question_id, source_intent, allowed_domains FROM i JOIN d USING (source_intent)""")
 def _restrict_domains(spark, sf_dir):
-    out = restrict_domains(questions(spark, sf_dir).withColumn("source_intent", source_intent(F.col("question"))))
+    out = restrict_domains(with_source_intent(questions(spark, sf_dir)))
     return out.select("question_id", "source_intent", joined(F.col("allowed_domains")).alias("allowed_domains"))
 
 

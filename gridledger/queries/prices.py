@@ -375,8 +375,8 @@ def _price_records(spark, sf_dir):
 @register("resolve_hub", f"""WITH {PRICE_QUESTIONS_SQL} SELECT question_id, location, display_name, market FROM resolved""")
 def _resolve_hub(spark, sf_dir):
     q = price_questions(spark, sf_dir).withColumn("n", norm_text(F.col("question")))
-    return q.withColumn("h", resolve_hub(F.col("n"))).select(
-        "question_id", "h.location", "h.display_name", resolve_price_market(F.col("n")).alias("market"))
+    return q.withColumn("h", resolve_hub("n")).select(
+        "question_id", "h.location", "h.display_name", resolve_price_market("n").alias("market"))
 
 
 _FORMS = ("iso", "month_first", "day_first", "slash", "yesterday", "two_days_back", "today", "iso",
