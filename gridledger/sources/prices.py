@@ -146,6 +146,8 @@ def price_archive_rows(archives: DataFrame) -> DataFrame:
 
 
 def read_price_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Landed archive files. Spark's file scan leaves out zero-byte files, so an
+    empty response is only reported when bodies come from a table."""
     files = spark.read.format("binaryFile").load(path)
     return price_archive_rows(files)
 
