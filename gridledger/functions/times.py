@@ -51,7 +51,7 @@ def parse_price_ts(c: Column) -> Column:
 _MONTH = ("(January|February|March|April|May|June|July|August|September|October|November|December"
           "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)")
 _ISO_DAY = r"\b(20\d{2})-(\d{2})-(\d{2})\b"
-_MONTH_FIRST = rf"(?i)\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(20\d{{2}})\b"
+_MONTH_FIRST = rf"(?i)\b(?=[JFMASOND]){_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(20\d{{2}})\b"
 _DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH}\s*,?\s*(20\d{{2}})\b"
 _SLASH_DAY = r"\b(\d{1,2})/(\d{1,2})/(20\d{2})\b"
 

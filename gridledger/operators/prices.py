@@ -1,7 +1,7 @@
 """Price selection, coverage and day summaries."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
@@ -65,10 +65,9 @@ def summarize_days(intervals: DataFrame) -> DataFrame:
 
 
 def coverage(row_count: Column, actual: Column, expected: Column, bad: Column) -> Column:
-    """empty, a row fault, duplicate, misaligned, incomplete or complete."""
+    """A row fault, duplicate, misaligned, incomplete or complete."""
     return (
-        F.when(row_count.isNull(), "empty")
-        .when(bad.isNotNull(), bad)
+        F.when(bad.isNotNull(), bad)
         .when(row_count > actual, "duplicate")
         .when(expected.isNull(), "misaligned_window")
         .when(actual == expected, "complete")
@@ -81,29 +80,26 @@ def coverage_status(summaries: DataFrame) -> DataFrame:
 
 
 def price_day_summary(rows: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
-    """One row per hub, market and local day with its coverage."""
-    return coverage_status(with_window(summarize_days(select_lmp_rows(rows, zone)), zone))
+    """One row per hub, market and local day with its coverage, in one pass.
+
+    A row whose start cannot be read belongs to no known day and faults all days
+    of its hub and market; that look-up runs over the few summarised rows.
+    """
+    days = summarize_days(select_lmp_rows(rows, zone))
+    lost = F.when(F.col("market_date").isNull(), F.col("bad_row"))
+    fault = F.min(lost).over(Window.partitionBy("location", "market"))
+    days = days.withColumn("bad_row", F.coalesce(fault, F.col("bad_row"))).where("market_date is not null")
+    return coverage_status(with_window(days, zone))
 
 
 def summarize_prices(rows: DataFrame, queries: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
-    """Summary for each query (location, market, market_date).
+    """Summary for each query (location, market, market_date); no rows is ``empty``.
 
-    Days are summarised once; questions then meet one row per day, so a day that
-    a third of all questions ask about is not summarised per question. A row whose
-    start cannot be read belongs to no known day and faults its hub and market.
+    Days are summarised once; queries then meet one row per day, so a day that a
+    third of all questions ask about is not summarised per question.
     """
-    marked = select_lmp_rows(rows, zone)
-    asked = queries.select(*DAY_KEYS).distinct()
-    unplaced = (marked.where("market_date is null").groupBy("location", "market")
-                .agg(F.min("bad_row").alias("unplaced")))
-    days = summarize_days(marked.where("market_date is not null").join(
-        asked, list(DAY_KEYS), "left_semi"))
-    full = with_window(asked.join(days, list(DAY_KEYS), "left").join(
-        unplaced, ["location", "market"], "left"), zone)
-    full = full.withColumn("bad_row", F.coalesce("unplaced", "bad_row")).withColumn(
-        "row_count", F.when(F.col("unplaced").isNotNull(), F.coalesce("row_count", F.lit(0)))
-        .otherwise(F.col("row_count"))).drop("unplaced")
-    return queries.join(coverage_status(full), list(DAY_KEYS))
+    out = queries.join(price_day_summary(rows, zone), list(DAY_KEYS), "left")
+    return out.withColumn("coverage", F.coalesce("coverage", F.lit("empty")))
 
 
 def _table(column: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -5,10 +5,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions.numbers import round_half_up
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import strip
-from gridledger.functions.times import iso_utc
-from gridledger.operators.ranking import keep_last, top_k
-from gridledger.sources.series import explode_observations, valid_series
+from gridledger.functions.times import iso_utc, parse_period
+from gridledger.operators.ranking import top_k
+from gridledger.sources.series import read_item, valid_series
 
 
 def series_stats(observations: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -22,23 +23,31 @@ def latest_observations(series: DataFrame, wanted: DataFrame | None = None) -> D
     """One row per series id: first record of the id, its unit and latest value.
 
     ``wanted`` (a table of series ids) prunes records before their arrays are
-    opened. A record that fails a rule keeps its reason instead of a value.
+    opened. A record that fails a rule keeps its reason instead of a value. A
+    series arrives as one record, so its array is reduced in place: the greatest
+    (timestamp, position) is the latest observation with the last element winning.
     """
     named = series.where(F.col("reject_reason").isNull() | (F.col("reject_reason") == "no_data_array"))
     named = named.withColumn("series_id", strip(F.col("series_id")))
     if wanted is not None:
         named = named.join(wanted.select("series_id").distinct(), "series_id", "left_semi")
-    first = top_k(named, ["series_id"], [F.col("file"), F.col("block"), F.col("row")], 1)
-    first = valid_series(first)
-    rows = explode_observations(first.where("reject_reason is null"))
-    faults = rows.groupBy("series_id").agg(F.count_if(F.col("ts").isNull()).alias("bad_periods"))
-    stats = series_stats(keep_last(rows.where("ts is not null")))
-    heads = first.select("series_id", "name", "unit", "last_updated", "description", "file",
-                         F.col("reject_reason").alias("head_reason"))
-    out = heads.join(faults, "series_id", "left").join(stats, "series_id", "left")
-    reason = F.coalesce("head_reason", F.when(F.col("bad_periods") > 0, "unsupported_period"),
-                        F.when(F.col("observation_count").isNull(), "no_observations"))
-    return out.withColumn("source_reject", reason).drop("head_reason", "bad_periods")
+    first = valid_series(top_k(named, ["series_id"], [F.col("file"), F.col("block"), F.col("row")], 1))
+    usable = F.when(F.col("reject_reason").isNull(), F.col("data"))
+    first = compute_once(first, {"_read": F.filter(
+        F.transform(usable, read_item), lambda o: o["period"].isNotNull() & o["value"].isNotNull())})
+    first = compute_once(first, {"_obs": F.transform("_read", lambda o, i: F.struct(
+        parse_period(o["period"]).alias("ts"), i.alias("pos"), o["value"].alias("value")))})
+    count = F.size(F.array_distinct(F.transform("_obs", lambda o: o["ts"])))
+    faulty = F.exists("_obs", lambda o: o["ts"].isNull())
+    reason = F.coalesce("reject_reason", F.when(faulty, "unsupported_period"),
+                        F.when(F.size("_obs") == 0, "no_observations"))
+    out = compute_once(first, {"source_reject": reason, "_last": F.array_max("_obs")})
+    sound = F.col("source_reject").isNull()
+    return out.select(
+        "series_id", "name", "unit", "last_updated", "description", "file", "source_reject",
+        F.when(sound, count).otherwise(0).alias("observation_count"),
+        F.when(sound, F.col("_last.ts")).alias("latest_ts"),
+        F.when(sound, F.col("_last.value")).alias("latest_value"))
 
 
 def operating_answer_text(authority: Column, label: Column, value: Column, unit: Column, ts: Column,

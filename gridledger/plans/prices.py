@@ -9,7 +9,7 @@ from gridledger.functions.plan import compute_once
 from gridledger.functions.text import norm_text
 from gridledger.functions.times import market_date_status, resolve_market_date
 from gridledger.operators.labels import is_blank_question, resolve_hub, resolve_price_market
-from gridledger.operators.prices import DAY_KEYS, price_answer_text, summarize_prices, with_window
+from gridledger.operators.prices import DAY_KEYS, price_answer_text, price_day_summary, with_window
 
 CLARIFY_ANSWER = "Please specify which CAISO market price you want."
 
@@ -33,16 +33,17 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
 
 
 def answer_prices(questions: DataFrame, price_rows: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """Answered, held (faulty or incomplete day) or unresolved price questions.
+    """Answered, held (faulty, empty or incomplete day) or unresolved price questions.
 
-    Resolved questions are reduced to their distinct hub-market-days before the
-    price rows are touched, and meet one finished summary row each.
+    Questions are resolved once and meet one finished summary row each.
     """
-    resolved = resolve_price_questions(questions, as_of)
-    keys = list(DAY_KEYS)
-    asked = resolved.where("status = 'resolved'").select(*keys).distinct()
-    days = summarize_prices(price_rows, asked).drop("utc_start", "utc_end")
-    out = resolved.drop("expected_count").join(days, keys, "left")
+    resolved = resolve_price_questions(questions, as_of).drop("utc_start", "utc_end", "expected_count")
+    open_keys = [F.when(F.col("status") == "resolved", F.col(k)).alias(f"_{k}") for k in DAY_KEYS]
+    days = price_day_summary(price_rows).select(
+        *[F.col(k).alias(f"_{k}") for k in DAY_KEYS], "coverage", "expected_count", "actual_count",
+        "average_price", "minimum_price", "maximum_price", "minimum_start", "maximum_start", "utc_end")
+    out = resolved.select("*", *open_keys).join(days, [f"_{k}" for k in DAY_KEYS], "left")
+    out = out.drop(*[f"_{k}" for k in DAY_KEYS])
     direct, explain = price_answer_text(F.col("display_name"))
     complete = F.coalesce(F.col("coverage") == "complete", F.lit(False))
     status = F.when(F.col("status") == "resolved", F.when(complete, "answered").otherwise("held")).otherwise(

@@ -22,9 +22,10 @@ def plant_query(question: Column) -> Column:
 
 
 def latest_report(units: DataFrame) -> DataFrame:
-    """Units of the newest dated report."""
-    newest = units.agg(F.max("report_date").alias("report_date"))
-    return units.join(newest, "report_date")
+    """Units of the newest dated report; of several with one date, the highest id."""
+    newest = units.where("report_date is not null").agg(
+        F.max_by("page_id", F.struct("report_date", "page_id")).alias("page_id"))
+    return units.join(newest, "page_id")
 
 
 def answer_reactors(questions: DataFrame, units: DataFrame) -> DataFrame:

@@ -327,7 +327,7 @@ def _reactor_records(spark, sf_dir):
                        "flags.calculation_verified")
 
 
-REACTOR_ANSWER_SQL = f"""{UNIT_SQL}, last_units AS (SELECT * FROM units WHERE report_date = (SELECT max(report_date) FROM units)),
+REACTOR_ANSWER_SQL = f"""{UNIT_SQL}, last_units AS (SELECT * FROM units WHERE k = (SELECT arg_max(k, (report_date, k)) FROM units)),
 plants AS (SELECT plant, min(power_percent) AS lo, max(power_percent) AS hi, string_agg(unit_name || ': ' || power_percent || '%', ', ' ORDER BY ord, unit_name, power_percent) AS listing
    FROM last_units JOIN (VALUES ('Diablo Canyon'), ('Palo Verde')) p(plant) ON contains(unit_name, plant) GROUP BY plant),
 rq AS (SELECT question_id, CASE WHEN contains(' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ', ' diablo canyon ') THEN 'Diablo Canyon'
@@ -354,7 +354,7 @@ def _plant_query(spark, sf_dir):
     return questions(spark, sf_dir).select("question_id", plant_query(F.col("question")).alias("plant_query"))
 
 
-@register("latest_report", f"WITH {UNIT_SQL} SELECT k AS page_id, unit_name FROM units WHERE report_date = (SELECT max(report_date) FROM units)")
+@register("latest_report", f"WITH {UNIT_SQL} SELECT k AS page_id, unit_name FROM units WHERE k = (SELECT arg_max(k, (report_date, k)) FROM units)")
 def _latest_report(spark, sf_dir):
     return latest_report(report_units(spark, sf_dir)).select("page_id", "unit_name")
 

@@ -89,6 +89,17 @@ def valid_series(series: DataFrame) -> DataFrame:
     return series.withColumns({"unit": unit, "reject_reason": reason})
 
 
+def read_item(item: Column | str) -> Column:
+    """Struct (period, value) of one data item: a pair or an object."""
+    period = F.coalesce(
+        F.try_variant_get(item, "$[0]", "string"),
+        *[F.nullif(F.try_variant_get(item, f"$.{k}", "string"), F.lit(""))
+          for k in ("period", "timestamp", "date")])
+    value = F.coalesce(F.try_variant_get(item, "$[1]", "string"),
+                       F.try_variant_get(item, "$.value", "string"))
+    return F.struct(period.alias("period"), parse_numeric(value).alias("value"))
+
+
 def explode_observations(series: DataFrame, keep: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """Array items (pairs or objects) to ``period, ts, value, pos`` rows.
 
@@ -96,15 +107,7 @@ def explode_observations(series: DataFrame, keep: tuple[str, ...] = ("series_id"
     unreadable period stays with a null ``ts``: it makes its series unusable.
     """
     items = series.select(*keep, F.posexplode("data").alias("pos", "item"))
-    period = F.coalesce(
-        F.try_variant_get("item", "$[0]", "string"),
-        *[F.nullif(F.try_variant_get("item", f"$.{k}", "string"), F.lit(""))
-          for k in ("period", "timestamp", "date")])
-    value = F.coalesce(F.try_variant_get("item", "$[1]", "string"),
-                       F.try_variant_get("item", "$.value", "string"))
-    texts = compute_once(items, {"period": period, "number": value}).where(
-        "period is not null and number is not null")
-    rows = compute_once(texts, {"value": parse_numeric(F.col("number"))}).select(
-        *keep, "pos", "period", "value")
-    return (rows.where(F.col("period").isNotNull() & F.col("value").isNotNull())
-            .withColumn("ts", parse_period(F.col("period"))))
+    read = compute_once(items, {"_read": read_item("item")})
+    rows = read.where("_read.period is not null and _read.value is not null").select(
+        *keep, "pos", "_read.period", "_read.value")
+    return rows.withColumn("ts", parse_period(F.col("period")))
