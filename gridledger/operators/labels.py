@@ -83,11 +83,27 @@ def _whole_words(rules: Rules) -> Rules:
             for label, terms in rules]
 
 
-def first_pattern(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """First rule whose regular expression matches, else null."""
+def _literal_start(pattern: str) -> str:
+    """Literal text every match of one alternative must begin with."""
+    plain = pattern.replace(r"\b", "")
+    stop = next((i for i, ch in enumerate(plain) if ch in "[?("), len(plain))
+    return plain[: stop - 1] if plain[stop: stop + 1] == "?" else plain[:stop]
+
+
+def _pattern_hints(rules: Sequence[tuple[str, str]]) -> Rules:
+    return [(label, tuple(dict.fromkeys(_literal_start(p) for p in pattern.split("|"))))
+            for label, pattern in rules]
+
+
+def first_pattern(terms: Terms, text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """First rule whose regular expression matches, else null.
+
+    A pattern is only tried on rows where the literal start of one of its
+    alternatives was found.
+    """
     out = F.lit(None).cast("string")
-    for label, pattern in reversed(list(rules)):
-        out = F.when(text.rlike(pattern), label).otherwise(out)
+    for (label, pattern), (_, hints) in reversed(list(zip(rules, _pattern_hints(rules)))):
+        out = F.when(terms.any_of(hints) & text.rlike(pattern), label).otherwise(out)
     return out
 
 
@@ -228,12 +244,16 @@ def with_source_intent(questions: DataFrame, text: str = "question") -> DataFram
     return compute_once(df, {"source_intent": terms.first_rule(fv.SOURCE_INTENT_RULES, "general")}).drop("_found")
 
 
-def resolve_authority(c: Column) -> Column:
-    return first_pattern(F.lower(c), fv.AUTHORITY_PATTERNS)
+_METRIC_RULES = [(m, p) for m, _, p in fv.METRIC_PATTERNS]
 
 
-def resolve_metric(c: Column) -> Column:
-    return first_pattern(F.lower(c), [(m, p) for m, _, p in fv.METRIC_PATTERNS])
+def with_operating_labels(questions: DataFrame, text: str = "question") -> DataFrame:
+    """Grid authority and operating metric a question names, by pattern priority."""
+    terms = Terms(_pattern_hints(fv.AUTHORITY_PATTERNS), _pattern_hints(_METRIC_RULES), found="_hints")
+    low = F.lower(text)
+    return compute_once(terms.search(questions, low), {
+        "authority": first_pattern(terms, low, fv.AUTHORITY_PATTERNS),
+        "metric": first_pattern(terms, low, _METRIC_RULES)}).drop("_hints")
 
 
 def metric_label(metric: Column) -> Column:
@@ -253,8 +273,7 @@ def authority_code(name: Column) -> Column:
 
 def resolve_operating_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Authority and metric by pattern priority, and what is missing."""
-    df = compute_once(questions, {"authority": resolve_authority(F.col(text)),
-                                  "metric": resolve_metric(F.col(text))})
+    df = with_operating_labels(questions, text)
     missing = F.array_compact(F.array(F.when(F.col("authority").isNull(), "balancing authority"),
                                       F.when(F.col("metric").isNull(), "metric")))
     ident = F.format_string("EBA.%s-ALL.%s.H", authority_code(F.col("authority")), F.col("metric"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.operators.labels import resolve_authority, resolve_metric, route_questions
+from gridledger.operators.labels import route_questions, with_operating_labels
 from gridledger.plans.prices import answer_prices
 from gridledger.plans.reactors import answer_reactors
 from gridledger.plans.series import answer_operating
@@ -18,9 +18,8 @@ ANSWER_COLUMNS = ("question_id", "pathway", "domain", "status", "confidence", "d
 
 def assign_pathways(questions: DataFrame) -> DataFrame:
     """Add the route and a ``pathway`` label."""
-    routed = route_questions(questions)
-    operating = (resolve_authority(F.col("question")).isNotNull()
-                 & resolve_metric(F.col("question")).isNotNull())
+    routed = route_questions(with_operating_labels(questions))
+    operating = F.col("authority").isNotNull() & F.col("metric").isNotNull()
     market = F.col("domain") == "electricity_markets"
     return routed.withColumn(
         "pathway", F.when(F.col("domain") == "unknown", "clarify")

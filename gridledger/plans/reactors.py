@@ -8,6 +8,7 @@ from gridledger.functions import fixed_values as fv
 from gridledger.functions.text import has_word, norm_text
 from gridledger.operators.joins import match_plants
 from gridledger.operators.reactors import plant_status
+from gridledger.session import cut_lineage
 
 
 def plant_query(question: Column) -> Column:
@@ -29,10 +30,14 @@ def latest_report(units: DataFrame) -> DataFrame:
 
 
 def answer_reactors(questions: DataFrame, units: DataFrame) -> DataFrame:
-    """Status of the asked plant in the latest report."""
+    """Status of the asked plant in the latest report.
+
+    The report is one page of units; it is checkpointed because matching reads it
+    several times and must not parse every landed page again.
+    """
     asked = questions.withColumn("plant_query", plant_query(F.col("question")))
     distinct = asked.select("plant_query").distinct().where("plant_query is not null")
-    matches = match_plants(distinct, latest_report(units))
+    matches = match_plants(distinct, cut_lineage(latest_report(units)))
     status = plant_status(matches, ("report_date",)).drop("unit_count")
     out = asked.join(status, "plant_query", "left")
     clarify, found = F.col("plant_query").isNull(), F.col("plant_state").isNotNull()
