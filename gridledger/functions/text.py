@@ -44,11 +44,15 @@ def tokenize(c: Column) -> Column:
 
 
 def _answer_term(word: Column) -> Column:
-    bare = F.replace(F.regexp_replace(word, r"^[._-]+|[._-]+$", ""), F.lit("&"), F.lit("and"))
+    bare = F.replace(F.btrim(word, F.lit("._-")), F.lit("&"), F.lit("and"))
     longer = F.length(bare) > 4
+
+    def cut(n: int) -> Column:
+        return F.substr(bare, F.lit(1), F.length(bare) - n)
+
     return (
-        F.when(longer & bare.endswith("ies"), F.regexp_replace(bare, "ies$", "y"))
-        .when(longer & bare.endswith("s") & ~bare.endswith("ss"), F.regexp_replace(bare, "s$", ""))
+        F.when(longer & bare.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when(longer & bare.endswith("s") & ~bare.endswith("ss"), cut(1))
         .otherwise(bare)
     )
 

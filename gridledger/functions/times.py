@@ -22,6 +22,9 @@ _REWRITES = (
     (r"-00:00$", "Z"),
 )
 _SLASH = (r"^(\d{1,2})/(\d{1,2})/(\d{4}) ", "$3-$1-$2 ")
+# The spellings that fill real extracts, rewritten without the whole chain.
+_COMMON = ((r"^(\d{4})(\d{2})(\d{2})T(\d{2})Z?$", "$1-$2-$3T$4:00:00Z"),
+           (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})$", "$1Z"))
 _FULL = rf"^({_DAY}[T ]\d{{1,2}}:\d{{1,2}}:\d{{1,2}}(?:\.\d{{1,9}})?{_ZONE})$"
 
 
@@ -30,12 +33,16 @@ def utc_timestamp(c: Column, slash_dates: bool = False) -> Column:
 
     A chain of rewrites to a full ISO text and a single cast, instead of trying
     each format in turn (every failed attempt would raise inside the JVM). Text
-    that does not end in the full form extracts to '' and casts to null.
+    that does not end in the full form extracts to '' and casts to null. The chain
+    only runs where the common spellings did not already give a timestamp.
     """
-    text = strip(c)
-    for pattern, to in ((_SLASH,) if slash_dates else ()) + _REWRITES:
-        text = F.regexp_replace(text, pattern, to)
-    return F.regexp_extract(text, _FULL, 1).try_cast("timestamp")
+    def rewritten(rules) -> Column:
+        text = strip(c)
+        for pattern, to in rules:
+            text = F.regexp_replace(text, pattern, to)
+        return F.regexp_extract(text, _FULL, 1).try_cast("timestamp")
+
+    return F.coalesce(rewritten(_COMMON), rewritten(((_SLASH,) if slash_dates else ()) + _REWRITES))
 
 
 def parse_period(c: Column) -> Column:
