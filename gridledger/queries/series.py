@@ -15,7 +15,7 @@ from gridledger.operators.records import observed_text, operating_records
 from gridledger.operators.series import latest_observations, series_stats
 from gridledger.plans.series import answer_operating
 from gridledger.queries.base import (
-    AS_OF, QUESTIONS_SQL, joined, nth, questions, register, sql_list, sql_nth, sql_rows, table,
+    AS_OF, QUESTIONS_SQL, joined, nth, questions, register, sql_list, sql_nth, table,
     utc_text)
 from gridledger.sources.series import explode_observations, parse_series_lines, valid_series
 

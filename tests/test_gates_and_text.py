@@ -13,7 +13,7 @@ from gridledger.operators.evidence import accept_validated
 from gridledger.operators.gates import clean_claims, quality_gate, term_overlap, validate_citations
 from gridledger.operators.joins import join_authority, join_provider, match_providers, match_sources
 from gridledger.operators.labels import (
-    classify_questions, parse_market_questions, plan_capabilities, plan_research, route_questions)
+    classify_questions, parse_market_questions, plan_capabilities, plan_research)
 from gridledger.plans.dispatch import assign_pathways
 
 BASE = {"question_id": 1, "record_count": 2, "primary_count": 1, "independent_count": 2,

@@ -1,7 +1,6 @@
 """Price rows, windows, coverage and price questions on hand-built days."""
 from __future__ import annotations
 
-import io
 import zipfile
 
 from pyspark.sql import functions as F
