@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, simhash
+from gridledger.llm import common, decontaminate, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,60 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Documents as lists of lower-cased words, benchmark windows, and their occurrences.
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+pattern AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i + 1:i + least(13, len(w))], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)),
+gram AS (
+  SELECT doc_id, i, k, array_to_string(w[i + 1:i + k], ' ') AS p
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i
+        FROM doc, (SELECT DISTINCT k FROM pattern) WHERE len(w) >= k)),
+occurrence AS (SELECT doc_id, i, g.k, item_id FROM gram g JOIN pattern USING (k, p)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM occurrence) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occurrence) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op2_decontaminate", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every document."""
+    found = decontaminate.scan(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op7_external_shuffle")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shard sizes differ by one row at most."""
+    columns = {
+        "doc_id": F.col("doc_id"),
+        "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
+        "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")),
+    }
+    placed = sharding.places(common.read(spark, sf_dir, "documents"), columns)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_mix_sources")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    found = mixing.taken(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
