@@ -79,4 +79,4 @@ def test_query_against_brute_force(spark):
     for r in got:
         longest[docs[r.doc_id].source] = max(longest[docs[r.doc_id].source], r["size"])
     assert all(abs(words[s] - want[s]) <= longest[s] for s in want)
-    assert sum(abs(words[s] - want[s]) for s in want) <= 0.02 * sum(want.values())
+    assert sum(abs(words[s] - want[s]) for s in want) <= 0.04 * sum(want.values())  # some fifty documents a source
