@@ -1,6 +1,8 @@
 """Shared pieces: words, row identity, size-checked broadcast, connected components."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,11 +66,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for a, b in zip(left, right, strict=True):
-        out = out & a.eqNullSafe(b)
-    return out
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the session's shared checkpoint folder (a temporary one in local sessions that have none)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, mixing, sharding, simhash
+from gridledger.llm import common, decontaminate, licenses, mixing, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes."""
     found = mixing.taken(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (html)
+"""
+
+
+@query("op8_warc_bundles", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC bundles into the shared folder and read back."""
+    folder = common.shared_folder(spark)
+    warc.write(common.read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("payload")
+
+
+OP9_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+phrase(p, k, label) AS (VALUES ('under the mit license', 4, 'mit'), ('apache license version 2', 4, 'apache-2'), ('cc by nc', 3, 'cc-by-nc')),
+place AS (
+  SELECT doc_id, i, label
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM doc WHERE len(w) >= 3) JOIN phrase
+    ON array_to_string(w[i + 1:i + k], ' ') = p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels
+FROM doc LEFT JOIN (SELECT doc_id, count(*) AS n, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word,
+                           string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+                    FROM place GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op9_license_automaton")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    found = licenses.scan(common.read(spark, sf_dir, "documents"))
+    starts = F.col("places.start")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "spans.label")).alias("labels"), "score")
