@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, licenses, mixing, sharding, simhash, warc
+from gridledger.llm import common, decontaminate, licenses, mixing, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(F.col("places.label")).alias("base_labels"),
         joined(F.concat("places.label", "spans.label")).alias("labels"), "score")
+
+
+@query("op1_quality_perplexity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    docs = common.read(spark, sf_dir, "documents")
+    judged = quality.train(docs, common.read(spark, sf_dir, "labels")).judge(docs, ["doc_id", "lang"])
+    return judged.select("doc_id", "lang", "perplexity", "score", "bound", "rejected")
