@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, licenses, mixing, quality, sharding, simhash, warc
+from gridledger.llm import common, decontaminate, licenses, mixing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     judged = quality.train(docs, common.read(spark, sf_dir, "labels")).judge(docs, ["doc_id", "lang"])
     return judged.select("doc_id", "lang", "perplexity", "score", "bound", "rejected")
+
+
+@query("op4_pii_boosting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    found = pii.spans(common.read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)),
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))

@@ -74,7 +74,7 @@ def test_edges(spark):
     word = lambda: "".join(rng.choice(["ba", "no", "ti", "le", "ra"]) for _ in range(rng.randint(1, 4)))
     good = [(i, " ".join(word() for _ in range(60)), ["a", "b", None][i % 3]) for i in range(900)]
     bad = [(2000, "XQ$$ ZZ## " * 20, "a"), (2001, None, "a"), (2002, "", "b"), (None, "%%%%%%%%%%% " * 30, "new"),
-           (5, "QQQQQQQQQQ!! " * 20, None), (5, "QQQQQQQQQQ!! " * 20, None)]
+           (2005, "QQQQQQQQQQ!! " * 20, None), (2005, "QQQQQQQQQQ!! " * 20, None)]
     fine = [(2003, "bano tilera leti " * 2000, "new"), (2004, "bano", "a"), (None, "noti leba ra tino", None)]
     df = spark.createDataFrame([*good, *bad, *fine], "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(900)] + [(None, 1, 0), (7, 0, 0), (8, 1, None), (2000, 0, 0)],
@@ -83,7 +83,7 @@ def test_edges(spark):
     judged = model.judge(df)
     assert judged.columns == [*df.columns, "perplexity", "_score", "bound", "rejected"]
     rows = judged.collect()
-    assert len(rows) == 909 and sum(r.rejected for r in rows if r.doc_id is not None and r.doc_id < 900 and "Q" not in r.text) <= 9
+    assert len(rows) == 909 and sum(r.rejected for r in rows if r.doc_id is not None and r.doc_id < 900) <= 9
     assert all(r.rejected for r in rows if not r.text or any(c in r.text for c in "$%Q"))
     assert not any(r.rejected for r in rows if r.text and r.text in {t for _, t, _ in fine})
     assert all((r.perplexity is None) == (not r.text) for r in rows)
