@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, licenses, mixing, pii, quality, sharding, simhash, warc
+from gridledger.llm import common, decontaminate, embeddings, licenses, mixing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,3 +148,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)),
                         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_embedding_passes")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(common.read(spark, sf_dir, "embeddings"))
