@@ -61,32 +61,32 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     chosen_mask, rejected_text, rejected_mask.
     """
     known = turns.groupBy("conv").agg(F.count("*").cast("int").alias("n"))
-    of = pairs.withColumn("row", F.xxhash64("pair_id", "chosen", "rejected"))
-    numbered = of.groupBy("row", "pair_id", "chosen", "rejected").agg(F.count("*").alias("repeats"))
-    both = (numbered.join(known.select(F.col("conv").alias("chosen"), F.col("n").alias("n_chosen")), "chosen")
-            .join(known.select(F.col("conv").alias("rejected"), F.col("n").alias("n_rejected")), "rejected"))
+    both = (pairs.select("chosen", "rejected").distinct()
+            .join(known.select(F.col("conv").alias("chosen"), F.col("n").alias("n_chosen")), "chosen")
+            .join(known.select(F.col("conv").alias("rejected")), "rejected"))
+    key = ["chosen", "rejected"]
     # One row for each side and turn; a place differs unless two equal turns meet there.
-    side = lambda name: both.select("row", "pair_id", F.col(name).alias("conv"), F.lit(name).alias("side")).join(turns, "conv")
+    side = lambda name: both.select(*key, F.col(name).alias("conv"), F.lit(name).alias("side")).join(turns, "conv")
     rows = side("chosen").unionByName(side("rejected"))
-    places = rows.groupBy("row", "pair_id", "place").agg(
-        F.count("*").alias("sides"), F.min(F.struct("role", "text")).alias("a"), F.max(F.struct("role", "text")).alias("b"))
-    first = places.groupBy("row", "pair_id").agg(F.min(F.when((F.col("sides") < 2) | (F.col("a") != F.col("b")), F.col("place"))).alias("cut"))
-    cuts = both.join(first, ["row", "pair_id"]).withColumn("n_prefix", F.coalesce("cut", "n_chosen"))
-    # The prompt is read from the chosen side alone.
+    turn = F.struct("role", "text")
+    places = rows.groupBy(*key, "place").agg(F.count("*").alias("sides"), F.min(turn).alias("a"), F.max(turn).alias("b"))
+    first = places.groupBy(*key).agg(F.min(F.when((F.col("sides") < 2) | (F.col("a") != F.col("b")), F.col("place"))).alias("cut"))
+    cuts = both.join(first, key).select(*key, F.coalesce("cut", "n_chosen").alias("n_prefix"))
     turn = F.struct("place", "role", "text")
-    parts = (rows.join(cuts.select("row", "pair_id", "n_prefix"), ["row", "pair_id"])
-             .where((F.col("side") == "chosen") | (F.col("place") >= F.col("n_prefix")))
-             .groupBy("row", "pair_id").agg(
-                 F.array_sort(F.collect_list(F.when(F.col("place") < F.col("n_prefix"), turn))).alias("prompt_turns"),
-                 *(F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("place") >= F.col("n_prefix")), turn))).alias(s + "_turns")
-                   for s in ("chosen", "rejected"))))
-    done = cuts.join(parts, ["row", "pair_id"])
+
+    def gathered(test: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(test, turn)))
+    after = F.col("place") >= F.col("n_prefix")
+    done = (rows.join(cuts, key).where((F.col("side") == "chosen") | after)  # the prompt is read from one side alone
+            .groupBy(*key, "n_prefix").agg(gathered(~after).alias("prompt_turns"),
+                                           gathered(after & (F.col("side") == "chosen")).alias("chosen_turns"),
+                                           gathered(after & (F.col("side") == "rejected")).alias("rejected_turns")))
     chosen, chosen_mask = _completion(F.col("chosen_turns"))
     rejected, rejected_mask = _completion(F.col("rejected_turns"))
     empty = (F.size("chosen_turns") == 0).cast("int") + (F.size("rejected_turns") == 0).cast("int")
     status = F.when(empty == 2, "equal").when(empty == 1, "prefix").otherwise("pair")
-    return (done.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-            .select("pair_id", "chosen", "rejected", status.alias("status"), "n_prefix",
+    return (pairs.select("pair_id", *key).join(done, key)
+            .select("pair_id", *key, status.alias("status"), "n_prefix",
                     _completion(F.col("prompt_turns"))[0].alias("prompt"), chosen.alias("chosen_text"), chosen_mask.alias("chosen_mask"),
                     rejected.alias("rejected_text"), rejected_mask.alias("rejected_mask")))
 

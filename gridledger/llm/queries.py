@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, embeddings, licenses, mixing, pii, quality, sharding, simhash, warc
+from gridledger.llm import common, decontaminate, embeddings, licenses, mixing, pii, preference, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.near_duplicates(common.read(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS conv, coalesce(role, 'none') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'none'), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv, max(place) AS last FROM t WHERE role = 'assistant' GROUP BY conv),
+answer AS (SELECT conv, last, text AS answer FROM t JOIN last USING (conv) WHERE place = last),
+swap AS (SELECT a.conv, a.last, a.answer, coalesce(b.answer, a.answer) AS other FROM answer a LEFT JOIN answer b ON b.conv = a.conv + 1),
+cut AS (SELECT conv, last, answer, other, answer = other AS equal FROM swap)
+SELECT conv AS pair_id, CASE WHEN equal THEN 'equal' ELSE 'pair' END AS status,
+       CAST(CASE WHEN equal THEN last + 1 ELSE last END AS INTEGER) AS n_prefix,
+       (SELECT coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place), '')
+        FROM t WHERE t.conv = cut.conv AND (place < last OR equal AND place = last)) AS prompt,
+       CASE WHEN equal THEN '' ELSE '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10) END AS chosen_text,
+       CASE WHEN equal THEN '' ELSE '<|im_start|>assistant' || chr(10) || other || '<|im_end|>' || chr(10) END AS rejected_text,
+       CASE WHEN equal THEN '' ELSE '22:' || (22 + length(answer) + 11) END AS chosen_mask,
+       CASE WHEN equal THEN '' ELSE '22:' || (22 + length(other) + 11) END AS rejected_mask
+FROM cut
+"""
+
+
+@query("op5_preference_pairs", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer, against itself with another conversation's last answer."""
+    turns, pairs = preference.swapped_answers(preference.ordered_turns(common.read(spark, sf_dir, "conversations")))
+    found = preference.format_pairs(turns, pairs)
+    listed = lambda mask: F.array_join(F.transform(mask, lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias(mask)
+    return found.select("pair_id", "status", "n_prefix", "prompt", "chosen_text", "rejected_text", listed("chosen_mask"), listed("rejected_mask"))
