@@ -29,4 +29,4 @@ def parse_opt_int(c: Column) -> Column:
 
 def round_half_up(c: Column, digits: int = 3) -> Column:
     """Half up on the value at nine decimals, so summation noise cannot flip a tie."""
-    return F.round(c.cast("decimal(28,9)"), digits).cast("double")
+    return F.round(c.try_cast("decimal(38,9)"), digits).cast("double")

@@ -20,9 +20,12 @@ def reject_files(rows: DataFrame, file: str) -> DataFrame:
         .where("reject_reason is not null"))
 
 
-def select_lmp_rows(rows: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
+def select_lmp_rows(rows: DataFrame, zone: str = fv.PRICE_ZONE, file: str | None = None) -> DataFrame:
     """Price-component rows keyed by hub, market and local market day.
 
+    With a ``file`` column, all rows of a file that lacks a required field somewhere
+    (in any component) are marked with the reason.
+
     Keys are compared without case. A row with an unreadable boundary, an end not
     after its start or an unusable price stays, marked, because it invalidates
     the day it belongs to (an unreadable start leaves the day unknown).
@@ -30,9 +33,14 @@ def select_lmp_rows(rows: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
     bad = (F.when(F.col("start_ts").isNull() | F.col("end_ts").isNull(), "invalid_timestamp")
            .when(F.col("end_ts") <= F.col("start_ts"), "invalid_interval")
            .when(F.col("price_value").isNull(), "invalid_price"))
+    if file is not None:
+        refused = reject_files(rows, file).select(file, F.col("reject_reason").alias("_refused"))
+        rows = rows.join(refused, file, "left")
+        bad = F.coalesce("_refused", bad)
     return (rows.where(is_lmp_component(F.col("component")))
             .withColumns({"location": F.upper("location"), "market": F.upper("market"),
-                          "market_date": local_day(F.col("start_ts"), zone), "bad_row": bad}))
+                          "market_date": local_day(F.col("start_ts"), zone), "bad_row": bad})
+            .drop("_refused"))
 
 
 def with_window(df: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
@@ -79,26 +87,35 @@ def coverage_status(summaries: DataFrame) -> DataFrame:
         F.col("row_count"), F.col("actual_count"), F.col("expected_count"), F.col("bad_row")))
 
 
-def price_day_summary(rows: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
+def price_day_summary(rows: DataFrame, zone: str = fv.PRICE_ZONE, file: str | None = None,
+                      asked: DataFrame | None = None) -> DataFrame:
     """One row per hub, market and local day with its coverage, in one pass.
 
     A row whose start cannot be read belongs to no known day and faults all days
-    of its hub and market; that look-up runs over the few summarised rows.
+    of its hub and market; that look-up runs over the few summarised rows. Days
+    touched by a refused ``file`` carry its reason. ``asked`` (the day keys) limits the
+    summary to those days before anything is grouped.
     """
-    days = summarize_days(select_lmp_rows(rows, zone))
+    chosen = select_lmp_rows(rows, zone, file).where("location is not null and market is not null")
+    if asked is not None:
+        hubs = asked.select("location", "market", F.lit(None).cast("date").alias("market_date"))
+        keys = asked.select(*DAY_KEYS).unionByName(hubs).distinct().toDF(*(f"_{k}" for k in DAY_KEYS))
+        match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in DAY_KEYS]
+        chosen = chosen.join(keys, match, "left_semi")
+    days = summarize_days(chosen)
     lost = F.when(F.col("market_date").isNull(), F.col("bad_row"))
     fault = F.min(lost).over(Window.partitionBy("location", "market"))
     days = days.withColumn("bad_row", F.coalesce(fault, F.col("bad_row"))).where("market_date is not null")
     return coverage_status(with_window(days, zone))
 
 
-def summarize_prices(rows: DataFrame, queries: DataFrame, zone: str = fv.PRICE_ZONE) -> DataFrame:
+def summarize_prices(rows: DataFrame, queries: DataFrame, zone: str = fv.PRICE_ZONE, file: str | None = None) -> DataFrame:
     """Summary for each query (location, market, market_date); no rows is ``empty``.
 
-    Days are summarised once; queries then meet one row per day, so a day that a
+    Only asked days are read, and summarised once; queries then meet one row per day, so a day that a
     third of all questions ask about is not summarised per question.
     """
-    out = queries.join(price_day_summary(rows, zone), list(DAY_KEYS), "left")
+    out = queries.join(price_day_summary(rows, zone, file, queries.select(*DAY_KEYS)), list(DAY_KEYS), "left")
     return out.withColumn("coverage", F.coalesce("coverage", F.lit("empty")))
 
 
@@ -125,11 +142,11 @@ def price_answer_text(display: Column) -> tuple[Column, Column]:
     """Answer sentence and explanation of a day summary."""
     def money(name: str) -> Column:
         """Two decimals, half up on the value at six decimals."""
-        return F.col(name).cast("decimal(18,6)").cast("decimal(18,2)").cast("string")
+        return F.col(name).try_cast("decimal(38,6)").try_cast("decimal(38,2)").cast("string")
 
     direct = F.format_string("%s %s LMP averaged $%s/MWh on %s.", display, F.col("market"),
                              money("average_price"), F.date_format("market_date", "yyyy-MM-dd"))
     explain = F.format_string(
-        "The official result contained %d validated intervals. The minimum was $%s/MWh and the"
+        "The official CAISO result contained %d validated intervals. The minimum was $%s/MWh and the"
         " maximum was $%s/MWh.", F.col("actual_count"), money("minimum_price"), money("maximum_price"))
     return direct, explain

@@ -32,18 +32,19 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
     return with_window(df, zone)
 
 
-def answer_prices(questions: DataFrame, price_rows: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """Answered, held (faulty, empty or incomplete day) or unresolved price questions.
+def answer_prices(questions: DataFrame, price_rows: DataFrame, as_of: str = "as_of", file: str | None = None) -> DataFrame:
+    """Answered, held (faulty, empty or incomplete day, refused file) or unresolved price questions.
 
-    Questions are resolved once and meet one finished summary row each.
+    Questions are resolved once and meet one finished summary row each; unresolved
+    ones take no part in the join.
     """
     resolved = resolve_price_questions(questions, as_of).drop("utc_start", "utc_end", "expected_count")
-    open_keys = [F.when(F.col("status") == "resolved", F.col(k)).alias(f"_{k}") for k in DAY_KEYS]
-    days = price_day_summary(price_rows).select(
-        *[F.col(k).alias(f"_{k}") for k in DAY_KEYS], "coverage", "expected_count", "actual_count",
-        "average_price", "minimum_price", "maximum_price", "minimum_start", "maximum_start", "utc_end")
-    out = resolved.select("*", *open_keys).join(days, [f"_{k}" for k in DAY_KEYS], "left")
-    out = out.drop(*[f"_{k}" for k in DAY_KEYS])
+    known = resolved.where("status = 'resolved'")
+    days = price_day_summary(price_rows, file=file, asked=known).select(
+        *DAY_KEYS, "coverage", "expected_count", "actual_count", "average_price", "minimum_price",
+        "maximum_price", "minimum_start", "maximum_start", "utc_end")
+    out = known.join(days, list(DAY_KEYS), "left").unionByName(
+        resolved.where("status is distinct from 'resolved'"), allowMissingColumns=True)
     direct, explain = price_answer_text(F.col("display_name"))
     complete = F.coalesce(F.col("coverage") == "complete", F.lit(False))
     status = F.when(F.col("status") == "resolved", F.when(complete, "answered").otherwise("held")).otherwise(

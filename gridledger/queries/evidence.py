@@ -67,7 +67,7 @@ def web_and_news(spark, sf_dir):
         "provider": F.lit("web"), "query": nth(PHRASES, F.col("pos")),
         "published_at": F.when(F.pmod("pos", F.lit(3)) == 0, "2024-01-01")})
     glue = F.when(F.col("url").contains("?"), "&").otherwise("?")
-    news = results(spark, sf_dir).where("pos % 2 = 0").select(
+    news = results(spark, sf_dir).select(
         "question_id", (F.col("pos") + 1_000_000).alias("pos"), F.col("snippet").alias("title"), F.col("title").alias("snippet"),
         F.when(F.col("url").contains("#"), F.col("url")).otherwise(F.concat("url", glue, F.lit("utm_source=news"))).alias("url"),
         F.lit("news").alias("provider"), nth(PHRASES, F.expr("pos div 2")).alias("query"), F.lit("en").alias("language"))
@@ -81,7 +81,7 @@ MERGED_SQL = f"""{VARIED_SQL}, {CANON_SQL},
 merged AS (SELECT page_id // 12 AS question_id, page_id AS pos, {sql_nth(PHRASES, 'page_id * 3')} AS title, {sql_nth(PHRASES, 'page_id + 5')} AS snippet, canonical AS url, host,
    'web' AS provider, {sql_nth(PHRASES, 'page_id')} AS query, page_id % 3 = 0 AS dated FROM canon
  UNION ALL SELECT page_id // 12, page_id + 1000000, {sql_nth(PHRASES, 'page_id + 5')}, {sql_nth(PHRASES, 'page_id * 3')},
-   CASE WHEN canonical = 'no scheme/path' THEN 'no scheme/path?utm_source=news' ELSE canonical END, host, 'news', {sql_nth(PHRASES, 'page_id // 2')}, false FROM canon WHERE page_id % 2 = 0)"""
+   CASE WHEN canonical = 'no scheme/path' THEN 'no scheme/path?utm_source=news' ELSE canonical END, host, 'news', {sql_nth(PHRASES, 'page_id // 2')}, false FROM canon)"""
 
 
 @register("merge_results", f"WITH {MERGED_SQL} SELECT question_id, pos, provider, url, query FROM merged")
@@ -240,11 +240,11 @@ def _validated_rollup(spark, sf_dir):
 
 
 @register("packet_rollup", f"""WITH {JUDGED_SQL}, r AS (SELECT question_id, count(*) AS document_count, count(*) FILTER (WHERE source_tier = 'controlling' AND doc_id % 10 = 0) AS controlling_count,
-   count(DISTINCT CASE WHEN contains(url, '://') THEN regexp_replace(regexp_extract(url, '://([^/:]*)', 1), '^www\\.', '') END) AS domain_count FROM judged WHERE doc_id % 7 < 2 GROUP BY 1)
+   count(DISTINCT CASE WHEN contains(url, '://') THEN regexp_replace(regexp_extract(url, '://([^/:]*)', 1), '^www\\.', '') END) AS domain_count FROM judged GROUP BY 1)
 SELECT *, controlling_count >= 1 OR domain_count >= 2 AS sufficient,
   CASE WHEN controlling_count >= 1 THEN 'controlling_source' WHEN domain_count >= 2 THEN 'independent_domains' ELSE 'insufficient' END AS reason FROM r""")
 def _packet_rollup(spark, sf_dir):
-    docs = judged(spark, sf_dir).where("doc_id % 7 < 2").withColumn("source_tier", F.when(
+    docs = judged(spark, sf_dir).withColumn("source_tier", F.when(
         F.pmod("doc_id", F.lit(10)) == 0, F.col("source_tier")).otherwise("supporting"))
     return packet_rollup(docs)
 

@@ -109,14 +109,13 @@ def _quality_gate(spark, sf_dir):
                       joined(F.array_sort("issues")).alias("issues"), joined(F.array_sort("warnings")).alias("warnings"))
 
 
-@register("confidence_from_evidence", """WITH r AS (SELECT source, count(*) FILTER (WHERE doc_id % 50 < 2) AS n, count(*) FILTER (WHERE doc_id % 50 < 2 AND quality = 1) AS p,
+@register("confidence_from_evidence", """WITH r AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS p,
   bool_or(coalesce(toxic, 0) = 1) AND length(source) = 4 AS conflict FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
 SELECT source, CASE WHEN n = 0 OR conflict OR length(source) % 7 = 0 THEN 'low' WHEN p >= 1 AND n >= 2 THEN 'high' WHEN p >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM r""")
 def _confidence_evidence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    used = F.pmod("doc_id", F.lit(50)) < 2
     out = docs.groupBy("source").agg(
-        F.count_if(used).alias("n"), F.count_if(used & (F.col("quality") == 1)).alias("p"),
+        F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("p"),
         F.bool_or(F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
     return out.select("source", confidence_from_evidence(
         F.col("n"), F.col("p"), F.col("toxic") & (F.length("source") == 4), F.length("source") % 7 == 0).alias("confidence"))
@@ -155,11 +154,11 @@ def _until_enough(spark, sf_dir):
 
 
 @register("attempt_outcomes", f"""WITH {ATTEMPTS_SQL}, o AS (SELECT question_id, count(*) AS attempt_count, count(*) FILTER (WHERE fetch_status = 'success') AS success_count,
-  CAST(sum(records) AS BIGINT) AS record_count, CAST(sum(primary_records) AS BIGINT) AS primary_count FROM attempts WHERE pos % 40 = 1 GROUP BY 1)
+  CAST(sum(records) AS BIGINT) AS record_count, CAST(sum(primary_records) AS BIGINT) AS primary_count FROM attempts GROUP BY 1)
 SELECT *, record_count > 0 AS succeeded, CASE WHEN record_count = 0 THEN 'No accessible provider returned usable evidence.'
   WHEN primary_count = 0 THEN 'No primary-source record was available.' END AS warning FROM o""")
 def _attempt_outcomes(spark, sf_dir):
-    return attempt_outcomes(attempts(spark, sf_dir).where("pos % 40 = 1"))
+    return attempt_outcomes(attempts(spark, sf_dir))
 
 
 @register("page_coverage", """WITH p AS (SELECT l_orderkey AS request_id, l_linenumber, CAST(l_quantity AS BIGINT) AS row_count, (l_linenumber - 1) * 25 AS off, 25 * (l_orderkey % 8) AS total FROM lineitem),

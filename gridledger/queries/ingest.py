@@ -47,7 +47,9 @@ def _zip_bodies(batches):
     for batch in batches:
         bodies = []
         for key, price in zip(batch["c_custkey"], batch["c_acctbal"]):
-            kind = key % 10
+            kind, fault = key % 10, key % 100
+            # A cell longer than 131,072 characters, and one of two headers with the same normal form.
+            price = price if kind != 1 else f'0,"{"x" * 140_000}"' if fault == 11 else price
             rows = "".join(f'2024-01-0{d}T07:00:00-00:00,2024-01-0{d}T08:00:00-00:00,TH_NP15_GEN-APND,DAM,LMP,'
                            f'{price},"café, {key}"\n' for d in (1, 2))
             text = (HEADER + rows).encode("windows-1252" if kind == 4 else "utf-8-sig" if kind == 3 else "utf-8")
@@ -59,6 +61,11 @@ def _zip_bodies(batches):
                 for name, data in members:
                     archive.writestr(name, data)
             body = buffer.getvalue()
+            if fault == 21:  # damaged content: the stored bytes no longer have their checksum
+                body = body.replace(b"TH_NP15", b"TH_XX15")
+            if fault == 31:  # a member that claims to be encrypted
+                at = body.index(b"PK\x01\x02")
+                body = body[:6] + b"\x01" + body[7:at + 8] + b"\x01" + body[at + 9:]
             if kind == 8:
                 body = f"<ERR_CODE>7</ERR_CODE> refused {key}".encode()
             bodies.append(b"" if key % 50 == 0 else body)
@@ -72,11 +79,12 @@ def archives(spark, sf_dir):
 
 ARCHIVE_SQL = """arch AS (SELECT c_custkey, 'c' || c_custkey AS path, c_acctbal, CASE WHEN c_custkey % 50 = 0 THEN 'empty_response'
   WHEN c_custkey % 10 = 5 THEN 'xml_only' WHEN c_custkey % 10 = 6 THEN 'multiple_csv' WHEN c_custkey % 10 = 7 THEN 'no_csv'
+  WHEN c_custkey % 100 = 21 THEN 'corrupt_member' WHEN c_custkey % 100 = 31 THEN 'unreadable_member'
   WHEN c_custkey % 10 = 8 THEN 'bad_zip' WHEN c_custkey % 10 = 9 THEN 'unsafe_path' END AS reject FROM customer)"""
 
 
 @register("read_price_archives", f"""WITH {ARCHIVE_SQL}
-SELECT path, row_no, 'ok' AS state, 'caf' || chr(233) || ', ' || c_custkey AS note FROM arch, (VALUES (1), (2)) r(row_no) WHERE reject IS NULL
+SELECT path, row_no, 'ok' AS state, CASE WHEN c_custkey % 100 = 11 THEN repeat('x', 140000) ELSE 'caf' || chr(233) || ', ' || c_custkey END AS note FROM arch, (VALUES (1), (2)) r(row_no) WHERE reject IS NULL
 UNION ALL SELECT path, 0, reject, NULL FROM arch WHERE reject IS NOT NULL""")
 def _read_archives(spark, sf_dir):
     rows = price_archive_rows(archives(spark, sf_dir))
@@ -85,7 +93,7 @@ def _read_archives(spark, sf_dir):
 
 
 @register("price_archive_fields", f"""WITH {ARCHIVE_SQL}
-SELECT path, row_no, 'TH_NP15_GEN-APND' AS location, 'DAM' AS market, 'LMP' AS component, c_acctbal AS price,
+SELECT path, row_no, 'TH_NP15_GEN-APND' AS location, 'DAM' AS market, 'LMP' AS component, CASE WHEN c_custkey % 100 = 11 THEN 0 ELSE c_acctbal END AS price,
   '2024-01-0' || row_no || ' 07:00:00' AS start_text FROM arch, (VALUES (1), (2)) r(row_no) WHERE reject IS NULL""")
 def _archive_fields(spark, sf_dir):
     rows = typed_price_rows(price_rows_from_cells(price_archive_rows(archives(spark, sf_dir))))
@@ -117,7 +125,7 @@ MANIFESTS = (
     '{"EBA{k}":{"name":"{n}","url":"https://api.eia.gov/{k}"},"note":"x"}',
     '{"data":{"items":[{"id":"R{k}","title":"{n}","name":"d","link":"https://evil.example.com/{k}.zip"}]}}',
     '[{"id":"T{k}.zip","title":"{n}","dataset":"d{k}"},{"id":"U{k}","description":"{n}","file_name":"/f{k}.zip"}]',
-    '{"a":{"b":{"c":{"d":{"e":{"f":{"id":"V{k}","title":"{n}"}}}}}}}',
+    '{"a":{"b":{"c":{"d":{"e":{"f":[{"g":{"h":{"i":{"j":{"k":{"id":"V{k}","title":"{n}"}}}}}}]}}}}}}',
     '{"files":[{"identifier":"W{k}","url":"https://eia.gov/{k}"},{"title":"no id"}]}',
     '{"bulk-files":{"response":[{"identifier":"X{k}","title":"{n}","data_set":"Energy {k}"}]}}',
 )
@@ -128,6 +136,7 @@ files AS (SELECT k, 'P' || k AS identifier, 'S' || k AS data_set, n AS title, 'h
   UNION ALL SELECT k, 'R' || k, 'd', n, 'https://evil.example.com/' || k || '.zip', 'unapproved_host' FROM man WHERE kind = 3
   UNION ALL SELECT k, 'T' || k || '.zip', 'd' || k, n, 'https://api.eia.gov/bulk/T' || k || '.zip', 'ok' FROM man WHERE kind = 4
   UNION ALL SELECT k, 'U' || k, n, n, 'https://api.eia.gov/bulk/f' || k || '.zip', 'ok' FROM man WHERE kind = 4
+  UNION ALL SELECT k, 'V' || k, NULL, n, NULL, 'none' FROM man WHERE kind = 5
   UNION ALL SELECT k, 'X' || k, 'Energy ' || k, n, 'https://api.eia.gov/bulk/X' || k || '.zip', 'ok' FROM man WHERE kind = 7)"""
 
 
@@ -138,8 +147,7 @@ def manifest_records(spark, sf_dir):
 
 
 @register("flatten_bulk_manifest", f"""WITH {MANIFEST_SQL} SELECT k AS manifest_id, identifier, 'ok' AS state FROM files
-UNION ALL SELECT k, 'W' || k, 'ok' FROM man WHERE kind = 6
-UNION ALL SELECT k, 'e', 'too_deep' FROM man WHERE kind = 5""")
+UNION ALL SELECT k, 'W' || k, 'ok' FROM man WHERE kind = 6""")
 def _flatten(spark, sf_dir):
     rec = manifest_records(spark, sf_dir)
     ident = F.coalesce(F.col("inherited"), F.col("raw")["identifier"], F.col("raw")["id"])
@@ -147,9 +155,9 @@ def _flatten(spark, sf_dir):
 
 
 @register("resolve_bulk_files", f"""WITH {MANIFEST_SQL}
-SELECT k AS manifest_id, identifier, data_set, title, url AS download_url, state FROM files""")
+SELECT k AS manifest_id, identifier, data_set, title, url AS download_url, state FROM files WHERE state <> 'none'""")
 def _resolve(spark, sf_dir):
-    files = resolve_bulk_files(manifest_records(spark, sf_dir).where("reject_reason is null"))
+    files = resolve_bulk_files(manifest_records(spark, sf_dir))
     return files.select("manifest_id", "identifier", "data_set", "title", "download_url",
                         F.coalesce("reject_reason", F.lit("ok")).alias("state"))
 
@@ -157,7 +165,7 @@ def _resolve(spark, sf_dir):
 @register("search_bulk_files", f"""WITH {MANIFEST_SQL} SELECT k AS manifest_id, identifier FROM files
 WHERE contains(lower(identifier || ' ' || data_set || ' ' || title), 'widget') AND contains(lower(identifier || ' ' || data_set || ' ' || title), 'energy')""")
 def _search(spark, sf_dir):
-    files = resolve_bulk_files(manifest_records(spark, sf_dir).where("reject_reason is null"))
+    files = resolve_bulk_files(manifest_records(spark, sf_dir))
     return search_bulk_files(files, ("Widget", " ENERGY-", " ")).select("manifest_id", "identifier")
 
 

@@ -54,12 +54,14 @@ def hourly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOURLY_SQL = f"""hourly AS (
   SELECT date_trunc('hour', ts) AS h, {sql_nth(HUB_NAMES, 'user_id')} AS location, 'DAM' AS market,
-         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*) / 100.0 AS price
+         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*) / 100.0 AS price, false AS refused
   FROM events GROUP BY ALL)"""
+# One file per hub and UTC day; every seventh day's file has a row of another component without its location.
+FILED_SQL = HOURLY_SQL.replace("false AS refused", "extract(day FROM date_trunc('hour', ts)) % 7 = 3 AS refused")
 
 DAYS_SQL = f"""days AS (
   SELECT location, market, CAST({local_sql('h')} AS DATE) AS market_date, count(*) AS actual_count,
-         count(*) AS row_count, avg(price) AS average_price, min(price) AS minimum_price,
+         count(*) AS row_count, bool_or(refused) AS refused, avg(price) AS average_price, min(price) AS minimum_price,
          max(price) AS maximum_price, arg_min(h, (price, h)) AS minimum_start,
          arg_max(h, (price, -epoch(h))) AS maximum_start
   FROM hourly GROUP BY ALL),
@@ -69,7 +71,7 @@ summary AS (
   FROM days)"""
 
 SUMMARY_COLUMNS_SQL = """location, market, CAST(market_date AS VARCHAR) AS market_date, row_count, actual_count,
-  expected_count, CASE WHEN actual_count = expected_count THEN 'complete' ELSE 'incomplete' END AS coverage,
+  expected_count, CASE WHEN refused THEN 'missing_location' WHEN actual_count = expected_count THEN 'complete' ELSE 'incomplete' END AS coverage,
   round(average_price, 6) AS average_price, minimum_price, maximum_price,
   strftime(minimum_start, '%Y-%m-%d %H:%M:%S') AS minimum_start,
   strftime(maximum_start, '%Y-%m-%d %H:%M:%S') AS maximum_start"""
@@ -79,6 +81,16 @@ def typed_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_price_rows(normalize_price_rows(hourly_rows(spark, sf_dir)))
 
 
+def filed_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rows in files; some files have a row of another component without its location."""
+    rows = hourly_rows(spark, sf_dir)
+    stamp = F.col("`IntervalStartTime GMT`")
+    rows = rows.withColumn("file", F.concat_ws("/", "node id", F.substring(stamp, 1, 10)))
+    faulty = rows.where(F.substring(stamp, 9, 2).cast("int") % 7 == 3).withColumns(
+        {"node id": F.lit(" "), "lmp-type": F.lit("MCC")})
+    return typed_price_rows(normalize_price_rows(rows.unionByName(faulty), keep=("file",)))
+
+
 def summary_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "location", "market", F.col("market_date").cast("string").alias("market_date"), "row_count",
@@ -87,9 +99,9 @@ def summary_columns(df: DataFrame) -> DataFrame:
         utc_text(F.col("maximum_start")).alias("maximum_start"))
 
 
-@register("price_day_summary", f"WITH {HOURLY_SQL}, {DAYS_SQL} SELECT {SUMMARY_COLUMNS_SQL} FROM summary")
+@register("price_day_summary", f"WITH {FILED_SQL}, {DAYS_SQL} SELECT {SUMMARY_COLUMNS_SQL} FROM summary")
 def _price_day_summary(spark, sf_dir):
-    return summary_columns(price_day_summary(typed_hourly(spark, sf_dir)))
+    return summary_columns(price_day_summary(filed_hourly(spark, sf_dir), file="file"))
 
 
 @register("normalize_price_rows", f"""WITH {HOURLY_SQL} SELECT lower(location) AS location, 'dam' AS market, 'LMP' AS component,
@@ -126,8 +138,9 @@ EVENT_ROWS_SQL = f"""rows AS (
     CASE WHEN event_id % 997 = 3 THEN NULL ELSE round(value, 2) END AS price
   FROM events)"""
 LMP_SQL = """lmp AS (SELECT *, CAST({local} AS DATE) AS market_date,
-    CASE WHEN end_ts <= start_ts THEN 'invalid_interval' WHEN price IS NULL THEN 'invalid_price' END AS bad_row
-  FROM rows WHERE component IN ('LMP', 'LMP_PRC', 'X_LMP') AND location IS NOT NULL)""".format(local=local_sql("start_ts"))
+    CASE WHEN file IN (SELECT file FROM rows WHERE location IS NULL) THEN 'missing_location'
+         WHEN end_ts <= start_ts THEN 'invalid_interval' WHEN price IS NULL THEN 'invalid_price' END AS bad_row
+  FROM rows WHERE component IN ('LMP', 'LMP_PRC', 'X_LMP'))""".format(local=local_sql("start_ts"))
 
 
 def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +151,7 @@ def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, location, component, CAST(market_date AS VARCHAR) AS market_date,
        coalesce(bad_row, 'ok') AS row_state FROM lmp""")
 def _select_lmp_rows(spark, sf_dir):
-    rows = select_lmp_rows(typed_events(spark, sf_dir).where("location is not null"))
+    rows = select_lmp_rows(typed_events(spark, sf_dir), file="file")
     return rows.select("event_id", "location", "component",
                        F.col("market_date").cast("string").alias("market_date"),
                        F.coalesce("bad_row", F.lit("ok")).alias("row_state"))
@@ -159,7 +172,7 @@ SELECT location, market, CAST(market_date AS VARCHAR) AS market_date, row_count,
             {to_utc_sql('CAST(market_date + 1 AS TIMESTAMP)')}) THEN 'complete' ELSE 'incomplete' END AS coverage
 FROM g""")
 def _coverage_status(spark, sf_dir):
-    rows = select_lmp_rows(typed_events(spark, sf_dir).where("location is not null"))
+    rows = select_lmp_rows(typed_events(spark, sf_dir), file="file")
     out = coverage_status(with_window(summarize_days(rows)))
     return out.select("location", "market", F.col("market_date").cast("string").alias("market_date"),
                       "row_count", "actual_count", "coverage")
@@ -170,7 +183,7 @@ SELECT location, CAST(market_date AS VARCHAR) AS market_date, count(*) AS row_co
        count(DISTINCT start_ts) AS distinct_starts, count(*) > count(DISTINCT start_ts) AS has_duplicates
 FROM lmp GROUP BY location, lmp.market_date""")
 def _flag_duplicates(spark, sf_dir):
-    rows = select_lmp_rows(typed_events(spark, sf_dir).where("location is not null"))
+    rows = select_lmp_rows(typed_events(spark, sf_dir), file="file")
     return flag_duplicates(rows, ["location", "market_date"]).withColumn(
         "market_date", F.col("market_date").cast("string"))
 
@@ -300,14 +313,14 @@ def _asked(spark, sf_dir):
     return q.select("location", "market", "market_date").distinct()
 
 
-@register("summarize_prices", f"""WITH {PRICE_QUESTIONS_SQL}, {WANTED_SQL}, {HOURLY_SQL}, {DAYS_SQL}
+@register("summarize_prices", f"""WITH {PRICE_QUESTIONS_SQL}, {WANTED_SQL}, {FILED_SQL}, {DAYS_SQL}
 SELECT a.location, a.market, CAST(a.market_date AS VARCHAR) AS market_date,
-  CASE WHEN s.row_count IS NULL THEN 'empty' WHEN s.actual_count = s.expected_count THEN 'complete' ELSE 'incomplete' END AS coverage,
+  CASE WHEN s.row_count IS NULL THEN 'empty' WHEN s.refused THEN 'missing_location' WHEN s.actual_count = s.expected_count THEN 'complete' ELSE 'incomplete' END AS coverage,
   coalesce(s.actual_count, 0) AS actual_count, coalesce(round(s.average_price, 6), -1) AS average_price,
   coalesce(s.minimum_price, -1) AS minimum_price, coalesce(s.maximum_price, -1) AS maximum_price
 FROM asked a LEFT JOIN summary s USING (location, market, market_date)""")
 def _summarize_prices(spark, sf_dir):
-    out = summarize_prices(typed_hourly(spark, sf_dir), _asked(spark, sf_dir))
+    out = summarize_prices(filed_hourly(spark, sf_dir), _asked(spark, sf_dir), file="file")
     return out.select(
         "location", "market", F.col("market_date").cast("string").alias("market_date"), "coverage",
         F.coalesce("actual_count", F.lit(0)).alias("actual_count"),
@@ -327,9 +340,9 @@ def _join_price_window(spark, sf_dir):
                       utc_text(F.col("start_ts")).alias("start_text"), F.col("price_value").alias("price"))
 
 
-@register("answer_prices", f"""WITH {PRICE_QUESTIONS_SQL}, {HOURLY_SQL}, {DAYS_SQL},
+@register("answer_prices", f"""WITH {PRICE_QUESTIONS_SQL}, {FILED_SQL}, {DAYS_SQL},
 j AS (SELECT r.question_id, r.status AS s0, r.display_name, r.market, r.market_date, s.actual_count, s.average_price,
-        s.minimum_price, s.maximum_price, coalesce(s.actual_count = s.expected_count, false) AS complete
+        s.minimum_price, s.maximum_price, coalesce(s.actual_count = s.expected_count AND NOT s.refused, false) AS complete
       FROM resolved r LEFT JOIN summary s ON r.status = 'resolved' AND r.location = s.location
         AND r.market = s.market AND r.market_date = s.market_date)
 SELECT question_id, CASE WHEN s0 <> 'resolved' THEN s0 WHEN complete THEN 'answered' ELSE 'held' END AS status,
@@ -338,10 +351,10 @@ SELECT question_id, CASE WHEN s0 <> 'resolved' THEN s0 WHEN complete THEN 'answe
        WHEN complete THEN printf('%s %s LMP averaged $%s/MWh on %s.', display_name, market, CAST(round(CAST(average_price AS DECIMAL(18,6)), 2) AS VARCHAR),
                                  strftime(market_date, '%Y-%m-%d'))
        ELSE 'The CAISO price answer was held.' END AS direct_answer,
-  CASE WHEN complete THEN printf('The official result contained %d validated intervals. The minimum was $%s/MWh and the maximum was $%s/MWh.',
+  CASE WHEN complete THEN printf('The official CAISO result contained %d validated intervals. The minimum was $%s/MWh and the maximum was $%s/MWh.',
        actual_count, CAST(CAST(minimum_price AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(maximum_price AS DECIMAL(18,2)) AS VARCHAR)) END AS simple_explanation FROM j""")
 def _answer_prices(spark, sf_dir):
-    out = answer_prices(price_questions(spark, sf_dir), typed_hourly(spark, sf_dir))
+    out = answer_prices(price_questions(spark, sf_dir), filed_hourly(spark, sf_dir), file="file")
     return out.select("question_id", "status", "confidence", "direct_answer", "simple_explanation")
 
 
@@ -356,14 +369,14 @@ def _price_answer_text(spark, sf_dir):
                        direct.alias("direct_answer"))
 
 
-@register("price_records", f"""WITH {HOURLY_SQL}, {DAYS_SQL}
+@register("price_records", f"""WITH {FILED_SQL}, {DAYS_SQL}
 SELECT location, CAST(market_date AS VARCHAR) AS market_date, 'caiso_oasis' AS provider_id, 'structured_api' AS method,
   strftime({to_utc_sql('CAST(market_date + 1 AS TIMESTAMP)')}, '%Y-%m-%dT%H:%M:%S+00:00') AS observed_text,
   'USD/MWh' AS unit, 'CAISO DAM ' || CASE location WHEN 'TH_NP15_GEN-APND' THEN 'NP-15' WHEN 'TH_SP15_GEN-APND' THEN 'SP-15' ELSE 'ZP-26' END AS market,
-  'America/Los_Angeles' AS timezone, 'hourly' AS interval_name, actual_count = expected_count AS complete_coverage, true AS is_primary
+  'America/Los_Angeles' AS timezone, 'hourly' AS interval_name, actual_count = expected_count AND NOT refused AS complete_coverage, true AS is_primary
 FROM summary""")
 def _price_records(spark, sf_dir):
-    days = price_day_summary(typed_hourly(spark, sf_dir)).withColumn("display_name", display_hub(F.col("location")))
+    days = price_day_summary(filed_hourly(spark, sf_dir), file="file").withColumn("display_name", display_hub(F.col("location")))
     direct, explain = price_answer_text(F.col("display_name"))
     days = days.withColumns({"direct_answer": direct, "simple_explanation": explain})
     recs = observed_text(price_records(days, ("location", "market_date")))

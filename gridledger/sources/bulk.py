@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +10,7 @@ from pyspark.sql import functions as F
 from gridledger.functions import fixed_values as fv
 from gridledger.functions.text import norm_text, strip
 from gridledger.functions.urls import approved
-
-MAX_DEPTH = 5
+from gridledger.session import cut_lineage
 
 
 def _entries(node: Column) -> Column:
@@ -41,10 +41,8 @@ def _is_record(node: Column) -> Column:
 
 
 def _step() -> Column:
-    """Children of the current node; records and scalars stand still."""
+    """Nested children of a node that is no record."""
     key = lambda e: F.regexp_replace(F.lower(strip(e["key"])), "[- ]", "_")
-    still = F.array(F.struct(F.col("node").alias("node"), F.col("inherited").alias("inherited"),
-                             F.col("place").alias("place"), F.col("is_record").alias("is_record")))
     nested = lambda v: _is_object(v) | _is_list(v)
     items = F.transform(
         F.from_json("node", "array<string>"),
@@ -62,26 +60,30 @@ def _step() -> Column:
             F.concat(F.col("place"), F.array(i)).alias("place"),
             F.lit(False).alias("is_record")))
     children = F.when(_is_list(F.col("node")), items).when(_is_object(F.col("node")), members)
-    return F.when(F.col("is_record"), still).otherwise(
-        F.filter(children, lambda c: nested(c["node"])))
+    return F.filter(children, lambda c: nested(c["node"]))
 
 
 def flatten_bulk_manifest(manifests: DataFrame, key: str = "manifest_id",
                           body: str = "body") -> DataFrame:
     """Records of each manifest in document order, first of equal ones kept.
 
-    Envelopes are followed to ``MAX_DEPTH`` levels; what is nested deeper comes
-    back with ``reject_reason = 'too_deep'``. A JSON value counts as nested when
-    its text starts with a brace or bracket.
+    Envelopes are followed to any depth: each level is one step over the nodes
+    still open, until none is. A JSON value counts as nested when its text starts
+    with a brace or bracket.
     """
     rows = manifests.select(key, F.trim(F.col(body)).alias("node"),
                             F.lit(None).cast("string").alias("inherited"),
                             F.array().cast("array<int>").alias("place"))
     rows = rows.withColumn("is_record", _is_record(F.col("node")))
-    for _ in range(MAX_DEPTH):
-        rows = (rows.select(key, F.explode(_step()).alias("n"))
-                .select(key, "n.node", "n.inherited", "n.place",
-                        (F.col("n.is_record") | _is_record(F.col("n.node"))).alias("is_record")))
+    settled = []
+    while True:
+        rows = cut_lineage(rows)
+        settled.append(rows.where("is_record"))
+        if rows.where("not is_record").isEmpty():
+            break
+        rows = (rows.where("not is_record").select(key, F.explode(_step()).alias("n"))
+                .select(key, "n.node", "n.inherited", "n.place", _is_record(F.col("n.node")).alias("is_record")))
+    rows = reduce(DataFrame.unionByName, settled)
     fields = F.from_json("node", "map<string,string>")
     rows = rows.withColumn("raw", F.when(F.col("is_record"), fields))
     own = F.coalesce(*[F.nullif(F.col("raw")[k], F.lit("")) for k in fv.MANIFEST_ID_KEYS])
@@ -98,12 +100,7 @@ def flatten_bulk_manifest(manifests: DataFrame, key: str = "manifest_id",
     records = rows.where("is_record").select(key, "raw", "inherited", "place", *signature)
     best = records.groupBy(key, "sig_id", "sig_set", "sig_url").agg(
         F.min_by(F.struct("raw", "inherited", "place"), F.col("place")).alias("r"))
-    kept = best.select(key, "r.raw", "r.inherited", "r.place",
-                       F.lit(None).cast("string").alias("reject_reason"))
-    deep = rows.where("not is_record").select(
-        key, F.lit(None).cast("map<string,string>").alias("raw"), "inherited", "place",
-        F.lit("too_deep").alias("reject_reason"))
-    return kept.unionByName(deep)
+    return best.select(key, "r.raw", "r.inherited", "r.place", F.lit(None).cast("string").alias("reject_reason"))
 
 
 def resolve_bulk_files(records: DataFrame) -> DataFrame:

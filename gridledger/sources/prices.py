@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,10 @@ def price_rows_from_cells(df: DataFrame, keep: tuple[str, ...] = ("path", "row_n
     names = F.transform("header", lambda h: F.regexp_replace(F.regexp_replace(
         F.upper(strip(h)), "[^A-Z0-9]+", "_"), "^_+|_+$", ""))
     df = df.where("reject_reason is null").withColumn("_names", names)
-    fields = _logical(lambda a: F.get("cells", F.array_position("_names", F.lit(a)).cast("int") - 1))
+    # The later of two headers with one normal form counts.
+    backwards = F.reverse("_names")
+    last = lambda a: F.nullif(F.array_position(backwards, F.lit(a)), F.lit(0))
+    fields = _logical(lambda a: F.get("cells", (F.size("_names") - last(a)).cast("int")))
     return df.select(*keep, *fields)
 
 
@@ -72,14 +76,43 @@ def _decode(raw: bytes) -> str | None:
     return None
 
 
-def _open_archive(content: bytes):
+class ArchiveLimits(NamedTuple):
+    """Optional limits of one archive; none by default (``fv.ARCHIVE_MAX_*`` are the compatible ones)."""
+
+    max_bytes: int | None = None
+    max_members: int | None = None
+    max_member_bytes: int | None = None
+
+
+def _over(value: int, limit: int | None) -> bool:
+    return limit is not None and value > limit
+
+
+def _open_archive(content: bytes, limits: ArchiveLimits):
     """(member name, text or list of error bodies, reject reason) of one landed archive."""
+    import zlib
+
+    try:
+        return _read_members(content, limits)
+    except (RuntimeError, NotImplementedError):  # encrypted, or packed in an unknown way
+        return None, None, "unreadable_member"
+    except (zlib.error, EOFError, OSError, ValueError, *_zip_errors()):
+        return None, None, "corrupt_member"
+
+
+def _zip_errors() -> tuple:
+    import zipfile
+
+    return (zipfile.BadZipFile, zipfile.LargeZipFile)
+
+
+def _read_members(content: bytes, limits: ArchiveLimits):
     import io
     import zipfile
 
     if not content:
         return None, None, "empty_response"
-    if len(content) > fv.ARCHIVE_MAX_BYTES:
+    if _over(len(content), limits.max_bytes):
         return None, None, "archive_too_large"
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
@@ -89,7 +122,7 @@ def _open_archive(content: bytes):
     names = [m.filename.lower() for m in members]
     tables = [m for m in members if m.filename.lower().endswith(".csv")]
     reject = None
-    if len(members) > fv.ARCHIVE_MAX_MEMBERS:
+    if _over(len(members), limits.max_members):
         reject = "too_many_members"
     elif any(n[:1] in ("/", "\\") or ".." in n.replace("\\", "/").split("/") for n in names):
         reject = "unsafe_path"
@@ -97,26 +130,26 @@ def _open_archive(content: bytes):
         reject = "xml_only" if any(n.endswith(".xml") for n in names) else "no_csv"
     elif len(tables) > 1:
         reject = "multiple_csv"
-    elif tables[0].file_size > fv.ARCHIVE_MAX_MEMBER_BYTES:
+    elif _over(tables[0].file_size, limits.max_member_bytes):
         reject = "member_too_large"
     if reject:
         errors = [_decode(archive.read(m)) or "" for m in members
-                  if m.filename.lower().endswith(".xml")
-                  and m.file_size <= fv.ARCHIVE_MAX_MEMBER_BYTES] if reject == "xml_only" else None
+                  if m.filename.lower().endswith(".xml")] if reject == "xml_only" else None
         return None, errors, reject
     text = _decode(archive.read(tables[0]))
     return (tables[0].filename, text, None) if text is not None else (None, None, "undecodable")
 
 
-def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _archive_rows(batches: Iterator[pd.DataFrame], limits: ArchiveLimits) -> Iterator[pd.DataFrame]:
     import csv
     import io
 
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
     names = ["path", "member", "row_no", "header", "cells", "reject_reason"]
     for batch in batches:
         out = []
         for path, content in zip(batch["path"], batch["content"]):
-            member, text, reject = _open_archive(bytes(content) if content is not None else b"")
+            member, text, reject = _open_archive(bytes(content) if content is not None else b"", limits)
             if reject:
                 out.append((path, None, 0, None, text, reject))
                 continue
@@ -135,14 +168,16 @@ def _archive_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=names)
 
 
-def price_archive_rows(archives: DataFrame) -> DataFrame:
+def price_archive_rows(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """``path, content`` rows to CSV records; a rejected archive gives one row.
 
+    No content ends the job: damaged, encrypted and undecodable archives are rejected by name.
+
     The row of a body that is XML (zipped or plain) carries its text in ``cells``.
     A ZIP cannot be split, so one archive is opened by one task; its records
     leave in batches. Archives are independent, so they spread over the cluster.
     """
-    return archives.select("path", "content").mapInPandas(_archive_rows, ARCHIVE_SCHEMA)
+    return archives.select("path", "content").mapInPandas(lambda batches: _archive_rows(batches, limits), ARCHIVE_SCHEMA)
 
 
 def read_price_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -165,11 +200,11 @@ _NAMED_ERROR = r"(?is)<(?:ERR_DESC|ERROR_DESC|MESSAGE)>(.*?)</(?:ERR_DESC|ERROR_
 def price_error(body: Column) -> Column:
     """Error text of a returned XML body, null when the body is no error.
 
-    The named description wins; otherwise an ERROR tag makes the tag-stripped
-    text (500 characters, the length of an error summary) the message.
+    The named description wins; otherwise an ERROR tag makes the whole
+    tag-stripped text the message.
     """
     named = body.rlike(_NAMED_ERROR)
-    summary = F.substring(squeeze(F.regexp_replace(body, "<[^>]+>", " ")), 1, 500)
+    summary = squeeze(F.regexp_replace(body, "<[^>]+>", " "))
     return (
         F.when(named, squeeze(F.regexp_extract(body, _NAMED_ERROR, 1)))
         .when(body.rlike(r"(?i)<(?:ERROR|ERR_CODE|ERR_DESC)\b"), summary)

@@ -27,6 +27,22 @@ def read_series_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("line"))
 
 
+def _member_lines(archive, member) -> Iterator[str]:
+    """Lines of a member as they stream; what cannot be read gives a line that is no record."""
+    import zipfile
+    import zlib
+
+    try:
+        with archive.open(member) as stream:
+            for row, line in enumerate(stream):
+                try:
+                    yield line.removeprefix(b"\xef\xbb\xbf" if row == 0 else b"").decode().rstrip("\r\n")
+                except UnicodeDecodeError:
+                    yield "<undecodable line>"
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError, OSError):
+        yield "<unreadable member>"
+
+
 def _archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import io
     import zipfile
@@ -39,25 +55,28 @@ def _archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
                 members = [m for m in archive.infolist()
                            if m.filename.lower().endswith(SERIES_SUFFIXES)]
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, OSError, ValueError):
                 members = []
             for block, member in enumerate(members):
-                with io.TextIOWrapper(archive.open(member), encoding="utf-8-sig") as lines:
-                    for row, line in enumerate(lines):
-                        out.append((path, block, row, line.rstrip("\n")))
-                        if len(out) >= BATCH_ROWS:
-                            yield pd.DataFrame(out, columns=names)
-                            out = []
+                for row, line in enumerate(_member_lines(archive, member)):
+                    out.append((path, block, row, line))
+                    if len(out) >= BATCH_ROWS:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
             if not members:
                 out.append((path, 0, 0, "<unreadable archive>"))
             if out:
                 yield pd.DataFrame(out, columns=names)
 
 
+def series_archive_lines(archives: DataFrame) -> DataFrame:
+    """``path, content`` rows to lines; one task streams one archive, lines leave in batches."""
+    return archives.select("path", "content").mapInPandas(_archive_lines, LINE_SCHEMA)
+
+
 def read_series_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped JSON lines; one task streams one archive, lines leave in batches."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInPandas(_archive_lines, LINE_SCHEMA)
+    """Landed archives of JSON lines."""
+    return series_archive_lines(spark.read.format("binaryFile").load(path))
 
 
 def _field(name: str) -> Column:
