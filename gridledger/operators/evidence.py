@@ -158,9 +158,16 @@ def group_candidates(scored: DataFrame, key: str = "question_id") -> DataFrame:
 
 
 def provider_counts(results: DataFrame, key: str = "question_id") -> DataFrame:
-    """Results and distinct canonical URLs per provider."""
-    return results.withColumn("_url", canonicalize_url(F.col("url"))).groupBy(key, "provider").agg(
-        F.count("*").alias("result_count"), F.count_distinct("_url").alias("distinct_urls"))
+    """Results and distinct canonical URLs per provider, and over all providers (a null provider).
+
+    Counted once per URL and provider first, so the totals add up these few rows.
+    """
+    per_url = results.withColumn("_url", canonicalize_url(F.col("url"))).groupBy(key, "provider", "_url").agg(
+        F.count("*").alias("_n"))
+    totals = per_url.groupBy(key, "_url").agg(F.sum("_n").alias("_n")).groupBy(key).agg(
+        F.sum("_n").alias("result_count"), F.count("_url").alias("distinct_urls"))
+    parts = per_url.groupBy(key, "provider").agg(F.sum("_n").alias("result_count"), F.count("_url").alias("distinct_urls"))
+    return parts.unionByName(totals.withColumn("provider", F.lit(None).cast("string")))
 
 
 # ---- page and model gates ----------------------------------------------------
@@ -243,7 +250,7 @@ def _first_positions(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.groupBy(key, column).agg(F.min("pos").alias(f"_first_{column}"))
 
 
-def greedy_dedup(docs: DataFrame, key: str = "packet_id", max_rounds: int = 1000) -> DataFrame:
+def greedy_dedup(docs: DataFrame, key: str = "packet_id") -> DataFrame:
     """Walk each packet in ``pos`` order; drop a document whose URL or fingerprint
     equals that of a *retained* one. Adds ``retained``.
 
@@ -258,9 +265,7 @@ def greedy_dedup(docs: DataFrame, key: str = "packet_id", max_rounds: int = 1000
     keyed = docs.where(~F.col("generic")).select(key, "pos", "dedup_url", "fingerprint")
     open_rows = cut_lineage(keyed.groupBy(key, "dedup_url", "fingerprint").agg(F.min("pos").alias("pos")))
     kept_parts: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():
         marked = (open_rows
                   .join(_first_positions(open_rows, key, "dedup_url"), [key, "dedup_url"])
                   .join(_first_positions(open_rows, key, "fingerprint"), [key, "fingerprint"]))
@@ -271,8 +276,6 @@ def greedy_dedup(docs: DataFrame, key: str = "packet_id", max_rounds: int = 1000
         open_rows = cut_lineage(
             open_rows.join(kept.select(key, "dedup_url"), [key, "dedup_url"], "left_anti")
             .join(kept.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"))
-    else:
-        raise RuntimeError("greedy_dedup did not settle")
     if not kept_parts:
         return docs.withColumn("retained", F.lit(False))
     kept_all = merge_results(*kept_parts).select(key, "pos", F.lit(True).alias("_kept"))
@@ -284,20 +287,22 @@ def dedup_capped(docs: DataFrame, key: str = "question_id", cap: int = 6) -> Dat
     """``greedy_dedup`` for packets that ``cap_documents`` already bounded.
 
     At most ``cap`` rows per packet are folded in one array, so the sequential
-    walk needs one shuffle and no rounds. Larger packets raise instead of being
-    cut; use ``greedy_dedup`` for them.
+    walk needs one shuffle and no rounds. Packets larger than that go through
+    ``greedy_dedup``.
     """
+    sizes = docs.where(~F.col("generic")).groupBy(key).agg(F.count("*").alias("_size"))
+    large = cut_lineage(sizes.where(F.col("_size") > cap).select(key))
+    if not large.isEmpty():
+        rest = docs.join(large, key, "left_anti")
+        return dedup_capped(rest, key, cap).unionByName(greedy_dedup(docs.join(large, key, "left_semi"), key))
     rows = docs.where(~F.col("generic")).select(key, "pos", "dedup_url", "fingerprint")
-    rows = top_k(rows, [key], [F.col("pos").asc()], cap + 1)
     walk = F.array_sort(F.collect_list(F.struct("pos", "dedup_url", "fingerprint")))
-    packets = rows.groupBy(key).agg(walk.alias("_docs"), F.count("*").alias("_size"))
+    packets = rows.groupBy(key).agg(walk.alias("_docs"))
     start = F.filter("_docs", lambda d: F.lit(False))
     keep = F.reduce("_docs", start, lambda acc, d: F.when(
         F.exists(acc, lambda k: (k["dedup_url"] == d["dedup_url"]) | (k["fingerprint"] == d["fingerprint"])),
         acc).otherwise(F.concat(acc, F.array(d))))
-    packets = packets.select(key, F.when(F.col("_size") <= cap, keep).otherwise(
-        F.raise_error(F.lit("packet exceeds its document cap"))).alias("_keep"))
-    kept = packets.select(key, F.explode("_keep").alias("k")).select(
+    kept = packets.select(key, F.explode(keep).alias("k")).select(
         key, F.col("k.pos").alias("pos"), F.lit(True).alias("_kept"))
     return (docs.join(kept, [key, "pos"], "left")
             .withColumn("retained", F.coalesce("_kept", F.lit(False))).drop("_kept"))

@@ -160,7 +160,7 @@ def attempt_outcomes(attempts: DataFrame, key: str = "question_id",
                           "No primary-source record was available.")})
 
 
-def page_coverage(pages: DataFrame, key: str = "request_id", max_rows: int = 100_000) -> DataFrame:
+def page_coverage(pages: DataFrame, key: str = "request_id", *, max_rows: int) -> DataFrame:
     """Rows received against the announced total, per paged request."""
     out = pages.groupBy(key).agg(
         F.count("*").alias("page_count"), F.sum("row_count").alias("rows_received"),

@@ -70,9 +70,11 @@ def number_sources(records: DataFrame, key: str = "question_id", pos: str = "pos
 
 
 def cap_documents(docs: DataFrame, key: str = "question_id", pos: str = "pos",
-                  accepted: str = "accepted", candidates: int = 12, documents: int = 6) -> DataFrame:
-    """Candidates actually tried: the first 12, stopping once 6 were accepted."""
-    tried = top_k(docs, [key], [F.col(pos).asc()], candidates)
+                  accepted: str = "accepted", candidates: int | None = 12, documents: int | None = 6) -> DataFrame:
+    """Candidates actually tried: the first ``candidates``, stopping once ``documents`` were accepted; None: all."""
+    tried = docs if candidates is None else top_k(docs, [key], [F.col(pos).asc()], candidates)
+    if documents is None:
+        return tried
     before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum(F.col(accepted).cast("int")).over(before), F.lit(0))
     return tried.withColumn("_done", done).where(F.col("_done") < documents).drop("_done")
@@ -127,12 +129,14 @@ def rank_results(results: DataFrame, key: str = "question_id", pos: str = "pos",
          ("_pos_chunk", F.floor(F.col(pos) / chunk_size), True)], "result_rank")
 
 
-def top_candidates(candidates: DataFrame, k: int = 30, key: str = "question_id") -> DataFrame:
-    """Official first, then score, then dated; stable on first-seen position."""
-    return top_k(candidates, [key], [
-        F.col("official").desc(), F.col("score").desc(),
-        F.coalesce(F.col("published_at") != "", F.lit(False)).desc(), F.col("pos").asc()], k,
-        "candidate_rank")
+def top_candidates(candidates: DataFrame, k: int | None = 30, key: str = "question_id") -> DataFrame:
+    """Official first, then score, then dated; stable on first-seen position. Without ``k`` all are ranked."""
+    order = [F.col("official").desc(), F.col("score").desc(),
+             F.coalesce(F.col("published_at") != "", F.lit(False)).desc(), F.col("pos").asc()]
+    if k is None:
+        return number_rows(candidates, [key], order, [("_official", F.coalesce("official", F.lit(False)), False),
+                                                      ("_score", F.coalesce("score", F.lit(float("-inf"))), False)], "candidate_rank")
+    return top_k(candidates, [key], order, k, "candidate_rank")
 
 
 def sort_series(rows: DataFrame, keys: Sequence[str] = ("series_id",), ts: str = "ts") -> DataFrame:
@@ -140,6 +144,8 @@ def sort_series(rows: DataFrame, keys: Sequence[str] = ("series_id",), ts: str =
     return rows.orderBy(*keys, ts)
 
 
-def limit_page(rows: DataFrame, order: Sequence[Column], offset: int = 0, length: int = 5000) -> DataFrame:
-    """One page of an ordered listing."""
-    return rows.orderBy(*order).offset(offset).limit(length)
+def limit_page(rows: DataFrame, order: Sequence[Column], length: int, after: Column | None = None) -> DataFrame:
+    """One page of an ordered listing: the first ``length`` rows beyond the key bound ``after``
+    (a condition on the last row of the page before), so no page gathers the ones before it."""
+    page = rows if after is None else rows.where(after)
+    return page.orderBy(*order).limit(length)

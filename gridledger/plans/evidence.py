@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridledger.functions.plan import compute_once
 from gridledger.functions.urls import canonicalize_url, host
 from gridledger.operators.evidence import (
-    accept_validated, dedup_capped, group_candidates, packet_rollup, page_gate, retained_rollup,
+    accept_validated, dedup_capped, greedy_dedup, group_candidates, packet_rollup, page_gate, retained_rollup,
     score_discovery, score_page, validated_rollup, with_dedup_keys, with_plan_terms)
 from gridledger.operators.joins import join_authority
 from gridledger.operators.ranking import cap_documents, top_candidates
@@ -29,8 +29,8 @@ class EvidenceTables:
     retained: DataFrame
 
 
-def discover(plans: DataFrame, results: DataFrame, authorities: DataFrame, k: int = 30) -> DataFrame:
-    """Scored, grouped and ranked candidates per question.
+def discover(plans: DataFrame, results: DataFrame, authorities: DataFrame, k: int | None = None) -> DataFrame:
+    """Scored, grouped and ranked candidates per question, the best ``k`` where given.
 
     Results carry no plan text: terms are computed once per plan, and only the
     columns scoring needs travel with the join.
@@ -43,21 +43,23 @@ def discover(plans: DataFrame, results: DataFrame, authorities: DataFrame, k: in
 
 
 def collect(candidates: DataFrame, plans: DataFrame, pages: DataFrame, authorities: DataFrame,
-            max_chars: int | None = None) -> DataFrame:
+            max_chars: int | None = None, tried: int | None = None, accepted: int | None = None) -> DataFrame:
     """Tried candidates with page text, relevance and gate outcome.
 
     ``pages`` is keyed by ``url`` (the canonical request URL) with ``final_url``
-    and ``html``. Only the best 12 candidates of a question reach their pages;
-    page text is extracted once per distinct page.
+    and ``html``; page text is extracted once per distinct page. ``tried`` limits the
+    candidates of a question that reach their pages, ``accepted`` the pages after which
+    it stops; both are off by default.
     """
     terms = with_plan_terms(plans).select("question_id", *PLAN_COLUMNS)
-    tried = candidates.where("candidate_rank <= 12").select(
+    chosen = candidates if tried is None else candidates.where(F.col("candidate_rank") <= tried)
+    chosen = chosen.select(
         "question_id", F.col("candidate_rank").alias("pos"), "url", F.col("score").alias("discovery_score"),
         F.col("title").alias("result_title"), "official")
-    wanted = pages.join(tried.select("url").distinct(), "url", "left_semi")
+    wanted = pages.join(chosen.select("url").distinct(), "url", "left_semi")
     texts = extract_page_text(wanted).drop("html")
     texts = join_authority(compute_once(texts, {"host": host(F.col("final_url"))}), "host", authorities)
-    docs = tried.join(texts, "url", "left").withColumn(
+    docs = chosen.join(texts, "url", "left").withColumn(
         "reject_reason", F.when(F.col("final_url").isNull(), "not_fetched").otherwise(F.col("reject_reason")))
     docs = score_page(docs.join(terms, "question_id"), max_chars).drop(*PLAN_COLUMNS)
     docs = page_gate(docs).withColumns({
@@ -65,27 +67,40 @@ def collect(candidates: DataFrame, plans: DataFrame, pages: DataFrame, authoriti
         "source_tier": F.coalesce("tier", F.lit("supporting")),
         "provider": F.coalesce("organization", F.col("host")),
         "official": F.col("official") | F.col("tier").isNotNull()})
-    return cap_documents(docs)
+    return cap_documents(docs, candidates=None, documents=accepted)
 
 
 def evidence_batch(plans: DataFrame, results: DataFrame, pages: DataFrame, scores: DataFrame,
-                   authorities: DataFrame) -> EvidenceTables:
+                   authorities: DataFrame, k: int | None = None, tried: int | None = None,
+                   accepted_pages: int | None = None) -> EvidenceTables:
     """Discovery to retained evidence. ``scores`` holds the model's verdict per
     (question_id, url): relevance_score, relevant, answerable, source_scope.
 
-    Candidates (at most 30 per question) and tried documents (at most 12) are
-    checkpointed: several outputs read them, and neither the scoring nor the page
-    extraction should run once per output.
+    ``k``, ``tried`` and ``accepted_pages`` limit candidates, tried pages and accepted pages of
+    a question; all off by default. An accepted page without a verdict is a failed validation:
+    it stays, rejected, and is counted. Every plan has a row in ``validated``.
+
+    Candidates and tried documents are checkpointed: several outputs read them, and
+    neither the scoring nor the page extraction should run once per output.
     """
-    candidates = cut_lineage(discover(plans, results, authorities))
-    documents = cut_lineage(collect(candidates, plans, pages, authorities))
+    candidates = cut_lineage(discover(plans, results, authorities, k))
+    documents = cut_lineage(collect(candidates, plans, pages, authorities, tried=tried, accepted=accepted_pages))
     accepted = documents.where("accepted").withColumn("request_url", F.col("url")).withColumn(
         "url", F.col("final_url")).drop("accepted")
     packets = packet_rollup(accepted)
-    judged = accept_validated(accepted.join(
-        scores.withColumnRenamed("url", "request_url"), ["question_id", "request_url"]))
-    validated = validated_rollup(judged)
-    kept = dedup_capped(with_dedup_keys(judged.where("accepted")))
+    scored = accepted.join(scores.withColumnRenamed("url", "request_url").withColumn("_scored", F.lit(True)),
+                           ["question_id", "request_url"], "left")
+    failed = F.col("_scored").isNull() | F.col("relevance_score").isNull()
+    scored = scored.withColumns({"validation_failed": failed, "relevance_score": F.coalesce("relevance_score", F.lit(0.0))})
+    judged = accept_validated(scored.drop("_scored"))
+    failures = judged.groupBy("question_id").agg(F.count_if("validation_failed").alias("failed_count"))
+    validated = (plans.select("question_id").distinct().join(validated_rollup(judged), "question_id", "left")
+                 .join(failures, "question_id", "left"))
+    counts = ("accepted_count", "direct_count", "answerable_count", "controlling_count", "domain_count", "failed_count")
+    validated = validated.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "sufficient": F.coalesce("sufficient", F.lit(False)),
+                                       "reason": F.coalesce("reason", F.lit("no_evidence"))})
+    keyed = with_dedup_keys(judged.where("accepted"))
+    kept = greedy_dedup(keyed, "question_id") if accepted_pages is None else dedup_capped(keyed, cap=accepted_pages)
     return EvidenceTables(candidates, documents, packets, validated, kept)
 
 
@@ -96,4 +111,5 @@ def packet_status(tables: EvidenceTables) -> DataFrame:
     return out.withColumns({
         "sufficient": F.coalesce("sufficient", F.lit(False)),
         "retained_count": F.coalesce("retained_count", F.lit(0)),
-        "reason": F.coalesce("final_reason", F.lit("only_duplicates_or_generic"))}).drop("final_reason")
+        "reason": F.coalesce("final_reason", F.when(F.col("accepted_count") > 0, "only_duplicates_or_generic")
+                             .otherwise(F.col("reason")))}).drop("final_reason")

@@ -90,7 +90,8 @@ def _merge_results(spark, sf_dir):
                                               canonicalize_url(F.col("url")).alias("url"), "query")
 
 
-@register("provider_counts", f"""WITH {MERGED_SQL} SELECT question_id, provider, count(*) AS result_count, count(DISTINCT url) AS distinct_urls FROM merged GROUP BY 1, 2""")
+@register("provider_counts", f"""WITH {MERGED_SQL} SELECT question_id, provider, count(*) AS result_count, count(DISTINCT url) AS distinct_urls FROM merged GROUP BY 1, 2
+UNION ALL SELECT question_id, NULL, count(*), count(DISTINCT url) FROM merged GROUP BY 1""")
 def _provider_counts(spark, sf_dir):
     return provider_counts(web_and_news(spark, sf_dir))
 
@@ -144,16 +145,17 @@ def _top_candidates(spark, sf_dir):
 
 @register("discover", f"WITH {DISC_SQL}, {GROUPED_SQL} SELECT question_id, url, score, official, candidate_rank FROM cands WHERE candidate_rank <= 30")
 def _discover(spark, sf_dir):
-    return discover(plans(spark, sf_dir), web_and_news(spark, sf_dir), dims.authorities(spark)).select(
+    return discover(plans(spark, sf_dir), web_and_news(spark, sf_dir), dims.authorities(spark), 30).select(
         "question_id", "url", "score", "official", "candidate_rank")
 
 
 # ---- pages fetched for candidates -----------------------------------------------------------
 def landed_pages(spark, sf_dir):
-    """Page bodies keyed by canonical URL, the lowest page id of a URL."""
+    """Page bodies keyed by canonical URL, the lowest page id of a URL. Some questions find none landed."""
     urls = compute_once(varied_urls(spark, sf_dir), {"url": canonicalize_url(F.col("url"))})
     pages = urls.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return top_k(pages, ["url"], [F.col("page_id").asc()], 1).select("url", F.col("url").alias("final_url"), "page_id", "html")
+    return top_k(pages, ["url"], [F.col("page_id").asc()], 1).where(
+        F.expr("page_id div 12 % 5 <> 4")).select("url", F.col("url").alias("final_url"), "page_id", "html")
 
 
 REL_SQL = ROUND.format("""1.0 * len(list_filter(qt, lambda w: contains(ptxt, w))) + 3.0 * len(list_filter(et, lambda w: contains(ptxt, w))) + 2.5 * len(list_filter(gt, lambda w: contains(ptxt, w)))
@@ -304,8 +306,8 @@ def _retained_rollup(spark, sf_dir):
 
 # ---- whole chain ---------------------------------------------------------------------------------
 def verdicts(spark, sf_dir):
-    """The model's verdict on each landed page for the question it was found for."""
-    urls = landed_pages(spark, sf_dir)
+    """The model's verdict on landed pages for the question they were found for; one in five is missing."""
+    urls = landed_pages(spark, sf_dir).where("page_id % 5 <> 2")
     i = F.col("page_id")
     return urls.select(
         F.expr("page_id div 12").alias("question_id"), "url", (F.pmod(i, F.lit(100)) / 100 + 0.3).alias("relevance_score"),
@@ -314,8 +316,8 @@ def verdicts(spark, sf_dir):
 
 
 BATCH_SQL = f"""{DISC_SQL}, {GROUPED_SQL}, {PAGE_TEXT_SQL},
-landed AS (SELECT canonical AS url, min(page_id) AS page_id FROM canon GROUP BY 1),
-tried AS (SELECT c.question_id, c.candidate_rank AS pos, c.url, c.score AS discovery_score, c.title AS result_title, c.host, t.tier, c.qt, c.et, c.gt, c.entities, c.geography,
+landed AS (SELECT canonical AS url, min(page_id) AS page_id FROM canon GROUP BY 1 HAVING min(page_id) // 12 % 5 <> 4),
+tried AS (SELECT c.question_id, c.candidate_rank AS pos, c.url, c.score AS discovery_score, c.title AS result_title, c.host, CASE WHEN l.page_id IS NOT NULL THEN t.tier END AS tier, c.qt, c.et, c.gt, c.entities, c.geography,
     l.page_id, x.title AS page_title, x.text, lower(x.title || ' ' || x.text) AS ptxt
   FROM cands c LEFT JOIN landed l USING (url) LEFT JOIN page_text x ON x.page_id = l.page_id LEFT JOIN tiers t ON t.host = c.host WHERE candidate_rank <= 12),
 rel AS (SELECT *, {REL_SQL} AS relevance FROM tried),
@@ -323,14 +325,14 @@ gated AS (SELECT *, CASE WHEN page_id IS NULL THEN 'not_fetched' WHEN length(tex
     WHEN relevance < 5 THEN 'below_relevance_gate' END AS gate_reason FROM rel),
 capped AS (SELECT *, coalesce(sum(CASE WHEN gate_reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM gated),
 documents_out AS (SELECT * FROM capped WHERE done < 6),
-verdict AS (SELECT page_id // 12 AS question_id, url, (page_id % 100) / 100.0 + 0.3 AS rs, page_id % 4 <> 0 AS relevant, page_id % 3 <> 0 AS ans, ['direct', 'partial', 'background'][(page_id % 3) + 1] AS scope FROM landed),
-jd AS (SELECT d.*, v.scope, least(1.0, v.rs) >= 0.62 AND v.scope IN ('direct', 'partial') AS accepted, v.relevant, v.ans FROM documents_out d JOIN verdict v USING (question_id, url) WHERE gate_reason IS NULL)"""
+verdict AS (SELECT page_id // 12 AS question_id, url, (page_id % 100) / 100.0 + 0.3 AS rs, page_id % 4 <> 0 AS relevant, page_id % 3 <> 0 AS ans, ['direct', 'partial', 'background'][(page_id % 3) + 1] AS scope FROM landed WHERE page_id % 5 <> 2),
+jd AS (SELECT d.*, v.rs IS NULL AS failed, v.scope, coalesce(least(1.0, v.rs) >= 0.62 AND v.rs IS NOT NULL AND v.scope IN ('direct', 'partial'), false) AS accepted, v.relevant, v.ans FROM documents_out d LEFT JOIN verdict v USING (question_id, url) WHERE gate_reason IS NULL)"""
 
 
 @register("collect_evidence", f"WITH {BATCH_SQL} SELECT question_id, pos, url, coalesce(gate_reason, 'accepted') AS gate, coalesce(relevance, -1) AS relevance FROM documents_out")
 def _collect(spark, sf_dir):
-    cands = discover(plans(spark, sf_dir), web_and_news(spark, sf_dir), dims.authorities(spark))
-    out = collect(cands, plans(spark, sf_dir), landed_pages(spark, sf_dir), dims.authorities(spark))
+    cands = discover(plans(spark, sf_dir), web_and_news(spark, sf_dir), dims.authorities(spark), 30)
+    out = collect(cands, plans(spark, sf_dir), landed_pages(spark, sf_dir), dims.authorities(spark), tried=12, accepted=6)
     return out.select("question_id", "pos", "url", F.coalesce("gate_reason", F.lit("accepted")).alias("gate"),
                       F.coalesce("relevance", F.lit(-1.0)).alias("relevance"))
 
@@ -346,14 +348,16 @@ walk AS (SELECT question_id, n, pos, true AS keep, [u] AS us, [fp] AS fps FROM n
   FROM walk w JOIN numbered d ON d.question_id = w.question_id AND d.n = w.n + 1),
 kept AS (SELECT question_id, count(*) AS retained_count FROM walk WHERE keep GROUP BY 1),
 rolled AS (SELECT question_id, count(*) FILTER (WHERE accepted) AS accepted_count, count(*) FILTER (WHERE accepted AND scope = 'direct') AS direct_count,
-   count(*) FILTER (WHERE accepted AND relevant AND ans) AS answerable_count FROM jd GROUP BY 1)
-SELECT question_id, accepted_count, direct_count, answerable_count, coalesce(retained_count, 0) AS retained_count, coalesce(retained_count, 0) > 0 AS sufficient,
-  CASE WHEN retained_count > 0 THEN 'unique_evidence' ELSE 'only_duplicates_or_generic' END AS reason FROM rolled LEFT JOIN kept USING (question_id)""")
+   count(*) FILTER (WHERE accepted AND relevant AND ans) AS answerable_count, count(*) FILTER (WHERE failed) AS failed_count FROM jd GROUP BY 1)
+SELECT question_id, coalesce(accepted_count, 0) AS accepted_count, coalesce(direct_count, 0) AS direct_count, coalesce(answerable_count, 0) AS answerable_count,
+  coalesce(failed_count, 0) AS failed_count, coalesce(retained_count, 0) AS retained_count, coalesce(retained_count, 0) > 0 AS sufficient,
+  CASE WHEN retained_count > 0 THEN 'unique_evidence' WHEN accepted_count > 0 THEN 'only_duplicates_or_generic' WHEN accepted_count = 0 THEN 'all_rejected'
+       ELSE 'no_evidence' END AS reason FROM plans LEFT JOIN rolled USING (question_id) LEFT JOIN kept USING (question_id)""")
 def _evidence_batch(spark, sf_dir):
     tables = evidence_batch(plans(spark, sf_dir), web_and_news(spark, sf_dir), landed_pages(spark, sf_dir),
-                            verdicts(spark, sf_dir), dims.authorities(spark))
+                            verdicts(spark, sf_dir), dims.authorities(spark), k=30, tried=12, accepted_pages=6)
     return packet_status(tables).select("question_id", "accepted_count", "direct_count", "answerable_count",
-                                        "retained_count", "sufficient", "reason")
+                                        "failed_count", "retained_count", "sufficient", "reason")
 
 
 @register("citation_release", f"""WITH {JUDGED_SQL}, r AS (SELECT question_id, count(*) FILTER (WHERE accepted) AS n FROM judged GROUP BY 1)

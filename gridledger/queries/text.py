@@ -335,5 +335,9 @@ def _display_name(spark, sf_dir):
 @register("limit_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500 OFFSET 1000")
 def _limit_page(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return limit_page(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 1000, 500)
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    last = limit_page(rows, order, 1000).orderBy(F.col("o_totalprice"), F.col("o_orderkey").desc()).first()
+    price = F.col("o_totalprice")
+    return limit_page(rows, order, 500, (price < last.o_totalprice) | (
+        (price == last.o_totalprice) & (F.col("o_orderkey") > last.o_orderkey)))
 

@@ -9,6 +9,7 @@ from gridledger.functions.times import day_end_utc, day_start_utc, expected_inte
 from gridledger.operators.prices import price_day_summary, summarize_prices
 from gridledger.plans.prices import answer_prices, resolve_price_questions
 from gridledger.sources.prices import (
+    ArchiveLimits,
     detect_price_errors, normalize_price_rows, price_archive_rows, price_rows_from_cells, read_price_archives,
     typed_price_rows)
 
@@ -127,13 +128,21 @@ def test_archive_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
         for i in range(21):
             z.writestr(f"{i}.csv", "x")
+    whole = (tmp_path / "two.zip").read_bytes()
+    (tmp_path / "cut.zip").write_bytes(whole[:len(whole) // 2])
+    archive("long.zip", a_csv="NODE,note\nx," + "y" * 200_000)
+    stored = (tmp_path / "long.zip").read_bytes()
+    (tmp_path / "crc.zip").write_bytes(stored.replace(b"yyyy", b"yyzy", 1))
     rows = read_price_archives(spark, str(tmp_path)).cache()
     rejects = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in rows.where("reject_reason is not null").collect()}
     assert rejects == {"two.zip": "multiple_csv", "xml.zip": "xml_only", "none.zip": "no_csv",
-                       "bad.zip": "bad_zip", "many.zip": "too_many_members"}
+                       "bad.zip": "bad_zip", "many.zip": "multiple_csv", "cut.zip": "bad_zip", "crc.zip": "corrupt_member"}
+    assert rows.where("path like '%long.zip'").count() == 1
+    limited = price_archive_rows(spark.read.format("binaryFile").load(str(tmp_path)), ArchiveLimits(max_members=20))
+    assert limited.where("path like '%many.zip'").first().reject_reason == "too_many_members"
     empty = price_archive_rows(spark.sql("select 'e' path, cast('' as binary) content"))
     assert only(empty).reject_reason == "empty_response"
-    row = only(price_day_summary(typed_price_rows(price_rows_from_cells(rows))))
+    row = only(price_day_summary(typed_price_rows(price_rows_from_cells(rows.where("path like '%good.zip'")))))
     assert row.average_price == 31.5 and row.coverage == "complete"
     errors = {r.path.rsplit("/", 1)[1]: r.message for r in detect_price_errors(rows).collect()}
     assert errors["xml.zip"] == "No data returned" and errors["bad.zip"] == "refused"

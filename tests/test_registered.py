@@ -4,6 +4,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from gridledger import queries as registered
 from tests.oracle import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,7 +16,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered.all_queries()) == set(registered.all_oracles())
+    assert set(registered.all_queries()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
@@ -24,7 +26,7 @@ def test_entry_runs(spark):
     assert "coverage" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.all_queries()))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()

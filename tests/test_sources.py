@@ -16,8 +16,8 @@ from gridledger.sources.reactors import parse_reactor_lines, parse_reactor_table
 from gridledger.sources.series import parse_series_lines, read_series_archives, read_series_lines
 from gridledger.sources.web import extract_page_blocks, extract_page_text
 
-DEMAND = {"series_id": "EBA.CISO-ALL.D.H", "name": "Demand", "units": "megawatthours", "f": "H",
-          "data": [["20260802T06Z", "39000"], ["20260802T07Z", "null"], ["20260802T08Z", "39200"]]}
+LOAD = {"series_id": "EBA.PJM-ALL.D.H", "name": "Load of the zone", "unitsshort": "MWh", "f": "h",
+        "data": [["20240511T23Z", "88345.5"], ["20240511T22Z", " N/A "], ["20240511T21Z", "87110"], ["20240511T20Z", "86002"]]}
 
 
 def lines(spark, *items):
@@ -26,27 +26,27 @@ def lines(spark, *items):
 
 
 def test_series_latest_skips_null_words(spark):
-    row = latest_observations(parse_series_lines(lines(spark, {"category_id": 1}, "", DEMAND))).collect()[0]
-    assert (row.observation_count, row.latest_value, row.unit) == (2, 39200.0, "megawatthours")
-    assert str(row.latest_ts) == "2026-08-02 08:00:00"
+    row = latest_observations(parse_series_lines(lines(spark, {"category_id": 1}, "", LOAD))).collect()[0]
+    assert (row.observation_count, row.latest_value, row.unit) == (3, 88345.5, "MWh")
+    assert str(row.latest_ts) == "2024-05-11 23:00:00"
 
 
 def test_series_faults_and_first_record(spark):
-    other = dict(DEMAND, data=[["20260901T00Z", 1]])
-    assert latest_observations(parse_series_lines(lines(spark, DEMAND, other))).collect()[0].latest_value == 39200.0
-    for change, reason in (({"units": " "}, "no_unit"), ({"f": "M"}, "not_hourly"), ({"data": "x"}, "no_data_array"),
-                           ({"data": [["20260802T06Z", "--"]]}, "no_observations"),
-                           ({"data": [["when", 3], ["20260802T06Z", 1]]}, "unsupported_period"),
-                           ({"data": [["when", None], ["20260802T06Z", 1]]}, None)):
-        row = latest_observations(parse_series_lines(lines(spark, dict(DEMAND, **change)))).collect()[0]
+    other = dict(LOAD, data=[["20240601T00Z", 1]])
+    assert latest_observations(parse_series_lines(lines(spark, LOAD, other))).collect()[0].latest_value == 88345.5
+    for change, reason in (({"unitsshort": " "}, "no_unit"), ({"f": "M"}, "not_hourly"), ({"data": "x"}, "no_data_array"),
+                           ({"data": [["20240511T06Z", "--"]]}, "no_observations"),
+                           ({"data": [["when", 3], ["20240511T06Z", 1]]}, "unsupported_period"),
+                           ({"data": [["when", None], ["20240511T06Z", 1]]}, None)):
+        row = latest_observations(parse_series_lines(lines(spark, dict(LOAD, **change)))).collect()[0]
         assert row.source_reject == reason
-    object_items = dict(DEMAND, data=[{"timestamp": "2026-08-02T06:00:00Z", "value": 5}, {"period": "2026-08-02T06", "value": "6"}])
+    object_items = dict(LOAD, data=[{"timestamp": "2024-05-11T06:00:00Z", "value": 5}, {"period": "2024-05-11T06", "value": "6"}])
     row = latest_observations(parse_series_lines(lines(spark, object_items))).collect()[0]
     assert (row.observation_count, row.latest_value) == (1, 6.0)
 
 
 def test_series_files_plain_and_zipped(spark, tmp_path):
-    body = "\n".join(["{broken", json.dumps({"category_id": 1}), json.dumps(DEMAND)])
+    body = "\n".join(["{broken", json.dumps({"category_id": 1}), json.dumps(LOAD)])
     (tmp_path / "plain").mkdir()
     (tmp_path / "plain" / "eba.txt").write_text(body)
     (tmp_path / "zipped").mkdir()
@@ -55,20 +55,20 @@ def test_series_files_plain_and_zipped(spark, tmp_path):
     for read, folder in ((read_series_lines, "plain"), (read_series_archives, "zipped")):
         series = parse_series_lines(read(spark, str(tmp_path / folder)))
         assert sorted(r.reject_reason or "ok" for r in series.collect()) == ["malformed_json", "no_series_id", "ok"]
-        assert latest_observations(series).collect()[0].latest_value == 39200.0
+        assert latest_observations(series).collect()[0].latest_value == 88345.5
 
 
 def test_operating_answers(spark):
     asked = spark.createDataFrame(
-        [(1, "CAISO demand now", "2026-08-02 10:00:00"), (2, "California ISO load", "2026-08-09 10:00:00"),
-         (3, "PJM demand", "2026-08-02 10:00:00"), (4, "demand somewhere", "2026-08-02 10:00:00")],
+        [(1, "PJM demand now", "2024-05-12 04:30:00"), (2, "pjm load", "2024-05-20 04:30:00"),
+         (3, "MISO demand", "2024-05-12 04:30:00"), (4, "demand somewhere", "2024-05-12 04:30:00")],
         "question_id int, question string, at string").withColumn("as_of", F.col("at").cast("timestamp"))
-    got = {r.question_id: r for r in answer_operating(asked, parse_series_lines(lines(spark, DEMAND))).collect()}
+    got = {r.question_id: r for r in answer_operating(asked, parse_series_lines(lines(spark, LOAD))).collect()}
     assert [got[i].status for i in (1, 2, 3, 4)] == ["answered", "stale", "held", "needs_clarification"]
     assert [got[i].confidence for i in (1, 2, 3)] == ["high", "medium", "insufficient"]
-    assert got[1].direct_answer == ("EIA reported CAISO demand of 39,200 megawatthours for the hourly interval"
-                                    " ending 2026-08-02T08:00:00+00:00.")
-    assert got[1].equivalent_mw == 39200.0 and got[1].age_hours == 2.0
+    assert got[1].direct_answer == ("EIA reported PJM demand of 88,346 MWh for the hourly interval"
+                                    " ending 2024-05-11T23:00:00+00:00.")
+    assert got[1].equivalent_mw == 88345.5 and got[1].age_hours == 5.5
     assert got[4].direct_answer == "Please specify the balancing authority."
 
 
@@ -89,11 +89,22 @@ def test_manifest_envelopes(spark):
     assert search_bulk_files(resolve_bulk_files(found), ("operating", "eba")).count() == 4
 
 
-def test_manifest_nested_too_deep(spark):
+def test_manifest_nested_to_any_depth(spark):
     body = {"id": "a", "title": "t"}
-    for _ in range(7):
-        body = {"level": body}
-    assert [r.reject_reason for r in manifests(spark, body).collect()] == ["too_deep"]
+    for n in range(12):
+        body = {"level": body} if n % 3 else [body]
+    assert [r.raw["id"] for r in manifests(spark, body).collect()] == ["a"]
+
+
+def test_damaged_series_archives_become_rejected_lines(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.txt", json.dumps(LOAD).encode() + b"\n\xff\xfe{}\n")
+        z.writestr("b.json", b"STORED " * 50)
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "b.zip").write_bytes(whole.replace(b"STORED ", b"BROKEN "))
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    series = parse_series_lines(read_series_archives(spark, str(tmp_path)))
+    assert sorted(r.reject_reason or "ok" for r in series.collect()) == ["malformed_json"] * 5 + ["ok"] * 2
 
 
 def test_api_pages(spark):
@@ -119,22 +130,22 @@ def test_route_metadata_and_requests(spark):
     assert got == [0, 1, 5]
 
 
-HTML = ("<h3>Region 4</h3><table><tr><th>Unit</th><th>Power</th></tr><tr><td>Diablo Canyon 1</td><td>100</td></tr>"
-        "<tr><td>Diablo Canyon 2</td><td>100%</td></tr><tr><td>Palo Verde 1</td><td>0</td></tr></table>")
+HTML = ("<h2>Status</h2><h3>Region 2</h3><table><thead><tr><th>Unit</th><th>Power</th></tr></thead><tr><td> Elm Creek 3 </td><td>64 %</td></tr>"
+        "<tr><td>Elm Creek 4</td><td>0</td></tr></table><h3>Region 3</h3><table><tr><td>North Ford 2</td><td>100</td></tr></table>")
 
 
 def test_reactor_pages(spark):
-    pages = spark.createDataFrame([(1, HTML, "NRC Region 4\nDiablo Canyon 1 | 100\nDiablo Canyon 2\nPalo Verde 1 | 0")],
+    pages = spark.createDataFrame([(1, HTML, "NRC Region 2\nElm Creek 3 | 64\nElm Creek 4\nRegion 3\nNorth Ford 2 | 100")],
                                   "page_id int, html string, text string")
     units = parse_reactor_tables(pages)
     assert [(r.unit_name, r.power_percent, r.region) for r in units.orderBy("pos").collect()] == [
-        ("Diablo Canyon 1", 100, 4), ("Diablo Canyon 2", 100, 4), ("Palo Verde 1", 0, 4)]
+        ("Elm Creek 3", 64, 2), ("Elm Creek 4", 0, 2), ("North Ford 2", 100, 3)]
     # a unit number is never a power figure
-    assert [r.unit_name for r in parse_reactor_lines(pages).orderBy("pos").collect()] == ["Diablo Canyon 1", "Palo Verde 1"]
-    plants = units.where("unit_name like 'Diablo%'").withColumn("plant_query", F.lit("Diablo Canyon"))
+    assert [r.unit_name for r in parse_reactor_lines(pages).orderBy("pos").collect()] == ["Elm Creek 3", "North Ford 2"]
+    plants = units.where("unit_name like 'Elm%'").withColumn("plant_query", F.lit("Elm Creek"))
     row = plant_status(plants, ("page_id",)).first()
-    assert row.direct_answer.startswith("Yes. Diablo Canyon was reported at full power")
-    assert row.unit_summary == "Diablo Canyon 1: 100%, Diablo Canyon 2: 100%"
+    assert row.direct_answer.startswith("No. Elm Creek was not operating at full power")
+    assert row.unit_summary == "Elm Creek 3: 64%, Elm Creek 4: 0%"
 
 
 def test_page_extractors(spark):
