@@ -41,7 +41,7 @@ class Terms:
         self._number = {t: i for i, t in enumerate(self.terms)}
 
     def search(self, df: DataFrame, text: Column) -> DataFrame:
-        return df.withColumn(self.found, find_terms(text, self.terms))
+        return compute_once(df, {self.found: find_terms(text, self.terms)})
 
     def _rows(self, rules: Rules) -> str:
         """SQL literal: array of (ord, label, ids, lens) in listing order."""
