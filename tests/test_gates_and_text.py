@@ -153,3 +153,13 @@ def test_claims_and_citations(spark):
     assert got[2].errors == ["uncited_claim"]
     facts_only = validate_citations(answers.where("status = 'answered'").withColumn("explanation", F.lit("because")), every_claim_cited=False).collect()
     assert facts_only[2].passed
+
+
+def test_terms_are_found_as_by_contains(spark):
+    from gridledger.functions.terms import find_terms
+
+    terms = ("a", "ab", "abc", "bc", "lng", "lng export", "o'hara \\ x", "é", "power", "powerful grid", " day ")
+    texts = ["abc", "xab", "", None, "lng exports", "lng expor", "o'hara \\ x", "cafés", "powerful gri", "powerful grid", "a day off", "zzz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.ids for r in df.select("t", find_terms(F.col("t"), terms).alias("ids")).collect()}
+    assert got == {t: [i for i, term in enumerate(terms) if term in (t or "")] for t in texts}
