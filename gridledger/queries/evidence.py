@@ -16,7 +16,8 @@ from gridledger.operators.joins import join_authority
 from gridledger.operators.ranking import cap_documents, one_per_domain, top_candidates, top_k
 from gridledger.plans.evidence import collect, discover, evidence_batch, packet_status
 from gridledger.queries.base import PHRASES, joined, nth, register, sql_list, sql_nth, squeeze_sql, table
-from gridledger.queries.text import AUTH_SQL, ENC, PAGE_TEXT_SQL, VARIED_SQL, results, varied_urls
+from gridledger.queries.text import (
+    AUTH_SQL, ENC, PAGE_TEXT_SQL, VARIED_SQL, page_bodies, results, varied_urls)
 from gridledger.sources.web import extract_page_text
 
 ENTITY_LISTS = ("Diablo Canyon|ERCOT", "Henry Hub", "CAISO|NP-15", "", "Brent|OPEC|Brent")
@@ -153,7 +154,7 @@ def _discover(spark, sf_dir):
 def landed_pages(spark, sf_dir):
     """Page bodies keyed by canonical URL, the lowest page id of a URL. Some questions find none landed."""
     urls = compute_once(varied_urls(spark, sf_dir), {"url": canonicalize_url(F.col("url"))})
-    pages = urls.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = urls.join(page_bodies(spark, sf_dir).select("page_id", "html"), "page_id")
     return top_k(pages, ["url"], [F.col("page_id").asc()], 1).where(
         F.expr("page_id div 12 % 5 <> 4")).select("url", F.col("url").alias("final_url"), "page_id", "html")
 
@@ -168,7 +169,7 @@ x AS (SELECT page_id, (SELECT arg_min(a.tier, ord) FROM a WHERE c.host = domain
    lower(t.title || ' ' || t.text) AS ptxt, CAST(page_id % 60 AS DOUBLE) AS discovery_score FROM canon c JOIN page_text t USING (page_id) JOIN plans p ON p.question_id = page_id // 12)
 SELECT page_id, {REL_SQL} AS relevance FROM x""")
 def _page_score(spark, sf_dir):
-    texts = extract_page_text(table(spark, sf_dir, "pages").select("page_id", "html")).drop("html")
+    texts = extract_page_text(page_bodies(spark, sf_dir).select("page_id", "html")).drop("html")
     urls = varied_urls(spark, sf_dir).select("page_id", host(canonicalize_url(F.col("url"))).alias("host"))
     docs = join_authority(texts.join(urls, "page_id"), "host", dims.authorities(spark)).withColumns({
         "question_id": F.expr("page_id div 12"), "discovery_score": F.pmod("page_id", F.lit(60)).cast("double")})

@@ -19,7 +19,7 @@ from gridledger.operators.ranking import first_seen, limit_page, rank_results
 from gridledger.queries.base import (
     PHRASES, QUESTIONS_SQL, joined, norm_sql, nth, questions, register, rules_cte, sql_list,
     sql_nth, sql_rows, sql_text, squeeze_sql, table)
-from gridledger.sources.web import BREAKS, ENTITIES, HIDDEN, extract_page_blocks, extract_page_text
+from gridledger.sources.web import BREAKS, HIDDEN, extract_page_blocks, extract_page_text
 
 
 @register("norm_text", f"SELECT doc_id, md5({norm_sql('text')}) AS normalized FROM documents")
@@ -261,15 +261,33 @@ def _generic(spark, sf_dir):
 
 
 # ---- page text -----------------------------------------------------------------------
+# Character references that occur in the pages and in what ``page_bodies`` adds.
+REFERENCES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&deg;", "°"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"),
+    ("&eacute;", "é"), ("&euro;", "€"), ("&times;", "×"), ("&#x27;", "'"), ("&#X2014;", "—"), ("&#233;", "é"),
+)
+ADDED = "<p>caf&eacute; &#x27;q&#x27; &euro;5 &times; &nosuch; &#233;&#X2014; &#x110000; a&amp;lt;b</p>"
+UNCLOSED = "<div>last</div><script>var hidden = \"<p>never shown</p>\";"
+BODIES_SQL = f"""(SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN {sql_text(ADDED)} ELSE '' END
+  || CASE WHEN page_id % 5 = 0 THEN {sql_text(UNCLOSED)} ELSE '' END AS html FROM pages)"""
+
+
+def page_bodies(spark, sf_dir):
+    """Pages, some with more character references, some with a script that never ends."""
+    add = lambda n, text: F.when(F.col("page_id") % n == 0, text).otherwise("")
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", add(3, ADDED), add(5, UNCLOSED)))
+
+
 def decode_sql(expr: str) -> str:
-    for name, char in ENTITIES:
+    for name, char in REFERENCES:
         expr = f"replace({expr}, {sql_text(name)}, {sql_text(char)})"
     return f"replace({expr}, '&amp;', '&')"
 
 
 _SP = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 PAGE_TEXT_SQL = f"""t0 AS (SELECT page_id, regexp_replace(html, '{HIDDEN.replace("(?is)", "")}', '', 'gis') AS h,
-    {squeeze_sql(decode_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM pages),
+    {squeeze_sql(decode_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM {BODIES_SQL}),
 t1 AS (SELECT page_id, title, regexp_replace(h, '{BREAKS.replace("(?i)", "")}', chr(10), 'gi') AS h FROM t0),
 t2 AS (SELECT page_id, title, {decode_sql("regexp_replace(h, '<[^>]*>', ' ', 'g')")} AS h FROM t1),
 t3 AS (SELECT page_id, title, regexp_replace(h, '{_SP}*\\n{_SP}*', chr(10), 'g') AS h FROM (SELECT page_id, title, regexp_replace(h, '[ \\t]+', ' ', 'g') AS h FROM t2)),
@@ -280,18 +298,18 @@ page_text AS (SELECT page_id, title, regexp_replace(h, '^{_SP}+|{_SP}+$', '', 'g
 SELECT page_id, title, md5(text) AS text_hash, length(text) AS n_chars,
   CASE WHEN length(text) < 80 THEN 'insufficient_text' ELSE 'ok' END AS state FROM page_text""")
 def _extract_page_text(spark, sf_dir):
-    out = extract_page_text(table(spark, sf_dir, "pages"))
+    out = extract_page_text(page_bodies(spark, sf_dir))
     return out.select("page_id", "title", F.md5("text").alias("text_hash"), F.length("text").alias("n_chars"),
                       F.coalesce("reject_reason", F.lit("ok")).alias("state"))
 
 
-@register("extract_page_blocks", f"""WITH t0 AS (SELECT page_id, regexp_replace(html, '{HIDDEN.replace("(?is)", "")}', '', 'gis') AS h FROM pages),
+@register("extract_page_blocks", f"""WITH t0 AS (SELECT page_id, regexp_replace(html, '{HIDDEN.replace("(?is)", "")}', '', 'gis') AS h FROM {BODIES_SQL}),
 pieces AS (SELECT page_id, generate_subscripts(regexp_extract_all(h, '(?s)<[^>]*>[^<]*'), 1) AS pos, unnest(regexp_extract_all(h, '(?s)<[^>]*>[^<]*')) AS p FROM t0),
 chunks AS (SELECT page_id, pos, regexp_matches(p, '(?is)^<({'|'.join(fv.BLOCK_TEXT_TAGS)})\\b[^>]*>') AS listed,
    {squeeze_sql(decode_sql("regexp_replace(p, '(?s)^<[^>]*>', '')"))} AS t FROM pieces)
 SELECT page_id, md5(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE t <> '' AND (listed OR length(t) >= 40)), '')) AS text_hash FROM chunks GROUP BY 1""")
 def _extract_page_blocks(spark, sf_dir):
-    return extract_page_blocks(table(spark, sf_dir, "pages")).select("page_id", F.md5("text").alias("text_hash"))
+    return extract_page_blocks(page_bodies(spark, sf_dir)).select("page_id", F.md5("text").alias("text_hash"))
 
 
 # ---- small scalar expressions -----------------------------------------------------------

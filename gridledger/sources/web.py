@@ -1,10 +1,13 @@
 """Web pages: two text extractors, expressed with regular expressions.
 
 They define this engine's text; a tolerant HTML parser may differ on broken
-markup (white space beside line breaks, unknown entity names).
+markup (white space beside line breaks).
 """
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,28 +15,31 @@ from gridledger.functions import fixed_values as fv
 from gridledger.functions.plan import compute_once
 from gridledger.functions.text import SPACE, squeeze, strip
 
-# ---- fixed values: named characters that are decoded ------------------------
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&deg;", "°"), ("&middot;", "·"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&hellip;", "…"),
-)
-HIDDEN = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in fv.BLOCKED_TAGS)
+# Text of a hidden tag that is never closed reaches to the end of the page.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in fv.BLOCKED_TAGS)
 BREAKS = rf"(?i)</?(?:{'|'.join(fv.BREAK_TAGS)})\b[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-NUMERIC = r"&#(\d{1,7});"
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: All named references of HTML, from the standard library's table.
+NAMED = json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
+
+
+def _character(reference: Column) -> Column:
+    """Character of one reference; an unknown or impossible one stays as it is."""
+    body = F.substring(reference, F.lit(3), F.length(reference) - 3)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10)).otherwise(body).try_cast("int")
+    valid = code.between(1, 55295) | code.between(57344, 1114111)
+    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), reference)
+    return F.coalesce(F.when(reference.startswith("&#"), numeric).otherwise(named), reference)
 
 
 def decode_entities(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC), F.lit(1)))
-    valid = F.filter(codes, lambda n: n.cast("int").between(1, 55295) | n.cast("int").between(57344, 1114111))
-    c = F.reduce(valid, c, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&#"), n, F.lit(";")),
-        F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """Character references decoded once, from left to right."""
+    found = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    pieces = F.zip_with(F.split(c, REFERENCE, -1), F.transform(found, _character),
+                        lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
 def page_title(html: Column) -> Column:
