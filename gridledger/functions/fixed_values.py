@@ -133,22 +133,48 @@ EXPLAIN_TERMS = (
 DOCUMENT_DOMAINS = ("transmission_regulation", "company_asset")
 CROSS_SOURCE_DOMAINS = ("grid_reliability", "transmission_regulation", "company_asset")
 
-# domain: provider/role/mode+mode in priority order
-ROUTE_PROVIDERS = _labels("""
-electricity_markets: iso_rto_structured_data/controlling/api+bulk_download, eia_api/corroborating/api, reliable_energy_news/context/news_search
-grid_reliability: iso_rto_operational_data/controlling/api+official_web, nerc/controlling/official_document+official_web, noaa_nws/causal_context/api+official_web
-nuclear: nrc_reactor_status/controlling/official_web+structured_report, nrc_documents/controlling/official_document, operator_primary_source/corroborating/official_web+company_release
-natural_gas: eia_api/controlling/api, ferc_elibrary/regulatory/official_document, pipeline_primary_source/operational/official_web, reliable_energy_news/context/news_search
-petroleum: eia_api/controlling/api, government_statistics/corroborating/api+official_document, reliable_energy_news/context/news_search
-coal: eia_api/controlling/api, government_statistics/corroborating/official_document
-renewables: iso_rto_structured_data/operational/api+bulk_download, eia_api/controlling/api, noaa_nws/weather_context/api, operator_primary_source/asset_context/official_web
-energy_storage: iso_rto_structured_data/operational/api+bulk_download, eia_api/capacity/api, operator_primary_source/asset_context/official_web
-weather: noaa_nws/controlling/api+official_web, iso_rto_operational_data/market_impact/api
-transmission_regulation: ferc_elibrary/controlling/official_document, iso_rto_documents/implementation/official_document+official_web, nerc/reliability/official_document, reliable_energy_news/context/news_search
-company_asset: company_primary_source/controlling/company_release+investor_relations, sec_filings/controlling/official_document, regulator_primary_source/corroborating/official_document, reliable_energy_news/context/news_search
-emissions_carbon: government_environment_data/controlling/api+official_document, market_operator_data/market_data/api, reliable_energy_news/context/news_search
-general_energy: universal_energy_research/discovery/official_web+news_search
-""")
+# domain, provider, role, retrieval modes; in priority order within a domain
+ROUTE_PROVIDERS = (
+    ("electricity_markets", "iso_rto_structured_data", "controlling", ("api", "bulk_download")),
+    ("electricity_markets", "eia_api", "corroborating", ("api",)),
+    ("electricity_markets", "reliable_energy_news", "context", ("news_search",)),
+    ("grid_reliability", "iso_rto_operational_data", "controlling", ("api", "official_web")),
+    ("grid_reliability", "nerc", "controlling", ("official_document", "official_web")),
+    ("grid_reliability", "noaa_nws", "causal_context", ("api", "official_web")),
+    ("nuclear", "nrc_reactor_status", "controlling", ("official_web", "structured_report")),
+    ("nuclear", "nrc_documents", "controlling", ("official_document",)),
+    ("nuclear", "operator_primary_source", "corroborating", ("official_web", "company_release")),
+    ("natural_gas", "eia_api", "controlling", ("api",)),
+    ("natural_gas", "ferc_elibrary", "regulatory", ("official_document",)),
+    ("natural_gas", "pipeline_primary_source", "operational", ("official_web",)),
+    ("natural_gas", "reliable_energy_news", "context", ("news_search",)),
+    ("petroleum", "eia_api", "controlling", ("api",)),
+    ("petroleum", "government_statistics", "corroborating", ("api", "official_document")),
+    ("petroleum", "reliable_energy_news", "context", ("news_search",)),
+    ("coal", "eia_api", "controlling", ("api",)),
+    ("coal", "government_statistics", "corroborating", ("official_document",)),
+    ("renewables", "iso_rto_structured_data", "operational", ("api", "bulk_download")),
+    ("renewables", "eia_api", "controlling", ("api",)),
+    ("renewables", "noaa_nws", "weather_context", ("api",)),
+    ("renewables", "operator_primary_source", "asset_context", ("official_web",)),
+    ("energy_storage", "iso_rto_structured_data", "operational", ("api", "bulk_download")),
+    ("energy_storage", "eia_api", "capacity", ("api",)),
+    ("energy_storage", "operator_primary_source", "asset_context", ("official_web",)),
+    ("weather", "noaa_nws", "controlling", ("api", "official_web")),
+    ("weather", "iso_rto_operational_data", "market_impact", ("api",)),
+    ("transmission_regulation", "ferc_elibrary", "controlling", ("official_document",)),
+    ("transmission_regulation", "iso_rto_documents", "implementation", ("official_document", "official_web")),
+    ("transmission_regulation", "nerc", "reliability", ("official_document",)),
+    ("transmission_regulation", "reliable_energy_news", "context", ("news_search",)),
+    ("company_asset", "company_primary_source", "controlling", ("company_release", "investor_relations")),
+    ("company_asset", "sec_filings", "controlling", ("official_document",)),
+    ("company_asset", "regulator_primary_source", "corroborating", ("official_document",)),
+    ("company_asset", "reliable_energy_news", "context", ("news_search",)),
+    ("emissions_carbon", "government_environment_data", "controlling", ("api", "official_document")),
+    ("emissions_carbon", "market_operator_data", "market_data", ("api",)),
+    ("emissions_carbon", "reliable_energy_news", "context", ("news_search",)),
+    ("general_energy", "universal_energy_research", "discovery", ("official_web", "news_search")),
+)
 
 # ---- fixed values: market questions (substring rules, first hit wins) -----
 MARKET_RULES = _labels("""

@@ -195,10 +195,14 @@ def route_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         .when(domain.isin(*fv.DOCUMENT_DOMAINS), "official_document")
         .when(F.col("_explain") | (domain == "general_energy"), "hybrid_research")
         .otherwise("structured_data"))
-    providers = F.array().cast("array<string>")
-    for name, plans in fv.ROUTE_PROVIDERS:
-        providers = F.when(domain == name, text_array([p.split("/")[0] for p in plans])).otherwise(providers)
-    df = df.withColumns({"mode": mode, "providers": providers, "freshness": freshness,
+    planned = F.array().cast("array<struct<provider_id: string, priority: int, source_role: string, retrieval_modes: array<string>>>")
+    for name in dict.fromkeys(row[0] for row in fv.ROUTE_PROVIDERS):
+        own = [row[1:] for row in fv.ROUTE_PROVIDERS if row[0] == name]
+        planned = F.when(domain == name, F.array(*(F.struct(
+            F.lit(provider).alias("provider_id"), F.lit(n).alias("priority"), F.lit(role).alias("source_role"),
+            text_array(modes).alias("retrieval_modes")) for n, (provider, role, modes) in enumerate(own, 1)))).otherwise(planned)
+    df = compute_once(df, {"planned_providers": planned})
+    df = df.withColumns({"mode": mode, "providers": F.transform("planned_providers", lambda p: p["provider_id"]), "freshness": freshness,
                          "entities": terms.labels(_ROUTE_ENTITIES)})
     cross = (domain != "unknown") & ((F.col("mode") == "hybrid_research")
                                      | domain.isin(*fv.CROSS_SOURCE_DOMAINS))

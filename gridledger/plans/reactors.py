@@ -5,10 +5,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
+from gridledger.functions.plan import compute_once
 from gridledger.functions.text import has_word, norm_text
 from gridledger.operators.joins import match_plants
 from gridledger.operators.reactors import plant_status
 from gridledger.session import cut_lineage
+from gridledger.sources.reactors import parse_reactor_tables
 
 
 def plant_query(question: Column) -> Column:
@@ -23,23 +25,30 @@ def plant_query(question: Column) -> Column:
 
 
 def latest_report(units: DataFrame) -> DataFrame:
-    """Units of the newest dated report; of several with one date, the highest id."""
+    """Rows (pages or units) of the newest dated report; of several with one date, the highest id."""
     newest = units.where("report_date is not null").agg(
         F.max_by("page_id", F.struct("report_date", "page_id")).alias("page_id"))
     return units.join(newest, "page_id")
 
 
-def answer_reactors(questions: DataFrame, units: DataFrame) -> DataFrame:
-    """Status of the asked plant in the latest report.
+def newest_units(reports: DataFrame) -> DataFrame:
+    """Units of the newest report: its page is chosen by date before any page is parsed."""
+    page = latest_report(reports)
+    return parse_reactor_tables(page).join(page.select("page_id", "report_date"), "page_id")
+
+
+def answer_reactors(questions: DataFrame, reports: DataFrame) -> DataFrame:
+    """Status of the asked plant in the latest of the landed ``reports`` (page_id, html, report_date).
 
     The report is one page of units; it is checkpointed because matching reads it
-    several times and must not parse every landed page again.
+    several times. Questions without a plant take no part in the join.
     """
-    asked = questions.withColumn("plant_query", plant_query(F.col("question")))
-    distinct = asked.select("plant_query").distinct().where("plant_query is not null")
-    matches = match_plants(distinct, cut_lineage(latest_report(units)))
+    asked = compute_once(questions, {"plant_query": plant_query(F.col("question"))})
+    known = asked.where("plant_query is not null")
+    matches = match_plants(known.select("plant_query").distinct(), cut_lineage(newest_units(reports)))
     status = plant_status(matches, ("report_date",)).drop("unit_count")
-    out = asked.join(status, "plant_query", "left")
+    out = known.join(status, "plant_query", "left").unionByName(
+        asked.where("plant_query is null"), allowMissingColumns=True)
     clarify, found = F.col("plant_query").isNull(), F.col("plant_state").isNotNull()
     return out.withColumns({
         "status": F.when(clarify, "needs_clarification").when(found, "answered").otherwise("held"),

@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
 from gridledger.operators.gates import HELD_ANSWER, REFUSED_ANSWER
-from gridledger.plans.dispatch import PLANNED_ANSWER, UNKNOWN_ANSWER, dispatch
+from gridledger.plans.dispatch import (
+    NO_RECORD, NOT_COMPLETE, PLANNED_ANSWER, PLANNED_LIMITATION, UNKNOWN_ANSWER, UNKNOWN_EXPLANATION, dispatch)
 from gridledger.plans.research import planned_attempts, research_batch
-from gridledger.queries.base import nth, questions, register, sql_list, sql_nth
+from gridledger.queries.base import joined, nth, questions, register, sql_list, sql_nth
 from gridledger.queries.gates import CLAIM_TYPES, GATE_SQL, REQ_SQL
-from gridledger.queries.ingest import REACTOR_ANSWER_SQL, report_units
-from gridledger.queries.labels import CLASSIFIED_SQL, MATCHED_SQL, PATHWAY_SQL, RETRIEVAL_SQL, ROUTED_SQL
-from gridledger.queries.prices import DAYS_SQL, HOURLY_SQL, HUB_NAMES, typed_hourly
+from gridledger.queries.ingest import REACTOR_ANSWER_SQL, report_columns
+from gridledger.queries.labels import (
+    CLASSIFIED_SQL, MATCHED_SQL, PATHWAY_SQL, RETRIEVAL_SQL, ROUTED_SQL, planned_text)
+from gridledger.queries.prices import DAYS_SQL, FILED_SQL, HOURLY_SQL, HUB_NAMES, filed_hourly, typed_hourly
 from gridledger.queries.series import ANSWERED_SQL, LABELS_SQL, parsed
 
 CODES = (429, 200, 503, 200, 404, 200, 401)
@@ -106,7 +108,7 @@ TEXT_PRICES_SQL = f"""tp0 AS (SELECT question_id, n, CAST({HUB_TESTS[0]} AS INTE
 tp AS (SELECT question_id, CASE WHEN h1 + h2 + h3 = 1 THEN {sql_list(HUB_NAMES)}[h1 + 2 * h2 + 3 * h3] END AS location,
    CASE WHEN m1 + m2 + m3 > 1 THEN 'AMBIGUOUS' WHEN m1 + m2 + m3 = 0 THEN 'UNSPECIFIED' ELSE ['DAM', 'FMM', 'RTM'][m1 + 2 * m2 + 3 * m3] END AS market,
    CASE WHEN contains(n, 'day before yesterday') THEN DATE '2024-01-01' WHEN contains(n, 'yesterday') THEN DATE '2024-01-02' WHEN contains(n, 'today') THEN DATE '2024-01-03' END AS market_date FROM tp0),
-tpx AS (SELECT tp.*, s.average_price, coalesce(s.actual_count = s.expected_count, false) AS complete,
+tpx AS (SELECT tp.*, s.actual_count, s.average_price, s.minimum_price, s.maximum_price, coalesce(s.actual_count = s.expected_count, false) AS complete,
    CASE WHEN location IS NULL THEN 'unsupported_location' WHEN market = 'UNSPECIFIED' THEN 'needs_clarification' WHEN market = 'AMBIGUOUS' THEN 'ambiguous_market'
         WHEN market_date IS NULL THEN 'missing_date' ELSE 'resolved' END AS s0 FROM tp LEFT JOIN summary s USING (location, market, market_date))"""
 OPERATING_ANSWER_SQL = ANSWERED_SQL.removeprefix("WITH ")
@@ -129,5 +131,24 @@ UNION ALL SELECT p.question_id, pathway, domain, CASE WHEN s0 <> 'resolved' THEN
   FROM paths p JOIN tpx USING (question_id) WHERE pathway = 'prices'""")
 def _dispatch(spark, sf_dir):
     return dispatch(questions(spark, sf_dir), typed_hourly(spark, sf_dir), parsed(spark, sf_dir),
-                    report_units(spark, sf_dir)).select(
+                    report_columns(spark, sf_dir)).select(
         "question_id", "pathway", "domain", "status", "confidence", "direct_answer")
+
+
+@register("dispatch_notes", f"""WITH {OPERATING_ANSWER_SQL}, {ROUTED_SQL}, {FILED_SQL}, {DAYS_SQL}, {TEXT_PRICES_SQL.replace("s.actual_count = s.expected_count", "s.actual_count = s.expected_count AND NOT s.refused")},
+paths AS (SELECT r.question_id, r.domain, {PATHWAY_SQL} AS pathway, coalesce(providers, '') AS providers, coalesce(planned, '') AS planned
+  FROM routed r JOIN op o USING (question_id) LEFT JOIN plans USING (domain))
+SELECT question_id, planned, '{UNKNOWN_EXPLANATION}' AS simple_explanation, '' AS limitations FROM paths WHERE pathway = 'clarify'
+UNION ALL SELECT question_id, planned, 'This question was routed to the ' || domain || ' research pathway. The preferred evidence sequence is: '
+  || CASE providers WHEN '' THEN 'no approved providers resolved' ELSE replace(providers, '|', ', ') END
+  || '. A numerical or factual claim will not be published until the required source executors return validated evidence.', '{PLANNED_LIMITATION}' FROM paths WHERE pathway = 'research'
+UNION ALL SELECT question_id, planned, CASE WHEN s0 = 'resolved' AND complete THEN printf('The official CAISO result contained %d validated intervals. The minimum was $%s/MWh and the maximum was $%s/MWh.',
+       actual_count, CAST(CAST(minimum_price AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(maximum_price AS DECIMAL(18,2)) AS VARCHAR))
+     WHEN s0 = 'resolved' AND actual_count IS NULL THEN '{NO_RECORD[0]}' WHEN s0 = 'resolved' THEN '{NOT_COMPLETE[0]}' END,
+  CASE WHEN s0 <> 'resolved' OR complete THEN '' WHEN actual_count IS NULL THEN '{NO_RECORD[1]}' ELSE '{NOT_COMPLETE[1]}' END
+  FROM paths p JOIN tpx USING (question_id) WHERE pathway = 'prices'""")
+def _dispatch_notes(spark, sf_dir):
+    out = dispatch(questions(spark, sf_dir), filed_hourly(spark, sf_dir), parsed(spark, sf_dir), report_columns(spark, sf_dir), "file")
+    return out.where("pathway in ('clarify', 'research', 'prices')").select(
+        "question_id", planned_text(F.col("planned_providers")).alias("planned"), "simple_explanation",
+        joined(F.col("limitations")).alias("limitations"))

@@ -353,7 +353,7 @@ reactor_answers AS (SELECT question_id, plant, CASE WHEN plant IS NULL THEN 'nee
 SELECT question_id, status, confidence, direct_answer,
   'The NRC listed ' || listing || '. These values represent reported reactor power as a percentage of rated power.' AS simple_explanation FROM reactor_answers""")
 def _answer_reactors(spark, sf_dir):
-    out = answer_reactors(questions(spark, sf_dir), report_units(spark, sf_dir))
+    out = answer_reactors(questions(spark, sf_dir), report_columns(spark, sf_dir))
     return out.select("question_id", "status", "confidence", "direct_answer", "simple_explanation")
 
 

@@ -125,17 +125,23 @@ r0 AS (SELECT p.*, coalesce(dom.label, CASE WHEN {' OR '.join(f"contains(n, '{w}
 routed AS (SELECT *, CASE WHEN domain = 'unknown' THEN 'clarification' WHEN {_in('domain', fv.DOCUMENT_DOMAINS)} THEN 'official_document'
    WHEN {' OR '.join(f"contains(n, '{t}')" for t in fv.EXPLAIN_TERMS)} THEN 'hybrid_research'
    WHEN domain = 'general_energy' THEN 'hybrid_research' ELSE 'structured_data' END AS mode FROM r0),
-plans(domain, providers) AS (VALUES {sql_rows([(d, '|'.join(p.split('/')[0] for p in plans)) for d, plans in fv.ROUTE_PROVIDERS])})"""
+plans(domain, providers, planned) AS (VALUES {sql_rows([(d, '|'.join(r[1] for r in fv.ROUTE_PROVIDERS if r[0] == d), ','.join(f"{r[1]}:{n}:{r[2]}:{'+'.join(r[3])}" for n, r in enumerate((r for r in fv.ROUTE_PROVIDERS if r[0] == d), 1))) for d in dict.fromkeys(r[0] for r in fv.ROUTE_PROVIDERS)])})"""
+
+
+def planned_text(planned):
+    """provider:priority:role:modes of each planned provider."""
+    return joined(F.transform(planned, lambda p: F.concat_ws(":", p["provider_id"], p["priority"], p["source_role"],
+                                                             F.array_join(p["retrieval_modes"], "+"))), ",")
 
 
 @register("route_questions", f"""WITH {QUESTIONS_SQL}, {ROUTED_SQL}
-SELECT question_id, domain, mode, freshness, geography, entities, coalesce(providers, '') AS providers,
+SELECT question_id, domain, mode, freshness, geography, entities, coalesce(providers, '') AS providers, coalesce(planned, '') AS planned,
   domain <> 'unknown' AND (mode = 'hybrid_research' OR {_in('domain', fv.CROSS_SOURCE_DOMAINS)}) AS cross_source
 FROM routed LEFT JOIN plans USING (domain)""")
 def _route(spark, sf_dir):
     out = route_questions(questions(spark, sf_dir))
     return out.select("question_id", "domain", "mode", "freshness", "geography", joined(F.col("entities")).alias("entities"),
-                      joined(F.col("providers")).alias("providers"), "cross_source")
+                      joined(F.col("providers")).alias("providers"), planned_text(F.col("planned_providers")).alias("planned"), "cross_source")
 
 
 PATHWAY_SQL = """CASE WHEN r.domain = 'unknown' THEN 'clarify' WHEN r.domain = 'nuclear' THEN 'reactors'
