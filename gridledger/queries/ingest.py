@@ -18,6 +18,7 @@ from gridledger.sources.bulk import flatten_bulk_manifest, resolve_bulk_files, s
 from gridledger.sources.prices import (
     detect_price_errors, price_archive_rows, price_error, price_rows_from_cells, typed_price_rows)
 from gridledger.sources.reactors import parse_reactor_lines, parse_reactor_tables
+from gridledger.sources.series import parse_series_lines, series_archive_lines
 
 
 def fill(template: str, **columns):
@@ -118,6 +119,36 @@ def _price_error(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", price_error(body).alias("message"))
 
 
+# ---- series archives, one per customer ------------------------------------------------
+def _series_bodies(batches):
+    import io
+    import json
+    import zipfile
+
+    for batch in batches:
+        bodies = []
+        for key, name in zip(batch["c_custkey"], batch["c_name"]):
+            record = json.dumps({"series_id": f"S{key}", "name": name, "units": "MWh", "data": [["20240101T00Z", key]]}).encode()
+            second = {2: b'\xff{"series_id": "lost"}', 3: b"{broken"}.get(key % 6, b'{"category_id": 1}')
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as archive:
+                archive.writestr("a.txt", b"\xef\xbb\xbf" + record + b"\r\n" + second + b"\n")
+                archive.writestr("readme.md", b"not a series")
+            body = buffer.getvalue()
+            bodies.append(b"no archive" if key % 6 == 0 else body.replace(b"series_id", b"SERIES_ID", 1) if key % 6 == 1 else body)
+        yield pd.DataFrame({"path": "c" + batch["c_custkey"].astype(str), "content": bodies})
+
+
+@register("read_series_archives", """WITH c AS (SELECT 'c' || c_custkey AS file, 'S' || c_custkey AS series_id, c_name, c_custkey % 6 AS kind FROM customer)
+SELECT file, 'malformed_json' AS state, NULL AS series_id, NULL AS name FROM c WHERE kind IN (0, 1, 2, 3)
+UNION ALL SELECT file, 'ok', series_id, c_name FROM c WHERE kind > 1
+UNION ALL SELECT file, 'no_series_id', NULL, NULL FROM c WHERE kind > 3""")
+def _series_archives(spark, sf_dir):
+    bodies = table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInPandas(_series_bodies, "path string, content binary")
+    lines = parse_series_lines(series_archive_lines(bodies))
+    return lines.select("file", F.coalesce("reject_reason", F.lit("ok")).alias("state"), "series_id", "name")
+
+
 # ---- bulk manifests, one per part -----------------------------------------------------
 MANIFESTS = (
     '{"files":[{"identifier":"P{k}","data_set":"S{k}","title":"{n}","download_url":"http://www.eia.gov/{k}.zip","last_updated":" today "}]}',

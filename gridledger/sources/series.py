@@ -28,11 +28,17 @@ def read_series_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _member_lines(archive, member) -> Iterator[str]:
-    """Lines of a member as they stream; what cannot be read gives a line that is no record."""
+    """Lines of a member as they stream; a damaged member gives one line that is no record.
+
+    The member is read through once for its checksum before any line leaves.
+    """
     import zipfile
     import zlib
 
     try:
+        with archive.open(member) as stream:
+            while stream.read(1 << 20):
+                pass
         with archive.open(member) as stream:
             for row, line in enumerate(stream):
                 try:
