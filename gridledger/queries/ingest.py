@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridledger.operators.joins import match_plants, validate_requests
 from gridledger.operators.reactors import plant_status
 from gridledger.operators.records import observed_text, reactor_records
-from gridledger.plans.reactors import answer_reactors, latest_report, plant_query
+from gridledger.plans.reactors import answer_reactors, latest_report, newest_units, plant_query
 from gridledger.queries.base import QUESTIONS_SQL, joined, nth, questions, register, sql_nth, table
 from gridledger.sources.api_pages import (
     api_page_status, classify_fetch_status, explode_api_pages, parse_route_catalog)
@@ -332,13 +332,13 @@ def _reactor_lines(spark, sf_dir):
 
 @register("match_plants", f"""WITH {UNIT_SQL}, asks AS (SELECT n_nationkey, {sql_nth(('Diablo Canyon', 'palo-verde 2', 'Plant 7', 'Verde', 'Unknown'), 'n_nationkey')} AS plant_query FROM nation),
 t AS (SELECT n_nationkey, plant_query, u.k, u.unit_name, lower(unit_name) = lower(replace(plant_query, '-', ' ')) AS exact_name
-   FROM asks JOIN units u ON contains(trim(regexp_replace(lower(unit_name), '[^a-z0-9]+', ' ', 'g')), lower(replace(plant_query, '-', ' ')))),
+   FROM asks JOIN (SELECT * FROM units WHERE k = (SELECT arg_max(k, (report_date, k)) FROM units)) u ON contains(trim(regexp_replace(lower(unit_name), '[^a-z0-9]+', ' ', 'g')), lower(replace(plant_query, '-', ' ')))),
 b AS (SELECT *, bool_or(exact_name) OVER (PARTITION BY n_nationkey) AS any_exact FROM t)
 SELECT n_nationkey, k AS page_id, unit_name, CASE WHEN exact_name THEN 1 ELSE 2 END AS tier FROM b WHERE exact_name = any_exact""")
 def _match_plants(spark, sf_dir):
     asks = table(spark, sf_dir, "nation").select("n_nationkey", nth(
         ("Diablo Canyon", "palo-verde 2", "Plant 7", "Verde", "Unknown"), F.col("n_nationkey")).alias("plant_query"))
-    return match_plants(asks, parse_reactor_tables(report_columns(spark, sf_dir))).select(
+    return match_plants(asks, newest_units(report_columns(spark, sf_dir))).select(
         "n_nationkey", "page_id", "unit_name", "tier")
 
 
