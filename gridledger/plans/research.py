@@ -16,7 +16,7 @@ from gridledger.operators.ranking import number_sources, until_satisfied
 from gridledger.session import cut_lineage
 from gridledger.sources.api_pages import fetch_status
 
-METHOD_SLOTS = 8  # more than the methods one provider can have
+METHOD_SLOTS = 1 << 16  # positions of a provider; room for 32,768 providers and 4 billion records of a step below
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def planned_attempts(questions: DataFrame) -> DataFrame:
     planned = plan_capabilities(classify_questions(questions))
     matched = match_providers(planned, F.size("licenses") > 0)
     steps = plan_retrieval(matched).where("method is not null")
-    return steps.withColumn("pos", F.col("provider_pos") * METHOD_SLOTS + F.col("method_pos"))
+    return steps.withColumn("pos", F.col("provider_pos").cast("long") * METHOD_SLOTS + F.col("method_pos"))
 
 
 def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
@@ -44,8 +44,8 @@ def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
     ``questions``: question_id, question, claim_type, credentials, licenses,
     evaluated_at. ``fetches``: question_id, provider_id, method, status_code.
     ``records``: question_id, provider_id, method, record_no and the fields of
-    ``draft_answers`` and ``quality_inputs``. The walked attempts and the records
-    they yielded feed several outputs, so both are checkpointed.
+    ``draft_answers`` and ``quality_inputs``. The walked attempts, the records they
+    yielded and the released answers feed several outputs, so they are checkpointed.
     """
     steps = planned_attempts(questions)
     ids = ["question_id", "provider_id", "method"]
@@ -62,7 +62,7 @@ def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
 
     used = attempts.where(F.col("records") > 0).select(*ids, F.col("pos").alias("attempt_pos"))
     kept = records.join(used, ids)
-    step = F.lit(1 << 40)
+    step = F.lit(1 << 32)
     kept = cut_lineage(kept.withColumn("pos", F.col("attempt_pos") * step + F.col("record_no")))
     claim_types = questions.select("question_id", "question", "claim_type", "evaluated_at")
 
@@ -72,8 +72,8 @@ def research_batch(questions: DataFrame, fetches: DataFrame, records: DataFrame,
         claim_types.select("question_id", "claim_type"), "question_id")).drop("claim_type")
     outcome = attempt_outcomes(attempts, require_primary=require_primary).select(
         "question_id", F.col("warning").alias("retrieval_warning"))
-    released = release_decision(
-        gated.join(drafts, "question_id", "left").join(outcome, "question_id", "left"))
+    released = cut_lineage(release_decision(
+        gated.join(drafts, "question_id", "left").join(outcome, "question_id", "left")))
 
     sources = number_sources(kept)
     sources = sources.select("question_id", "source_id", "source_no", "provider_id", "source_title",

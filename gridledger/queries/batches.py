@@ -48,7 +48,7 @@ def research_inputs(spark, sf_dir):
 
 
 WALK_SQL = f"""{CLASSIFIED_SQL}, {MATCHED_SQL.format(licensed="(p.access <> 'optional_licensed' OR n.question_id % 4 = 0)")}, {RETRIEVAL_SQL},
-s0 AS (SELECT *, provider_pos * 8 + method_pos AS pos, {sql_list(CODES)}[((question_id + provider_pos * 3 + method_pos) % 7) + 1] AS code,
+s0 AS (SELECT *, CAST(provider_pos AS BIGINT) * 65536 + method_pos AS pos, {sql_list(CODES)}[((question_id + provider_pos * 3 + method_pos) % 7) + 1] AS code,
    CASE WHEN (question_id + provider_pos) % 5 = 0 THEN 0 ELSE 1 + (question_id + provider_pos) % 2 END AS landed FROM steps),
 s1 AS (SELECT *, CASE WHEN code = 200 THEN landed ELSE 0 END AS records, provider_pos % 3 <> 2 AS primary_provider FROM s0),
 s2 AS (SELECT *, coalesce(sum(records) OVER w, 0) AS r, coalesce(max(CASE WHEN primary_provider THEN records ELSE 0 END) OVER w, 0) AS p FROM s1
