@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions.plan import compute_once
+from gridledger.functions.text import strip
 from gridledger.functions.urls import canonicalize_url, host
 from gridledger.operators.evidence import (
     accept_validated, dedup_capped, greedy_dedup, group_candidates, packet_rollup, page_gate, retained_rollup,
     score_discovery, score_page, validated_rollup, with_dedup_keys, with_plan_terms)
+from gridledger.operators.gates import citation_release, clean_claims, validate_citations
 from gridledger.operators.joins import join_authority
-from gridledger.operators.ranking import cap_documents, top_candidates
+from gridledger.operators.ranking import cap_documents, number_sources, top_candidates
 from gridledger.session import cut_lineage
 from gridledger.sources.web import extract_page_text
 
 PLAN_COLUMNS = ("question_terms", "entity_terms", "geography_terms", "intent_terms", "entities",
                 "geography", "official_domains")
 
+HELD_CITED_EXPLANATION = ("The research system retrieved and reviewed sources, but none provided enough direct, answerable"
+                          " evidence to support a factual conclusion.")
+
 
 @dataclass(frozen=True)
 class EvidenceTables:
@@ -93,10 +98,12 @@ def evidence_batch(plans: DataFrame, results: DataFrame, pages: DataFrame, score
     failed = F.col("_scored").isNull() | F.col("relevance_score").isNull()
     scored = scored.withColumns({"validation_failed": failed, "relevance_score": F.coalesce("relevance_score", F.lit(0.0))})
     judged = accept_validated(scored.drop("_scored"))
-    failures = judged.groupBy("question_id").agg(F.count_if("validation_failed").alias("failed_count"))
+    failures = judged.groupBy("question_id").agg(
+        F.count_if("validation_failed").alias("failed_count"),
+        F.count_if(~F.col("accepted") & ~F.col("validation_failed")).alias("rejected_count"))
     validated = (plans.select("question_id").distinct().join(validated_rollup(judged), "question_id", "left")
                  .join(failures, "question_id", "left"))
-    counts = ("accepted_count", "direct_count", "answerable_count", "controlling_count", "domain_count", "failed_count")
+    counts = ("accepted_count", "direct_count", "answerable_count", "controlling_count", "domain_count", "failed_count", "rejected_count")
     validated = validated.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "sufficient": F.coalesce("sufficient", F.lit(False)),
                                        "reason": F.coalesce("reason", F.lit("no_evidence"))})
     keyed = with_dedup_keys(judged.where("accepted"))
@@ -113,3 +120,52 @@ def packet_status(tables: EvidenceTables) -> DataFrame:
         "retained_count": F.coalesce("retained_count", F.lit(0)),
         "reason": F.coalesce("final_reason", F.when(F.col("accepted_count") > 0, "only_duplicates_or_generic")
                              .otherwise(F.col("reason")))}).drop("final_reason")
+
+
+@dataclass(frozen=True)
+class CitedTables:
+    answers: DataFrame
+    sources: DataFrame
+    claims: DataFrame
+
+
+def cited_answers(plans: DataFrame, tables: EvidenceTables, drafts: DataFrame, claims: DataFrame) -> CitedTables:
+    """Evidence to cited or held answers, one row per plan.
+
+    ``drafts`` holds the model's answers (question_id, direct_answer, explanation, confidence,
+    limitations) and ``claims`` their claims (question_id, text, source_ids, claim_type). Retained
+    documents become numbered sources in their order. A question without sufficient evidence
+    or without a draft is held with its reason and the number of failed validations. The
+    sources and claims of an answered question are checked together (``validate_citations``);
+    they are part of that one answer, which bounds the lists.
+    """
+    status = packet_status(tables).select(
+        "question_id", "sufficient", "reason", "retained_count", "rejected_count", "failed_count")
+    draft = drafts.select("question_id", F.col("direct_answer").alias("model_answer"), F.col("explanation").alias("model_explanation"),
+                          F.col("confidence").alias("model_confidence"), F.col("limitations").alias("model_notes"))
+    packets = cut_lineage(plans.select("question_id", "question").join(status, "question_id").join(draft, "question_id", "left"))
+    drafted = F.col("model_answer").isNotNull()
+    packets = packets.withColumns({
+        "reason": F.when(F.col("sufficient") & ~drafted, "no_model_answer").otherwise(F.col("reason")),
+        "sufficient": F.col("sufficient") & drafted})
+    open_ids = packets.where("sufficient").select("question_id", F.col("retained_count").cast("int").alias("max_source_id"))
+    sources = number_sources(tables.retained.where("retained").join(open_ids.select("question_id"), "question_id", "left_semi"))
+    sources = sources.select("question_id", F.col("source_no").cast("int").alias("source_id"), "title", "url", "provider", "source_tier")
+    clean = clean_claims(claims.join(open_ids, "question_id")).select("question_id", "text", "source_ids", "claim_type")
+    packed = packets.join(
+        sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "url"))).alias("sources")), "question_id", "left").join(
+        clean.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text", "source_ids", "claim_type"))).alias("claims")),
+        "question_id", "left")
+    failed = F.when(F.col("failed_count") > 0, F.array(F.format_string("%d validations failed", F.col("failed_count")))).otherwise(
+        F.array().cast("array<string>"))
+    notes = F.filter(F.transform(F.coalesce("model_notes", F.array().cast("array<string>")), strip), lambda n: n != "")
+    released = citation_release(packed.withColumns({
+        "document_count": F.col("retained_count"), "direct_answer": F.col("model_answer"), "failures": failed, "notes": F.array_distinct(notes),
+        "sources": F.coalesce("sources", F.array().cast("array<struct<source_id: int, url: string>>")),
+        "claims": F.coalesce("claims", F.array().cast("array<struct<text: string, source_ids: array<int>, claim_type: string>>"))}))
+    explanation = F.when(F.col("status") == "held", HELD_CITED_EXPLANATION).otherwise(strip(F.col("model_explanation")))
+    checked = validate_citations(released.withColumn("explanation", explanation), every_claim_cited=False)
+    answers = checked.select("question_id", "status", "direct_answer", "explanation", "confidence", "limitations",
+                             F.col("retained_count").alias("accepted_documents"), F.col("rejected_count").alias("rejected_documents"),
+                             F.col("failed_count").alias("validation_failures"), "errors", "passed")
+    return CitedTables(answers, sources, clean)

@@ -14,7 +14,7 @@ from gridledger.operators.evidence import (
 from gridledger.operators.gates import citation_release
 from gridledger.operators.joins import join_authority
 from gridledger.operators.ranking import cap_documents, one_per_domain, top_candidates, top_k
-from gridledger.plans.evidence import collect, discover, evidence_batch, packet_status
+from gridledger.plans.evidence import cited_answers, collect, discover, evidence_batch, packet_status
 from gridledger.queries.base import PHRASES, joined, nth, register, sql_list, sql_nth, squeeze_sql, table
 from gridledger.queries.text import (
     AUTH_SQL, ENC, PAGE_TEXT_SQL, VARIED_SQL, page_bodies, results, varied_urls)
@@ -338,7 +338,7 @@ def _collect(spark, sf_dir):
                       F.coalesce("relevance", F.lit(-1.0)).alias("relevance"))
 
 
-@register("evidence_batch", f"""WITH RECURSIVE {BATCH_SQL},
+PACKET_SQL = f"""{BATCH_SQL},
 ok AS (SELECT question_id, pos, regexp_replace(url, '\\?.*$', '') AS u, sha256({squeeze_sql('lower(text)')}) AS fp FROM jd
    WHERE accepted AND NOT (lower(trim(page_title)) IN ('homepage', 'home', 'welcome', 'what''s new') OR (regexp_extract(url, '://[^/?#]*/*([^?#]*)', 1) = '' AND scope <> 'direct'))),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS n FROM ok),
@@ -349,7 +349,10 @@ walk AS (SELECT question_id, n, pos, true AS keep, [u] AS us, [fp] AS fps FROM n
   FROM walk w JOIN numbered d ON d.question_id = w.question_id AND d.n = w.n + 1),
 kept AS (SELECT question_id, count(*) AS retained_count FROM walk WHERE keep GROUP BY 1),
 rolled AS (SELECT question_id, count(*) FILTER (WHERE accepted) AS accepted_count, count(*) FILTER (WHERE accepted AND scope = 'direct') AS direct_count,
-   count(*) FILTER (WHERE accepted AND relevant AND ans) AS answerable_count, count(*) FILTER (WHERE failed) AS failed_count FROM jd GROUP BY 1)
+   count(*) FILTER (WHERE accepted AND relevant AND ans) AS answerable_count, count(*) FILTER (WHERE failed) AS failed_count FROM jd GROUP BY 1)"""
+
+
+@register("evidence_batch", f"""WITH RECURSIVE {PACKET_SQL}
 SELECT question_id, coalesce(accepted_count, 0) AS accepted_count, coalesce(direct_count, 0) AS direct_count, coalesce(answerable_count, 0) AS answerable_count,
   coalesce(failed_count, 0) AS failed_count, coalesce(retained_count, 0) AS retained_count, coalesce(retained_count, 0) > 0 AS sufficient,
   CASE WHEN retained_count > 0 THEN 'unique_evidence' WHEN accepted_count > 0 THEN 'only_duplicates_or_generic' WHEN accepted_count = 0 THEN 'all_rejected'
@@ -361,6 +364,57 @@ def _evidence_batch(spark, sf_dir):
                                         "failed_count", "retained_count", "sufficient", "reason")
 
 
+# ---- cited answers: the model's drafts and claims are made from the plans ------------------------
+def syntheses(spark, sf_dir):
+    """Drafts of three in four questions, three claims each; some cite sources that are not there."""
+    asked = plans(spark, sf_dir).select("question_id", "question").where("question_id % 4 <> 3")
+    drafts = asked.select(
+        "question_id", F.concat(F.lit(" About "), "question").alias("direct_answer"), F.concat(F.lit("Because "), "question").alias("explanation"),
+        nth((" HIGH", "sure"), F.col("question_id")).alias("confidence"), F.array(F.lit(" note "), F.lit(""), F.lit("note")).alias("limitations"))
+    ids = lambda *values: F.array(*(F.lit(v) for v in values))
+    made = F.array(*(F.struct(F.lit(kind).alias("claim_type"), cited.alias("source_ids"), F.lit(text).alias("text")) for kind, cited, text in (
+        ("fact", ids(1, 1, 99), " one "), ("FACT", ids(50), "two"), ("opinion", ids(0, 2, 1), "three"))))
+    return drafts, asked.select("question_id", F.explode(made).alias("c")).select("question_id", "c.*")
+
+
+CITED_SQL = f"""{PACKET_SQL},
+rejected AS (SELECT question_id, count(*) FILTER (WHERE NOT accepted AND NOT failed) AS rejected_count FROM jd GROUP BY 1),
+st AS (SELECT question_id, question_id % 4 <> 3 AND coalesce(retained_count, 0) > 0 AS answered, coalesce(retained_count, 0) AS retained, coalesce(rejected_count, 0) AS rejected, coalesce(failed_count, 0) AS failed,
+  CASE WHEN retained_count > 0 THEN 'no_model_answer' WHEN accepted_count > 0 THEN 'only_duplicates_or_generic' WHEN accepted_count = 0 THEN 'all_rejected' ELSE 'no_evidence' END AS reason
+  FROM plans LEFT JOIN rolled USING (question_id) LEFT JOIN kept USING (question_id) LEFT JOIN rejected USING (question_id))"""
+
+
+def _cited(spark, sf_dir):
+    tables = evidence_batch(plans(spark, sf_dir), web_and_news(spark, sf_dir), landed_pages(spark, sf_dir),
+                            verdicts(spark, sf_dir), dims.authorities(spark), k=30, tried=12, accepted_pages=6)
+    return cited_answers(plans(spark, sf_dir), tables, *syntheses(spark, sf_dir))
+
+
+@register("cited_answers", f"""WITH RECURSIVE {CITED_SQL}
+SELECT question_id, CASE WHEN answered THEN 'answered' ELSE 'held' END AS status, CASE WHEN NOT answered THEN 'insufficient' WHEN question_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN answered THEN trim('About ' || question) ELSE 'The available verified evidence is not sufficient to provide a reliable answer.' END AS direct_answer,
+  CASE WHEN answered THEN 'note' WHEN failed > 0 THEN reason || '|' || failed || ' validations failed' ELSE reason END AS limitations,
+  retained AS accepted_documents, rejected AS rejected_documents, failed AS validation_failures, true AS passed FROM st JOIN plans USING (question_id)""")
+def _cited_answers(spark, sf_dir):
+    return _cited(spark, sf_dir).answers.select(
+        "question_id", "status", "confidence", "direct_answer", joined(F.col("limitations")).alias("limitations"),
+        "accepted_documents", "rejected_documents", "validation_failures", "passed")
+
+
+@register("cited_sources", f"""WITH RECURSIVE {CITED_SQL}
+SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY w.pos) AS INTEGER) AS source_id, url, coalesce(nullif(page_title, ''), result_title) AS title
+FROM walk w JOIN jd USING (question_id, pos) JOIN st USING (question_id) WHERE w.keep AND answered""")
+def _cited_sources(spark, sf_dir):
+    return _cited(spark, sf_dir).sources.select("question_id", "source_id", "url", "title")
+
+
+@register("cited_claims", f"""WITH RECURSIVE {CITED_SQL}
+SELECT question_id, 'one' AS text, 'fact' AS claim_type, '1' AS source_ids FROM st WHERE answered
+UNION ALL SELECT question_id, 'three', 'context', CASE WHEN retained > 1 THEN '2,1' ELSE '1' END FROM st WHERE answered""")
+def _cited_claims(spark, sf_dir):
+    return _cited(spark, sf_dir).claims.select("question_id", "text", "claim_type", joined(F.col("source_ids"), ",").alias("source_ids"))
+
+
 @register("citation_release", f"""WITH {JUDGED_SQL}, r AS (SELECT question_id, count(*) FILTER (WHERE accepted) AS n FROM judged GROUP BY 1)
 SELECT question_id, CASE WHEN n < 3 THEN 'held' ELSE 'answered' END AS status, CASE WHEN n < 3 THEN 'insufficient' WHEN n % 3 = 0 THEN 'high' ELSE 'low' END AS confidence,
   CASE WHEN n < 3 THEN 'The available verified evidence is not sufficient to provide a reliable answer.' ELSE 'Answer ' || question_id END AS direct_answer,

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app_name: str = "gridledger", cores: str = "8") -> SparkSession:
-    """Session for tests and the local benchmark; clusters bring their own."""
+    """Session for tests and the local benchmark; clusters bring their own.
+
+    Checkpoints go to a new temporary folder and are removed once nothing refers to them.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -18,6 +21,8 @@ def local_session(app_name: str = "gridledger", cores: str = "8") -> SparkSessio
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
