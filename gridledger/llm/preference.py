@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridledger.llm import common
+
 #: Marks of the chat format.
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
@@ -67,7 +69,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     key = ["chosen", "rejected"]
     # One row for each side and turn; a place differs unless two equal turns meet there.
     side = lambda name: both.select(*key, F.col(name).alias("conv"), F.lit(name).alias("side")).join(turns, "conv")
-    rows = side("chosen").unionByName(side("rejected"))
+    rows = common.checkpointed(side("chosen").unionByName(side("rejected")))  # read for the cut and for the texts
     turn = F.struct("role", "text")
     places = rows.groupBy(*key, "place").agg(F.count("*").alias("sides"), F.min(turn).alias("a"), F.max(turn).alias("b"))
     first = places.groupBy(*key).agg(F.min(F.when((F.col("sides") < 2) | (F.col("a") != F.col("b")), F.col("place"))).alias("cut"))
@@ -97,8 +99,9 @@ def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     For every conversation with an assistant turn, the rejected side (numbered ``-conv - 1``) is
     the conversation up to its last assistant turn, whose text comes from the last
     answer of conversation ``conv + 1`` (its own where there is none). Returns (turns of both
-    sides, pairs numbered by conversation).
+    sides, pairs numbered by conversation). Both are checkpointed, as several joins read them.
     """
+    turns = common.checkpointed(turns)
     last = turns.where(F.col("role") == TRAINED).groupBy("conv").agg(
         F.max("place").alias("last"), F.max_by("text", "place").alias("answer"))
     other = last.select((F.col("conv") - 1).alias("conv"), F.col("answer").alias("other"))
@@ -108,4 +111,5 @@ def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.when(F.col("place") == F.col("last"), F.col("other")).otherwise(F.col("text")).alias("text")))
     kept = turns.join(last.select("conv", "last"), "conv").where(F.col("place") <= F.col("last")).drop("last")
     pairs = last.select(F.col("conv").alias("pair_id"), F.col("conv").alias("chosen"), (-F.col("conv") - 1).alias("rejected"))
-    return kept.select("conv", "place", "role", "text").unionByName(rejected), pairs
+    both = kept.select("conv", "place", "role", "text").unionByName(rejected)
+    return common.checkpointed(both), common.checkpointed(pairs)
