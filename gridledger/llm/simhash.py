@@ -215,8 +215,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Columns stay as they are; of equal rows one stays.
     """
+    return kept_first(docs, near_duplicates(docs, **options))
+
+
+def kept_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The first row of each root of ``grouped`` (doc_id, row_key, root), in the order of ``keep_one``."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    first = near_duplicates(docs, **options).groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key")
+    first = grouped.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.row_key")
     key, number = common.fresh(docs, "row_key", "row_number")
     left = docs.withColumn(key, F.xxhash64("text"))
     first = first.toDF("first_id", "first_key")
