@@ -95,6 +95,21 @@ def test_edges(spark):
     assert quality.train(df.limit(0), labels).judge(df.limit(0)).count() == 0
 
 
+def test_small_languages_keep_their_own_model_and_bound(spark):
+    rng = random.Random(3)
+    parts = {"a": ["ba", "no", "ti", "le", "ra"], "b": ["xu", "kwo", "zy", "vu", "qo"]}
+    text = lambda lang: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(60))
+    good = [(i, text("b" if i % 10 == 0 else "a"), "b" if i % 10 == 0 else "a") for i in range(300)]
+    other = [(1000, text("a"), "b"), (1001, text("b"), "b"), (1002, text("a"), "a"), (1003, text("a"), "c"), (1004, text("a"), "d")]
+    df = spark.createDataFrame([*good, *other], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(1004, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(df, labels)
+    assert model.known == ["la", "lb"] and set(model.bounds) == {"la", "lb", quality.ALL}
+    judged = {r.doc_id: r for r in model.judge(df).collect()}
+    assert judged[1000].rejected and not any(judged[i].rejected for i in (1001, 1002, 1003, 1004))
+    assert judged[1001].bound == model.bounds["lb"][1] and judged[1003].bound == judged[1004].bound == model.bounds[quality.ALL][1]
+
+
 def test_query_keeps_good_and_rejects_garbled_text(spark):
     folder = "/root/testdata/sf0.1"
     got = queries.op1(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
