@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm import common, decontaminate, embeddings, licenses, mixing, pii, preference, quality, sharding, simhash, warc
+from gridledger.llm import (codebooks, common, decontaminate, embeddings, interactions, licenses, mixing, packing, pii, preference,
+                            quality, sharding, simhash, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,3 +185,87 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference.format_pairs(turns, pairs)
     listed = lambda mask: F.array_join(F.transform(mask, lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias(mask)
     return found.select("pair_id", "status", "n_prefix", "prompt", "chosen_text", "rejected_text", listed("chosen_mask"), listed("rejected_mask"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    found = packing.pieces(common.read(spark, sf_dir, "documents"), ["doc_id"])
+    return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """The rounds unrolled: assignment ``a<r>`` to codebook ``c<r>``, then codebook ``c<r+1>``."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, e, d FROM (
+    SELECT vec_id, p, e, d, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) AS best
+    FROM (SELECT vec_id, p, e, sum((x - y) * (x - y)) AS d FROM comp JOIN c{r} USING (p, j) GROUP BY ALL)) WHERE best = 1)"""
+    update = """
+c{n} AS MATERIALIZED (
+  SELECT p, e, j, CAST(coalesce((s - ((s % n + n) % n)) // n, y) AS BIGINT) AS y
+  FROM c{r} LEFT JOIN (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM a{r} JOIN comp USING (vec_id, p) GROUP BY ALL) USING (p, e, j))"""
+    body = ",".join(assign.format(r=r) + "," + update.format(r=r, n=r + 1) for r in range(rounds)) + "," + assign.format(r=rounds)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor({codebooks.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+comp AS MATERIALIZED (
+  SELECT vec_id, k * {codebooks.PARTS} // len AS p, k % (len // {codebooks.PARTS}) AS j, x
+  FROM (SELECT vec_id, len(v) AS len, unnest(v) AS x, unnest(range(0, len(v))) AS k FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {codebooks.ENTRIES}),
+c0 AS MATERIALIZED (SELECT p, e, j, x AS y FROM first JOIN comp USING (vec_id)),{body},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+          FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query("op12_member_resident_codes", op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector."""
+    books, coded = codebooks.fit(common.read(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+OP13_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INTEGER)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY text) AS INTEGER) AS mask
+  FROM doc),
+tally AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM failed LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+filter(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+place AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, unnest([1, 2, 3, 4, 5]) AS step,
+         unnest([0, a.bit, a.bit + b.bit, a.bit + b.bit + c.bit, a.bit + b.bit + c.bit + d.bit]) AS before,
+         unnest([a.bit, b.bit, c.bit, d.bit, e.bit]) AS bit
+  FROM filter a, filter b, filter c, filter d, filter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM place, tally GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every order of the five filters, for each language."""
+    return interactions.audit(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
