@@ -154,12 +154,14 @@ def fit(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
              .select("vec_id", "label", "key1", "key2", "salt", F.posexplode(F.array(*map(part, range(PARTS)))).alias("position", "part")))
     columns = ["vec_id", "label", "key1", "key2", "salt", "position", "part"]
     moving = lambda seen: seen.select(*columns, F.col("near").alias("entry")).repartition("position", "entry", "salt")
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     residents = moving(assigned(parts, books)).persist()
     for number in range(rounds):
         if number:
             seen = assigned(residents, books)
             stay = seen.where("near = entry").select(*columns, "entry")
-            before, residents = residents, stay.union(moving(seen.where("near <> entry"))).persist()
+            # Arrivals join a cached partition without another shuffle; the number of partitions stays.
+            before, residents = residents, stay.union(moving(seen.where("near <> entry"))).coalesce(partitions).persist()
         books = updated(residents, books)
         if number:
             before.unpersist()

@@ -7,7 +7,7 @@ import corpus_pipeline
 from gridledger.llm import common, quality
 from tests.llm.test_decontaminate import slow as slow_hits
 from tests.llm.test_mixing import slow_targets
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_shingles import slow_roots
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,8 +29,11 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     labels = {r.doc_id: r.quality for r in common.read(spark, FOLDER, "labels").collect()}
     lost = [r[0] for r in start if labels.get(r[0]) == 1 and verdict[r[0]]]
     assert len(lost) <= 0.03 * sum(labels.values())
-    groups = slow_components([(r[0], slow_fingerprint(r[1])) for r in good])
-    assert sorted(r[0] for r in single) == sorted(set(groups))
+    good.sort()
+    group = {}
+    for r, label in zip(good, slow_roots([r[1] for r in good]), strict=True):  # the smallest id of each group stays
+        group.setdefault(label, r[0])
+    assert sorted(r[0] for r in single) == sorted(group.values())
     hits = {r[0]: slow_hits(r[1], bench) for r in single}
     assert sorted(r[0] for r in clean) == sorted(i for i, (n, h, _) in hits.items() if not (h and 20 * h >= n))
     assert set(mixed) <= set(clean) and max(Counter(mixed).values()) <= 3
