@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ GROUP = 4096
 SLACK = 32
 SEED = 11
 #: Word pieces whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 #: Texts of these characters alone (ASCII, Latin letters, common punctuation) may be cut at word pieces before they
 #: are tokenized: composing leaves them as they are, lower-casing goes letter by letter, and no marker can be in them.
@@ -97,20 +98,21 @@ class Encoder:
         """Ids of every text."""
         if len(self.index) > self.remembered:
             self.forget()
-        cut = [PIECE.findall(t.lower()) if self.cut and PLAIN.fullmatch(t) else None for t in texts]
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.index})
-        if new:
-            self._learn(new)
-        return [np.array(self._ids(t), np.int64) if pieces is None else self._joined(pieces)
-                for t, pieces in zip(texts, cut, strict=True)]
-
-    def _joined(self, pieces: list[str]) -> np.ndarray:
-        index = self.index
-        at = np.fromiter((index[p] for p in pieces), np.int64, len(pieces))
+        plain = [self.cut and PLAIN.fullmatch(t) is not None for t in texts]
+        cut = [PIECE.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
+        pieces = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
+            at[missing] = [self.index[pieces[i]] for i in missing]
         starts = self.starts[at]
         lengths = self.starts[at + 1] - starts
-        before = np.cumsum(lengths) - lengths
-        return self.ids[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        ends = np.cumsum(lengths)
+        found = self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        tokens = np.concatenate([[0], ends])[np.cumsum([len(p) for p in cut[:-1]], dtype=np.int64)] if cut else []
+        joined = iter(np.split(found, tokens) if cut else [])
+        return [next(joined) if p else np.array(self._ids(t), np.int64) for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=1)
