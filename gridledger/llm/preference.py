@@ -15,7 +15,8 @@ ties and gaps do not matter; repeated rows are repeated turns. A null role is wr
 "none", a null text is empty. A pair whose conversations are equal has two empty
 completions and the status "equal"; one that is a prefix of the other has one
 empty completion and the status "prefix"; else the status is "pair". A pair that names
-an unknown or null conversation is not emitted. Repeated pairs are emitted as often.
+an unknown or null conversation is not emitted. Repeated pairs are emitted as often. Turns
+without a conversation id belong to none.
 """
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from gridledger.llm import common
 #: Marks of the chat format.
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
+#: Ids that a task orders at once.
+CHUNK = 65_536
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
@@ -56,19 +59,20 @@ def _completion(turns: Column) -> tuple[Column, Column]:
     return whole, mask
 
 
-def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+def format_pairs(turns: DataFrame, pairs: DataFrame, rejected_turns: DataFrame | None = None) -> DataFrame:
     """turns (conv, place, role, text) and pairs (pair_id, chosen, rejected) to one row per pair.
 
-    Columns: pair_id, chosen, rejected, status, n_prefix, prompt, chosen_text,
-    chosen_mask, rejected_text, rejected_mask.
+    ``rejected_turns`` holds the rejected sides where they are no conversations of ``turns``; the ids of the
+    two tables are then independent. Columns: pair_id, chosen, rejected, status, n_prefix, prompt,
+    chosen_text, chosen_mask, rejected_text, rejected_mask.
     """
-    known = turns.groupBy("conv").agg(F.count("*").cast("int").alias("n"))
-    both = (pairs.select("chosen", "rejected").distinct()
-            .join(known.select(F.col("conv").alias("chosen"), F.col("n").alias("n_chosen")), "chosen")
-            .join(known.select(F.col("conv").alias("rejected")), "rejected"))
+    sides = {"chosen": turns, "rejected": turns if rejected_turns is None else rejected_turns}
+    known = lambda name: sides[name].groupBy(F.col("conv").alias(name)).agg(F.count("*").cast("int").alias(f"n_{name}"))
+    both = pairs.select("chosen", "rejected").distinct().join(known("chosen"), "chosen").join(known("rejected"), "rejected")
     key = ["chosen", "rejected"]
     # One row for each side and turn; a place differs unless two equal turns meet there.
-    side = lambda name: both.select(*key, F.col(name).alias("conv"), F.lit(name).alias("side")).join(turns, "conv")
+    side = lambda name: both.select(*key, F.col(name).alias("conv"), F.lit(name).alias("side")).join(
+        sides[name].select("conv", "place", "role", "text"), "conv")
     rows = common.checkpointed(side("chosen").unionByName(side("rejected")))  # read for the cut and for the texts
     turn = F.struct("role", "text")
     places = rows.groupBy(*key, "place").agg(F.count("*").alias("sides"), F.min(turn).alias("a"), F.max(turn).alias("b"))
@@ -93,23 +97,56 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
                     rejected.alias("rejected_text"), rejected_mask.alias("rejected_mask")))
 
 
-def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from plain conversations: the rejected side ends with another conversation's last answer.
+def following(rows: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the ``value`` of the next row of the group by the integer ``order`` (unique in it), null for the last one.
 
-    For every conversation with an assistant turn, the rejected side (numbered ``-conv - 1``) is
-    the conversation up to its last assistant turn, whose text comes from the last
-    answer of conversation ``conv + 1`` (its own where there is none). Returns (turns of both
-    sides, pairs numbered by conversation). Both are checkpointed, as several joins read them.
+    Rows are ordered in chunks of ``CHUNK`` ids; the last of a chunk takes the first value of the next chunk, so neither
+    the table nor a hot group is ever ordered in one task.
+    """
+    rows = rows.withColumn("chunk", F.expr(f"floor({order} / {CHUNK})"))
+    inside = F.lead(value).over(Window.partitionBy(*group, "chunk").orderBy(order))
+    firsts = rows.groupBy(*group, "chunk").agg(F.min_by(value, order).alias("first"))
+    after = F.lead("first").over(Window.partitionBy(*group).orderBy("chunk"))
+    heads = firsts.withColumn("after", after).drop("first")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*group, "chunk"]]
+    return (rows.withColumn(name, inside).alias("r").join(heads.alias("h"), same)
+            .select(*(f"r.{c}" for c in rows.columns if c != "chunk"), F.coalesce(f"r.{name}", "h.after").alias(name)))
+
+
+def rejected_sides(turns: DataFrame) -> DataFrame:
+    """(conv, place, role, text): a rejected side for every conversation of a table of plain ones.
+
+    A conversation that opens like another one (role and text of its first turn) is paired with the next such
+    conversation by id. Any other one is paired with itself, its last answer replaced by that of the next
+    conversation which has one (after the last comes the first); turns after the answer stay. Where it has no
+    answer, the other one's answer is added at its end. Without another answer the side equals the conversation.
     """
     turns = common.checkpointed(turns)
-    last = turns.where(F.col("role") == TRAINED).groupBy("conv").agg(
+    opening = [F.xxhash64(F.lit(n), "role", "text").alias(f"o{n}") for n in (1, 2)]
+    opened = turns.where("place = 0").select("conv", *opening)
+    siblings = following(opened, ["o1", "o2"], "conv", "conv", "sibling").where("sibling is not null").select("conv", "sibling")
+    siblings = common.checkpointed(siblings)
+    real = siblings.join(turns.withColumnRenamed("conv", "sibling"), "sibling").select("conv", "place", "role", "text")
+    answers = turns.where(F.col("role") == TRAINED).groupBy("conv").agg(
         F.max("place").alias("last"), F.max_by("text", "place").alias("answer"))
-    other = last.select((F.col("conv") - 1).alias("conv"), F.col("answer").alias("other"))
-    swap = last.join(other, "conv", "left").select("conv", "last", F.coalesce("other", "answer").alias("other"))
-    rejected = (turns.join(swap, "conv").where(F.col("place") <= F.col("last"))
-                .select((-F.col("conv") - 1).alias("conv"), "place", "role",
-                        F.when(F.col("place") == F.col("last"), F.col("other")).otherwise(F.col("text")).alias("text")))
-    kept = turns.join(last.select("conv", "last"), "conv").where(F.col("place") <= F.col("last")).drop("last")
-    pairs = last.select(F.col("conv").alias("pair_id"), F.col("conv").alias("chosen"), (-F.col("conv") - 1).alias("rejected"))
-    both = kept.select("conv", "place", "role", "text").unionByName(rejected)
-    return common.checkpointed(both), common.checkpointed(pairs)
+    ends = turns.groupBy("conv").agg(F.count("*").cast("int").alias("n")).join(answers, "conv", "left")
+    # Every conversation's donor is the next one with an answer: the first of the next ones by id.
+    ends = common.checkpointed(ends)
+    start = F.lit(ends.where("answer is not null").agg(F.min_by("answer", "conv")).first()[0]).cast("string")
+    donors = _next_answer(ends).select("conv", "n", "last", F.coalesce("other", start).alias("other"))
+    alone = common.checkpointed(donors.join(siblings.select("conv"), "conv", "left_anti"))
+    told = turns.join(alone, "conv")
+    swapped = told.select("conv", "place", "role", F.when(F.col("place") == F.col("last"), F.coalesce("other", "text")).otherwise(F.col("text")).alias("text"))
+    added = alone.where("last is null and other is not null").select("conv", F.col("n").alias("place"), F.lit(TRAINED).alias("role"), F.col("other").alias("text"))
+    return common.checkpointed(real.unionByName(swapped).unionByName(added))
+
+
+def _next_answer(ends: DataFrame) -> DataFrame:
+    """(.., other): the answer of the next conversation by id that has one, null after the last such."""
+    rows = ends.withColumn("chunk", F.expr(f"floor(conv / {CHUNK})"))
+    later = Window.partitionBy("chunk").orderBy("conv").rowsBetween(1, Window.unboundedFollowing)
+    firsts = rows.groupBy("chunk").agg(F.min_by("answer", F.when(F.col("answer").isNotNull(), F.col("conv"))).alias("first"))
+    after = F.first("first", ignorenulls=True).over(Window.orderBy("chunk").rowsBetween(1, Window.unboundedFollowing))
+    heads = firsts.withColumn("after", after).drop("first")
+    return (rows.withColumn("inside", F.first("answer", ignorenulls=True).over(later)).join(heads, "chunk")
+            .withColumn("other", F.coalesce("inside", "after")).drop("chunk", "inside", "after"))

@@ -157,32 +157,54 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(common.read(spark, sf_dir, "embeddings"))
 
 
+#: Rejected sides (``rej``): the next conversation with the same first turn, else the conversation with another's answer.
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id AS conv, coalesce(role, 'none') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'none'), coalesce(text, '')) - 1 AS place
   FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv, max(place) AS last FROM t WHERE role = 'assistant' GROUP BY conv),
-answer AS (SELECT conv, last, text AS answer FROM t JOIN last USING (conv) WHERE place = last),
-swap AS (SELECT a.conv, a.last, a.answer, coalesce(b.answer, a.answer) AS other FROM answer a LEFT JOIN answer b ON b.conv = a.conv + 1),
-cut AS (SELECT conv, last, answer, other, answer = other AS equal FROM swap)
-SELECT conv AS pair_id, CASE WHEN equal THEN 'equal' ELSE 'pair' END AS status,
-       CAST(CASE WHEN equal THEN last + 1 ELSE last END AS INTEGER) AS n_prefix,
-       (SELECT coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place), '')
-        FROM t WHERE t.conv = cut.conv AND (place < last OR equal AND place = last)) AS prompt,
-       CASE WHEN equal THEN '' ELSE '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10) END AS chosen_text,
-       CASE WHEN equal THEN '' ELSE '<|im_start|>assistant' || chr(10) || other || '<|im_end|>' || chr(10) END AS rejected_text,
-       CASE WHEN equal THEN '' ELSE '22:' || (22 + length(answer) + 11) END AS chosen_mask,
-       CASE WHEN equal THEN '' ELSE '22:' || (22 + length(other) + 11) END AS rejected_mask
-FROM cut
+sibling AS (SELECT conv, lead(conv) OVER (PARTITION BY role, text ORDER BY conv) AS other FROM t WHERE place = 0 QUALIFY other IS NOT NULL),
+ends AS (SELECT conv, count(*) AS n, max(place) FILTER (role = 'assistant') AS last, arg_max(text, place) FILTER (role = 'assistant') AS answer FROM t GROUP BY conv),
+donor AS (
+  SELECT e.conv, e.n, e.last,
+         coalesce((SELECT arg_min(answer, conv) FROM ends x WHERE x.conv > e.conv AND answer IS NOT NULL), (SELECT arg_min(answer, conv) FROM ends WHERE answer IS NOT NULL)) AS other
+  FROM ends e WHERE conv NOT IN (SELECT conv FROM sibling)),
+rej AS (
+  SELECT s.conv, t.place, t.role, t.text FROM sibling s JOIN t ON t.conv = s.other
+  UNION ALL SELECT t.conv, place, role, CASE WHEN place = last THEN coalesce(other, text) ELSE text END FROM t JOIN donor USING (conv)
+  UNION ALL SELECT conv, n, 'assistant', other FROM donor WHERE last IS NULL AND other IS NOT NULL),
+cut AS (
+  SELECT conv, coalesce(min(place) FILTER (t.role IS NULL OR rej.role IS NULL OR t.role <> rej.role OR t.text <> rej.text), any_value(n)) AS k
+  FROM t FULL JOIN rej USING (conv, place) JOIN ends USING (conv) GROUP BY conv),
+turn AS (
+  SELECT conv, side, place, role, text, k, 24 + length(role) + length(text) AS size
+  FROM (SELECT *, 'c' AS side FROM t UNION ALL SELECT *, 'r' FROM (SELECT conv, role, text, place FROM rej)) JOIN cut USING (conv)),
+span AS (
+  SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown,
+         coalesce(sum(size) FILTER (place >= k) OVER (PARTITION BY conv, side ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM turn)
+SELECT conv AS pair_id,
+       CASE (count(*) FILTER (side = 'c' AND place >= k) = 0)::INT + (count(*) FILTER (side = 'r' AND place >= k) = 0)::INT
+         WHEN 2 THEN 'equal' WHEN 1 THEN 'prefix' ELSE 'pair' END AS status,
+       CAST(any_value(k) AS INTEGER) AS n_prefix,
+       coalesce(string_agg(shown, '' ORDER BY place) FILTER (side = 'c' AND place < k), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY place) FILTER (side = 'c' AND place >= k), '') AS chosen_text,
+       coalesce(string_agg(shown, '' ORDER BY place) FILTER (side = 'r' AND place >= k), '') AS rejected_text,
+       coalesce(string_agg((before + 13 + length(role)) || ':' || (before + size), ',' ORDER BY place)
+         FILTER (side = 'c' AND place >= k AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((before + 13 + length(role)) || ':' || (before + size), ',' ORDER BY place)
+         FILTER (side = 'r' AND place >= k AND role = 'assistant'), '') AS rejected_mask
+FROM span GROUP BY conv
 """
 
 
 @query("op5_preference_pairs", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with an answer, against itself with another conversation's last answer."""
-    turns, pairs = preference.swapped_answers(preference.ordered_turns(common.read(spark, sf_dir, "conversations")))
-    found = preference.format_pairs(turns, pairs)
+    """Every conversation against another one with its opening turn, or against itself with another one's answer."""
+    turns = common.checkpointed(preference.ordered_turns(common.read(spark, sf_dir, "conversations")))
+    conv = F.col("conv")
+    pairs = turns.select(conv.alias("pair_id"), conv.alias("chosen"), conv.alias("rejected")).distinct()
+    found = preference.format_pairs(turns, pairs, preference.rejected_sides(turns))
     listed = lambda mask: F.array_join(F.transform(mask, lambda x: F.concat_ws(":", x["s"], x["e"])), ",").alias(mask)
     return found.select("pair_id", "status", "n_prefix", "prompt", "chosen_text", "rejected_text", listed("chosen_mask"), listed("rejected_mask"))
 

@@ -45,12 +45,61 @@ def test_prefixes_ties_nulls_and_repeats(spark):
     assert sorted(got, key=repr) == slow(turns, pairs)
     none = preference.ordered_turns(df.limit(0))
     assert preference.format_pairs(none, p).count() == 0
-    assert preference.format_pairs(none, preference.swapped_answers(none)[1]).count() == 0
+    assert preference.format_pairs(none, p, preference.rejected_sides(none)).count() == 0
 
 
-def test_masks_cut_out_the_answers(spark):
+def slow_sides(turns):
+    """Rejected side of every conversation, by walking them in order."""
+    ids, out = sorted(turns), {}
+    answers = {c: [t for r, t in turns[c] if r == "assistant"][-1:] for c in ids}
+    for n, c in enumerate(ids):
+        like = [d for d in ids[n + 1:] if turns[d][0] == turns[c][0]]
+        donors = [answers[d][0] for d in ids[n + 1:] + ids if answers[d]]
+        side = list(turns[c])
+        if like:
+            side = turns[like[0]]
+        elif donors and answers[c]:
+            last = max(i for i, (r, _) in enumerate(side) if r == "assistant")
+            side[last] = ("assistant", donors[0])
+        elif donors:
+            side.append(("assistant", donors[0]))
+        out[c] = side
+    return out
+
+
+def test_every_conversation_has_a_row(spark, monkeypatch):
+    """Ids 5, 6 and -6; chunks of two ids; no answer, one answer, a long one, turns after the answer, equal answers, shared openings."""
+    rows = [(5, 0, "user", "a"), (5, 1, "assistant", "x"), (5, 2, "user", "later"), (6, 0, "user", "b"), (6, 1, "assistant", "y"),
+            (-6, 0, "user", "c"), (-6, 1, "user", "nobody answers"), (7, 0, "user", "d"), (8, 0, "user", "e"), (8, 1, "assistant", "z"),
+            (8, 2, "assistant", "long " * 50_000), (9, 0, "assistant", "same"), (10, 0, None, None), (11, 0, "user", "f"), (11, 3, "assistant", "same"),
+            (12, 0, "user", "a"), (12, 1, "assistant", "x"), (12, 2, "user", "other"), (20, 0, "user", "a"), (21, 0, "user", "g"), (21, 0, "user", "g"),
+            (10**12, 0, "user", "h"), (10**12, 1, "assistant", "x"), (None, 0, "assistant", "lost")]
+    turns = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or 0)):
+        turns.setdefault(r[0], []).append((r[2] or "none", r[3] or ""))
+    sides = slow_sides(turns)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    monkeypatch.setattr(preference, "CHUNK", 2)
+    ordered = preference.ordered_turns(df)
+    got = {}
+    for r in preference.rejected_sides(ordered).collect():
+        got.setdefault(r.conv, {})[r.place] = (r.role, r.text)
+    assert {c: [t for _, t in sorted(v.items())] for c, v in got.items()} == sides
+    pairs = spark.createDataFrame([(c, c, c) for c in turns], "pair_id long, chosen long, rejected long")
+    found = preference.format_pairs(ordered, pairs, preference.rejected_sides(ordered)).collect()
+    found = sorted((tuple([tuple(s) for s in v] if isinstance(v, list) else v for v in r) for r in found), key=repr)
+    want = [(c, c, c, *slow({1: turns[c], 2: sides[c]}, [(0, 1, 2)])[0][3:]) for c in turns]
+    assert found == sorted(want, key=repr)
+    assert {r[3] for r in found} == {"pair", "prefix", "equal"}
+
+
+def test_query_against_sql_and_no_turn_lost(spark):
     folder = "/root/testdata/sf0.001"
     assert difference(queries.op5(spark, folder), connect(folder), queries.OP5_SQL) is None
-    for r in queries.op5(spark, folder).collect():
-        s, e = map(int, r.chosen_mask.split(":")) if r.chosen_mask else (0, 0)
-        assert r.chosen_text[:s] in ("", "<|im_start|>assistant\n") and r.chosen_text[s:e] in ("", r.chosen_text[22:])
+    turns = preference.ordered_turns(spark.read.parquet(f"{folder}/conversations.parquet")).collect()
+    rows = {r.pair_id: r for r in queries.op5(spark, folder).collect()}
+    assert set(rows) == {t.conv for t in turns}
+    for c, r in rows.items():
+        whole = "".join(f"<|im_start|>{t.role}\n{t.text}<|im_end|>\n" for t in sorted((t for t in turns if t.conv == c), key=lambda t: t.place))
+        assert r.prompt + r.chosen_text == whole
+    assert {r.status for r in rows.values()} >= {"pair", "prefix"}
