@@ -1,6 +1,7 @@
 """Evidence scoring, grouping, gates and de-duplication."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,40 +247,63 @@ def with_dedup_keys(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
         "generic": is_generic_homepage(F.col("title"), F.col("url"), F.col("scope"))})
 
 
+#: Documents of a packet, copies in both keys folded, that one task walks at once (some 20 MB of keys).
+WALK = 100_000
+
+
+def _walked(table: pa.Table) -> pa.Table:
+    """The retained documents of one packet: a sequential walk in position order."""
+    table = table.sort_by("pos")
+    urls, prints, kept = set(), set(), []
+    for n, (url, fingerprint) in enumerate(zip(table["dedup_url"].to_pylist(), table["fingerprint"].to_pylist(), strict=True)):
+        if url not in urls and fingerprint not in prints:
+            urls.update({url} - {None})  # a missing key equals no other
+            prints.update({fingerprint} - {None})
+            kept.append(n)
+    return table.take(pa.array(kept, pa.int64()))
+
+
 def _first_positions(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.groupBy(key, column).agg(F.min("pos").alias(f"_first_{column}"))
 
 
-def greedy_dedup(docs: DataFrame, key: str = "packet_id") -> DataFrame:
+def _retained_in_rounds(rows: DataFrame, key: str) -> DataFrame:
+    """Retained rows of packets of any size: a document that is first among the undecided in both its URL group
+    and its fingerprint group is retained, and undecided ones sharing a key with it are rejected, until all are decided."""
+    parts: list[DataFrame] = []
+    while not rows.isEmpty():
+        marked = (rows.join(_first_positions(rows, key, "dedup_url"), [key, "dedup_url"])
+                  .join(_first_positions(rows, key, "fingerprint"), [key, "fingerprint"]))
+        kept = cut_lineage(marked.where((F.col("pos") == F.col("_first_dedup_url"))
+                                        & (F.col("pos") == F.col("_first_fingerprint")))
+                           .select(key, "dedup_url", "fingerprint", "pos"))
+        parts.append(kept)
+        rows = cut_lineage(
+            rows.join(kept.select(key, "dedup_url"), [key, "dedup_url"], "left_anti")
+            .join(kept.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"))
+    return merge_results(*parts)
+
+
+def greedy_dedup(docs: DataFrame, key: str = "packet_id", walk: int = WALK) -> DataFrame:
     """Walk each packet in ``pos`` order; drop a document whose URL or fingerprint
     equals that of a *retained* one. Adds ``retained``.
 
-    Order matters across two keys, so this runs in rounds on slim key columns:
-    a document that is first among the undecided in both its URL group and its
-    fingerprint group is retained, and undecided documents sharing a key with a
-    retained one are rejected. The first undecided document of every packet is
-    always decided, so rounds end. Copies equal in both keys are folded before
-    the first round, groups are only ever reduced by a minimum, and each round
-    is checkpointed to the session's checkpoint folder.
+    Only slim key columns move, and copies equal in both keys are folded on the map side first. A packet
+    of at most ``walk`` folded documents is walked by one task, so a chain of any length costs one shuffle and
+    the number of packets does not matter. Larger packets, where there are any, are settled in rounds over all
+    of them together; those reduce groups by a minimum only.
     """
-    keyed = docs.where(~F.col("generic")).select(key, "pos", "dedup_url", "fingerprint")
-    open_rows = cut_lineage(keyed.groupBy(key, "dedup_url", "fingerprint").agg(F.min("pos").alias("pos")))
-    kept_parts: list[DataFrame] = []
-    while not open_rows.isEmpty():
-        marked = (open_rows
-                  .join(_first_positions(open_rows, key, "dedup_url"), [key, "dedup_url"])
-                  .join(_first_positions(open_rows, key, "fingerprint"), [key, "fingerprint"]))
-        kept = cut_lineage(marked.where((F.col("pos") == F.col("_first_dedup_url"))
-                                        & (F.col("pos") == F.col("_first_fingerprint")))
-                           .select(key, "pos", "dedup_url", "fingerprint"))
-        kept_parts.append(kept)
-        open_rows = cut_lineage(
-            open_rows.join(kept.select(key, "dedup_url"), [key, "dedup_url"], "left_anti")
-            .join(kept.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"))
-    if not kept_parts:
-        return docs.withColumn("retained", F.lit(False))
-    kept_all = merge_results(*kept_parts).select(key, "pos", F.lit(True).alias("_kept"))
-    return (docs.join(kept_all, [key, "pos"], "left")
+    keyed = docs.where(~F.col("generic")).groupBy(key, "dedup_url", "fingerprint").agg(F.min("pos").alias("pos"))
+    keyed = cut_lineage(keyed)
+    large = keyed.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > walk).select(key)
+    small, rounds = keyed, None
+    if not large.isEmpty():
+        large = cut_lineage(large)
+        small = keyed.join(large, key, "left_anti")
+        rounds = _retained_in_rounds(cut_lineage(keyed.join(large, key, "left_semi")), key)
+    kept = small.groupBy(key).applyInArrow(_walked, small.schema)
+    kept = kept if rounds is None else merge_results(kept, rounds)
+    return (docs.join(kept.select(key, "pos", F.lit(True).alias("_kept")), [key, "pos"], "left")
             .withColumn("retained", F.coalesce("_kept", F.lit(False))).drop("_kept"))
 
 

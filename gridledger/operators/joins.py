@@ -103,19 +103,35 @@ def join_latest_series(questions: DataFrame, latest: DataFrame, key: str = "seri
     return out.withColumn("reject_reason", F.when(F.col("_found").isNull(), "series_not_found")).drop("_found")
 
 
+#: Letters of the pieces that index names.
+GRAM = 3
+
+
+def _grams(text: str, size: Column) -> Column:
+    """Distinct pieces of ``size`` letters of a text at least that long."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, size)))
+
+
 def match_plants(questions: DataFrame, units: DataFrame, query: str = "plant_query") -> DataFrame:
     """Units of each asked plant: exact normalised name, else names containing it.
 
-    "Contains" is solved on the distinct names: every substring that starts at a
-    name position is an equi-join key. Only the better tier of a query is kept.
+    "Contains" is solved on the distinct names by an inverted index of their pieces of up to ``GRAM``
+    letters, so index rows are linear in a name's length. A query looks up its rarest
+    piece, and each name found there is compared with the whole query. Only the better
+    tier of a query is kept.
     """
     asked = questions.select(norm_text(F.col(query)).alias("_query")).distinct().where("_query <> ''")
     names = units.select(norm_text(F.col("unit_name")).alias("_name")).distinct()
-    parts = names.select("_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_from"))
-    parts = parts.select("_name", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("_name") - F.col("_from") + 1),
-        lambda n: F.substr("_name", F.col("_from"), n))).alias("_query")).distinct()
-    pairs = asked.join(parts, "_query").withColumn(
+    sizes = F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("_name"))), lambda n: _grams("_name", n))
+    index = names.where("_name <> ''").select("_name", F.explode(F.flatten(sizes)).alias("_gram"))
+    pieces = asked.select("_query", F.explode(_grams("_query", F.least(F.lit(GRAM), F.length("_query")))).alias("_gram"))
+    counts = index.groupBy("_gram").agg(F.count("*").alias("_names"))
+    # A query with a piece that no name has matches nothing.
+    rarest = (pieces.join(counts, "_gram", "left").groupBy("_query")
+              .agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_gram")).alias("_least"))
+              .where("_least.n > 0").select("_query", F.col("_least._gram").alias("_gram")))
+    pairs = rarest.join(index, "_gram").where(F.contains("_name", "_query")).select("_query", "_name").withColumn(
         "tier", F.when(F.col("_name") == F.col("_query"), 1).otherwise(2))
     best = pairs.groupBy("_query").agg(F.min("tier").alias("tier"))
     pairs = pairs.join(best, ["_query", "tier"])

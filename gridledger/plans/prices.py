@@ -9,7 +9,7 @@ from gridledger.functions.plan import compute_once
 from gridledger.functions.text import norm_text
 from gridledger.functions.times import market_date_status, resolve_market_date
 from gridledger.operators.labels import is_blank_question, resolve_hub, resolve_price_market
-from gridledger.operators.prices import DAY_KEYS, price_answer_text, price_day_summary, with_window
+from gridledger.operators.prices import DAY_KEYS, PriceDays, asked_days, price_answer_text, with_window
 
 CLARIFY_ANSWER = "Please specify which CAISO market price you want."
 
@@ -32,15 +32,17 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
     return with_window(df, zone)
 
 
-def answer_prices(questions: DataFrame, price_rows: DataFrame, as_of: str = "as_of", file: str | None = None) -> DataFrame:
+def answer_prices(questions: DataFrame, price_rows: DataFrame | PriceDays, as_of: str = "as_of", file: str | None = None) -> DataFrame:
     """Answered, held (faulty, empty or incomplete day, refused file) or unresolved price questions.
 
+    Landed prices (``PriceDays``) are read for the asked days alone; a table of rows is read whole.
+
     Questions are resolved once and meet one finished summary row each; unresolved
     ones take no part in the join.
     """
     resolved = resolve_price_questions(questions, as_of).drop("utc_start", "utc_end", "expected_count")
     known = resolved.where("status = 'resolved'")
-    days = price_day_summary(price_rows, file=file, asked=known).select(
+    days = asked_days(price_rows, known, file=file).select(
         *DAY_KEYS, "coverage", "expected_count", "actual_count", "average_price", "minimum_price",
         "maximum_price", "minimum_start", "maximum_start", "utc_end")
     out = known.join(days, list(DAY_KEYS), "left").unionByName(

@@ -14,11 +14,13 @@ from gridledger.sources.api_pages import (
 from gridledger.sources.articles import (
     normalize_news, normalize_web_results, response_answers, response_citations,
     response_sources)
+from gridledger.session import shared_folder
 from gridledger.sources.bulk import flatten_bulk_manifest, resolve_bulk_files, search_bulk_files
+from gridledger.sources.landed import land_files
 from gridledger.sources.prices import (
-    detect_price_errors, price_archive_rows, price_error, price_rows_from_cells, typed_price_rows)
+    detect_price_errors, price_archive_rows, price_error, read_price_archives, typed_price_rows)
 from gridledger.sources.reactors import parse_reactor_lines, parse_reactor_tables
-from gridledger.sources.series import parse_series_lines, series_archive_lines
+from gridledger.sources.series import parse_series_lines, read_series_archives
 
 
 def fill(template: str, **columns):
@@ -37,8 +39,8 @@ def pick(i, *choices):
     return out
 
 
-# ---- price archives, one per customer ----------------------------------------------
-HEADER = "INTERVALSTARTTIME_GMT,INTERVALENDTIME_GMT,NODE_ID,MARKET_RUN_ID,LMP_TYPE,MW,note\n"
+# ---- price archives, one per customer; a long or quoted note stands under one of the accepted headers ----
+HEADER = "INTERVALSTARTTIME_GMT,INTERVALENDTIME_GMT,NODE_ID,MARKET_RUN_ID,LMP_TYPE,MW,opr dt\n"
 
 
 def _zip_bodies(batches):
@@ -70,12 +72,21 @@ def _zip_bodies(batches):
             if kind == 8:
                 body = f"<ERR_CODE>7</ERR_CODE> refused {key}".encode()
             bodies.append(b"" if key % 50 == 0 else body)
-        yield pd.DataFrame({"path": "c" + batch["c_custkey"].astype(str), "content": bodies})
+        yield pd.DataFrame({"path": "c" + batch["c_custkey"].astype(str) + ".zip", "content": bodies})
+
+
+def landed(files, spark):
+    """Folder in which the archives lie as files."""
+    folder = shared_folder(spark)
+    land_files(files, folder)
+    return folder
 
 
 def archives(spark, sf_dir):
+    """Records of one price archive for each customer, read by path."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return customers.mapInPandas(_zip_bodies, "path string, content binary")
+    rows = read_price_archives(spark, landed(customers.mapInPandas(_zip_bodies, "path string, content binary"), spark))
+    return rows.withColumn("path", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
 
 
 ARCHIVE_SQL = """arch AS (SELECT c_custkey, 'c' || c_custkey AS path, c_acctbal, CASE WHEN c_custkey % 50 = 0 THEN 'empty_response'
@@ -88,16 +99,25 @@ ARCHIVE_SQL = """arch AS (SELECT c_custkey, 'c' || c_custkey AS path, c_acctbal,
 SELECT path, row_no, 'ok' AS state, CASE WHEN c_custkey % 100 = 11 THEN repeat('x', 140000) ELSE 'caf' || chr(233) || ', ' || c_custkey END AS note FROM arch, (VALUES (1), (2)) r(row_no) WHERE reject IS NULL
 UNION ALL SELECT path, 0, reject, NULL FROM arch WHERE reject IS NOT NULL""")
 def _read_archives(spark, sf_dir):
-    rows = price_archive_rows(archives(spark, sf_dir))
-    return rows.select("path", "row_no", F.coalesce("reject_reason", F.lit("ok")).alias("state"),
-                       F.when(F.col("reject_reason").isNull(), F.get("cells", F.lit(6))).alias("note"))
+    return archives(spark, sf_dir).select("path", "row_no", F.coalesce("reject_reason", F.lit("ok")).alias("state"),
+                                          F.col("operating_date").alias("note"))
+
+
+@register("price_archive_table", f"""WITH {ARCHIVE_SQL}
+SELECT path, row_no, coalesce(reject, 'ok') AS state, CASE WHEN reject IS NULL AND c_custkey % 100 <> 11 THEN CAST(c_acctbal AS VARCHAR) WHEN reject IS NULL THEN '0.0' END AS price
+FROM arch, (VALUES (0), (1), (2)) r(row_no) WHERE (reject IS NULL) = (row_no > 0)""")
+def _archive_table(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    rows = price_archive_rows(customers.mapInPandas(_zip_bodies, "path string, content binary"))
+    return rows.select(F.regexp_extract("path", r"(.+)\.zip$", 1).alias("path"), "row_no", F.coalesce("reject_reason", F.lit("ok")).alias("state"),
+                       F.col("price").try_cast("double").cast("string").alias("price"))
 
 
 @register("price_archive_fields", f"""WITH {ARCHIVE_SQL}
 SELECT path, row_no, 'TH_NP15_GEN-APND' AS location, 'DAM' AS market, 'LMP' AS component, CASE WHEN c_custkey % 100 = 11 THEN 0 ELSE c_acctbal END AS price,
   '2024-01-0' || row_no || ' 07:00:00' AS start_text FROM arch, (VALUES (1), (2)) r(row_no) WHERE reject IS NULL""")
 def _archive_fields(spark, sf_dir):
-    rows = typed_price_rows(price_rows_from_cells(price_archive_rows(archives(spark, sf_dir))))
+    rows = typed_price_rows(archives(spark, sf_dir).where("reject_reason is null"))
     return rows.select("path", "row_no", "location", "market", "component", F.col("price_value").alias("price"),
                        F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_text"))
 
@@ -106,7 +126,7 @@ def _archive_fields(spark, sf_dir):
 SELECT path, reject AS reject_reason, CASE reject WHEN 'xml_only' THEN 'no data ' || c_custkey WHEN 'bad_zip' THEN '7 refused ' || c_custkey END AS message
 FROM arch WHERE reject IS NOT NULL""")
 def _detect_errors(spark, sf_dir):
-    return detect_price_errors(price_archive_rows(archives(spark, sf_dir)))
+    return detect_price_errors(archives(spark, sf_dir))
 
 
 @register("price_error", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'No data ' || o_orderkey WHEN 1 THEN '101 text ' || o_orderkey
@@ -119,34 +139,41 @@ def _price_error(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", price_error(body).alias("message"))
 
 
-# ---- series archives, one per customer ------------------------------------------------
-def _series_bodies(batches):
+# ---- series archives: twenty customers each -------------------------------------------
+def _series_bodies(group):
+    """One archive of a group's customers: a member for each, every sixth kind of member faulty in its own way."""
     import io
     import json
     import zipfile
 
-    for batch in batches:
-        bodies = []
-        for key, name in zip(batch["c_custkey"], batch["c_name"]):
-            record = json.dumps({"series_id": f"S{key}", "name": name, "units": "MWh", "data": [["20240101T00Z", key]]}).encode()
+    buffer = io.BytesIO()
+    first = int(group["c_custkey"].min())
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for key, name in sorted(zip(group["c_custkey"], group["c_name"], strict=True)):
+            record = json.dumps({"series_id": f"S{key}", "name": name, "units": "MWh", "data": [["20240101T00Z", int(key)]]}).encode()
             second = {2: b'\xff{"series_id": "lost"}', 3: b"{broken"}.get(key % 6, b'{"category_id": 1}')
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as archive:
-                archive.writestr("a.txt", b"\xef\xbb\xbf" + record + b"\r\n" + second + b"\n")
-                archive.writestr("readme.md", b"not a series")
-            body = buffer.getvalue()
-            bodies.append(b"no archive" if key % 6 == 0 else body.replace(b"series_id", b"SERIES_ID", 1) if key % 6 == 1 else body)
-        yield pd.DataFrame({"path": "c" + batch["c_custkey"].astype(str), "content": bodies})
-
-
-@register("read_series_archives", """WITH c AS (SELECT 'c' || c_custkey AS file, 'S' || c_custkey AS series_id, c_name, c_custkey % 6 AS kind FROM customer)
-SELECT file, 'malformed_json' AS state, NULL AS series_id, NULL AS name FROM c WHERE kind IN (0, 1, 2, 3)
-UNION ALL SELECT file, 'ok', series_id, c_name FROM c WHERE kind > 1
-UNION ALL SELECT file, 'no_series_id', NULL, NULL FROM c WHERE kind > 3""")
+            archive.writestr(f"{key % 7}/{key}.txt", b"\xef\xbb\xbf" + record + b"\r\n" + second + b"\n")
+        archive.writestr("readme.md", b"not a series")
+    body = buffer.getvalue()
+    for key in group["c_custkey"]:  # damaged members: the stored bytes no longer have their checksum
+        if key % 6 == 1:
+            body = body.replace(f'"S{key}"'.encode(), f'"X{key}"'.encode(), 1)
+    body = {3: b"no archive", 8: b""}.get(first // 20 % 10, body)
+    return pd.DataFrame({"path": [f"{first // 20}.zip"], "content": [body]})
+
+
+@register("read_series_archives", """WITH c AS (SELECT c_custkey // 20 AS file, c_custkey, 'S' || c_custkey AS series_id, c_name, c_custkey % 6 AS kind,
+    row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1 AS block, c_custkey // 20 % 10 IN (3, 8) AS lost FROM customer)
+SELECT DISTINCT file, 0 AS block, -1 AS line_no, 'malformed_json' AS state, NULL AS series_id, NULL AS name FROM c WHERE lost
+UNION ALL SELECT file, block, -1, 'malformed_json', NULL, NULL FROM c WHERE NOT lost AND kind = 1
+UNION ALL SELECT file, block, 0, 'ok', series_id, c_name FROM c WHERE NOT lost AND kind <> 1
+UNION ALL SELECT file, block, 1, CASE WHEN kind IN (2, 3) THEN 'malformed_json' ELSE 'no_series_id' END, NULL, NULL FROM c WHERE NOT lost AND kind <> 1""")
 def _series_archives(spark, sf_dir):
-    bodies = table(spark, sf_dir, "customer").select("c_custkey", "c_name").mapInPandas(_series_bodies, "path string, content binary")
-    lines = parse_series_lines(series_archive_lines(bodies))
-    return lines.select("file", F.coalesce("reject_reason", F.lit("ok")).alias("state"), "series_id", "name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr("c_custkey div 20").alias("file"))
+    bodies = customers.groupBy("file").applyInPandas(_series_bodies, "path string, content binary")
+    lines = parse_series_lines(read_series_archives(spark, landed(bodies, spark)))
+    return lines.select(F.regexp_extract("file", r"(\d+)\.zip$", 1).cast("long").alias("file"), "block", F.col("row").alias("line_no"),
+                        F.coalesce("reject_reason", F.lit("ok")).alias("state"), "series_id", "name")
 
 
 # ---- bulk manifests, one per part -----------------------------------------------------

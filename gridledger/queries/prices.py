@@ -12,13 +12,14 @@ from gridledger.functions.times import (
 from gridledger.operators.joins import join_price_window
 from gridledger.operators.labels import resolve_hub, resolve_price_market
 from gridledger.operators.prices import (
-    coverage_status, display_hub, price_answer_text, price_day_summary, reject_files,
+    PriceDays, coverage_status, display_hub, price_answer_text, price_day_summary, reject_files,
     select_lmp_rows, summarize_days, summarize_prices, with_window)
 from gridledger.operators.ranking import flag_duplicates
 from gridledger.operators.records import observed_text, price_records
 from gridledger.plans.prices import answer_prices, resolve_price_questions
 from gridledger.queries.base import (
-    AS_OF, nth, register, sql_list, sql_nth, sql_rows, table, utc_text)
+    AS_OF, ORACLES, nth, register, sql_list, sql_nth, sql_rows, table, utc_text)
+from gridledger.session import shared_folder
 from gridledger.sources.prices import normalize_price_rows, typed_price_rows
 
 HUB_NAMES = tuple(h[0] for h in fv.HUBS)
@@ -358,6 +359,31 @@ def _answer_prices(spark, sf_dir):
     return out.select("question_id", "status", "confidence", "direct_answer", "simple_explanation")
 
 
+# ---- the same questions of prices landed by market date -----------------------------------
+def landed_prices(spark: SparkSession, sf_dir: str) -> PriceDays:
+    return PriceDays.land(filed_hourly(spark, sf_dir), shared_folder(spark), "file")
+
+
+@register("landed_day_summary", ORACLES["price_day_summary"])
+def _landed_day_summary(spark, sf_dir):
+    return summary_columns(landed_prices(spark, sf_dir).summary())
+
+
+@register("refused_landed_files", f"""WITH {EVENT_ROWS_SQL}, {PRICE_QUESTIONS_SQL}, {WANTED_SQL},
+touched AS (SELECT DISTINCT file FROM rows WHERE CAST({local_sql('start_ts')} AS DATE) IN (SELECT market_date FROM asked))
+SELECT file, 'missing_location' AS reject_reason FROM rows JOIN touched USING (file) WHERE location IS NULL GROUP BY file""")
+def _refused_landed_files(spark, sf_dir):
+    days = PriceDays.land(typed_events(spark, sf_dir), shared_folder(spark), "file")
+    found = days.refused(_asked(spark, sf_dir))
+    return found.select(F.col("_file").alias("file"), F.col("_refused").alias("reject_reason"))
+
+
+@register("answer_landed_prices", ORACLES["answer_prices"])
+def _answer_landed_prices(spark, sf_dir):
+    out = answer_prices(price_questions(spark, sf_dir), landed_prices(spark, sf_dir))
+    return out.select("question_id", "status", "confidence", "direct_answer", "simple_explanation")
+
+
 @register("price_answer_text", f"""WITH {HOURLY_SQL}, {DAYS_SQL}
 SELECT location, CAST(market_date AS VARCHAR) AS market_date,
   printf('%s %s LMP averaged $%s/MWh on %s.', CASE location WHEN 'TH_NP15_GEN-APND' THEN 'NP-15' WHEN 'TH_SP15_GEN-APND' THEN 'SP-15' ELSE 'ZP-26' END,

@@ -1,10 +1,16 @@
 """Price extracts: archives, header variants, typed rows, error bodies."""
 from __future__ import annotations
 
+import codecs
+import csv
+import io
+import zipfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +19,14 @@ from gridledger.functions.plan import compute_once
 from gridledger.functions.numbers import parse_opt_int, parse_price
 from gridledger.functions.text import squeeze, strip
 from gridledger.functions.times import parse_price_ts
+from gridledger.sources.landed import CHUNK, DAMAGED, UNREADABLE, ArchiveReader, archive_source, chunks, merged, opened
 
-ARCHIVE_SCHEMA = ("path string, member string, row_no int, header array<string>,"
-                  " cells array<string>, reject_reason string")
-BATCH_ROWS = 20_000
+FIELDS = tuple(field for field, _ in fv.PRICE_COLUMNS)
+ARCHIVE_SCHEMA = ("path string, member string, row_no int, " + ", ".join(f"{f} string" for f in FIELDS)
+                  + ", reject_reason string, bodies array<string>")
+SOURCE = "landed_price_archives"
+#: Python's white space, which is trimmed from cells.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def normal_header(name: str) -> str:
@@ -44,18 +54,6 @@ def normalize_price_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     return df.select(*keep, *fields)
 
 
-def price_rows_from_cells(df: DataFrame, keep: tuple[str, ...] = ("path", "row_no")) -> DataFrame:
-    """As above for archive rows, whose header travels as an array."""
-    names = F.transform("header", lambda h: F.regexp_replace(F.regexp_replace(
-        F.upper(strip(h)), "[^A-Z0-9]+", "_"), "^_+|_+$", ""))
-    df = df.where("reject_reason is null").withColumn("_names", names)
-    # The later of two headers with one normal form counts.
-    backwards = F.reverse("_names")
-    last = lambda a: F.nullif(F.array_position(backwards, F.lit(a)), F.lit(0))
-    fields = _logical(lambda a: F.get("cells", (F.size("_names") - last(a)).cast("int")))
-    return df.select(*keep, *fields)
-
-
 def typed_price_rows(rows: DataFrame) -> DataFrame:
     """Parse boundaries, price and operating fields; text fields stay as they are."""
     return compute_once(rows, {
@@ -67,15 +65,6 @@ def typed_price_rows(rows: DataFrame) -> DataFrame:
     })
 
 
-def _decode(raw: bytes) -> str | None:
-    for encoding in fv.CSV_ENCODINGS:
-        try:
-            return raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return None
-
-
 class ArchiveLimits(NamedTuple):
     """Optional limits of one archive; none by default (``fv.ARCHIVE_MAX_*`` are the compatible ones)."""
 
@@ -88,108 +77,200 @@ def _over(value: int, limit: int | None) -> bool:
     return limit is not None and value > limit
 
 
-def _open_archive(content: bytes, limits: ArchiveLimits):
-    """(member name, text or list of error bodies, reject reason) of one landed archive."""
-    import zlib
-
-    try:
-        return _read_members(content, limits)
-    except (RuntimeError, NotImplementedError):  # encrypted, or packed in an unknown way
-        return None, None, "unreadable_member"
-    except (zlib.error, EOFError, OSError, ValueError, *_zip_errors()):
-        return None, None, "corrupt_member"
-
-
-def _zip_errors() -> tuple:
-    import zipfile
-
-    return (zipfile.BadZipFile, zipfile.LargeZipFile)
-
+def _body(raw: bytes) -> str:
+    for encoding in fv.CSV_ENCODINGS:
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return ""
 
-def _read_members(content: bytes, limits: ArchiveLimits):
-    import io
-    import zipfile
 
-    if not content:
-        return None, None, "empty_response"
-    if _over(len(content), limits.max_bytes):
-        return None, None, "archive_too_large"
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        return None, [_decode(content) or ""], "bad_zip"
-    members = [m for m in archive.infolist() if not m.is_dir()]
+def _member_fault(members: list[zipfile.ZipInfo], tables: list[zipfile.ZipInfo], limits: ArchiveLimits) -> str | None:
     names = [m.filename.lower() for m in members]
-    tables = [m for m in members if m.filename.lower().endswith(".csv")]
-    reject = None
     if _over(len(members), limits.max_members):
-        reject = "too_many_members"
-    elif any(n[:1] in ("/", "\\") or ".." in n.replace("\\", "/").split("/") for n in names):
-        reject = "unsafe_path"
-    elif not tables:
-        reject = "xml_only" if any(n.endswith(".xml") for n in names) else "no_csv"
-    elif len(tables) > 1:
-        reject = "multiple_csv"
-    elif _over(tables[0].file_size, limits.max_member_bytes):
-        reject = "member_too_large"
-    if reject:
-        errors = [_decode(archive.read(m)) or "" for m in members
-                  if m.filename.lower().endswith(".xml")] if reject == "xml_only" else None
-        return None, errors, reject
-    text = _decode(archive.read(tables[0]))
-    return (tables[0].filename, text, None) if text is not None else (None, None, "undecodable")
-
-
-def _archive_rows(batches: Iterator[pd.DataFrame], limits: ArchiveLimits) -> Iterator[pd.DataFrame]:
-    import csv
-    import io
-
-    csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
-    names = ["path", "member", "row_no", "header", "cells", "reject_reason"]
-    for batch in batches:
-        out = []
-        for path, content in zip(batch["path"], batch["content"]):
-            member, text, reject = _open_archive(bytes(content) if content is not None else b"", limits)
-            if reject:
-                out.append((path, None, 0, None, text, reject))
-                continue
-            header = None
-            for number, cells in enumerate(r for r in csv.reader(io.StringIO(text)) if r):
-                if header is None:
-                    header = cells
-                    continue
-                out.append((path, member, number, header, cells, None))
-                if len(out) >= BATCH_ROWS:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            if header is None:
-                out.append((path, member, 0, None, None, "no_header"))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-
-def price_archive_rows(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """``path, content`` rows to CSV records; a rejected archive gives one row.
-
-    No content ends the job: damaged, encrypted and undecodable archives are rejected by name.
-
-    The row of a body that is XML (zipped or plain) carries its text in ``cells``.
-    A ZIP cannot be split, so one archive is opened by one task; its records
-    leave in batches. Archives are independent, so they spread over the cluster.
+        return "too_many_members"
+    if any(n[:1] in ("/", "\\") or ".." in n.replace("\\", "/").split("/") for n in names):
+        return "unsafe_path"
+    if not tables:
+        return "xml_only" if any(n.endswith(".xml") for n in names) else "no_csv"
+    if len(tables) > 1:
+        return "multiple_csv"
+    return "member_too_large" if _over(tables[0].file_size, limits.max_member_bytes) else None
+
+
+def _encoding(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> str | None:
+    """The first accepted encoding that the whole member has; this pass tests its checksum too."""
+    decoders = {e: codecs.getincrementaldecoder(e)() for e in fv.CSV_ENCODINGS if e != "utf-8-sig"}
+
+    def alive(chunk: bytes, final: bool) -> None:
+        for name in list(decoders):
+            try:
+                decoders[name].decode(chunk, final)
+            except UnicodeDecodeError:
+                del decoders[name]
+
+    for chunk in chunks(archive, member):
+        alive(chunk, False)
+    alive(b"", True)
+    return next(iter(decoders), None)
+
+
+def _reject(path: str, reason: str, bodies: list[str] | None = None) -> pa.RecordBatch:
+    row = {"path": path, "row_no": 0, "reject_reason": reason, "bodies": bodies}
+    return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+
+_ARROW = pa.schema([("path", pa.string()), ("member", pa.string()), ("row_no", pa.int32()), *((f, pa.string()) for f in FIELDS),
+                    ("reject_reason", pa.string()), ("bodies", pa.list_(pa.string()))])
+
+
+def _fields(header: list[str], cells: list[pa.Array]) -> list[pa.Array]:
+    """The logical fields: per row the first alias that is not empty; of equal headers the later one."""
+    at = {normal_header(name): n for n, name in enumerate(header)}
+    out = []
+    for _, aliases in fv.PRICE_COLUMNS:
+        found = [pc.utf8_trim(cells[at[a]], WHITE) for a in aliases if a in at]
+        found = [pc.if_else(pc.equal(c, ""), pa.scalar(None, pa.string()), c) for c in found]
+        out.append(pc.coalesce(*found) if found else pa.nulls(len(cells[0]), pa.string()))
+    return out
+
+
+def _table_rows(archive: zipfile.ZipFile, member: zipfile.ZipInfo, encoding: str, header: list[str],
+                block: int) -> Iterator[tuple[list[int], list[pa.Array]]]:
+    """(row numbers, cells) of a member's records; short and long records are padded and cut."""
+    names = [f"c{n}" for n in range(len(header))]
+    odd: dict[int, list[str]] = {}
+
+    def keep_odd(row: pacsv.InvalidRow) -> str:
+        found = next(csv.reader([row.text]), [])
+        odd[row.number] = (found + [""] * len(names))[:len(names)]
+        return "skip"
+
+    with archive.open(member) as stream:
+        reader = pacsv.open_csv(
+            stream, pacsv.ReadOptions(use_threads=False, block_size=block, column_names=names,
+                                      encoding="utf8" if encoding == "utf-8" else encoding),
+            pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=keep_odd),
+            pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False))
+        number = 1  # of the next record; the header is the first
+        for batch in reader:
+            numbers = []
+            for _ in range(batch.num_rows):
+                while number in odd:
+                    number += 1
+                numbers.append(number)
+                number += 1
+            yield numbers, batch.columns
+        rest = sorted(odd.items())
+    if rest:
+        yield [n for n, _ in rest], [pa.array(c, pa.string()) for c in zip(*(cells for _, cells in rest), strict=True)]
+
+
+def _member_batches(archive: zipfile.ZipFile, member: zipfile.ZipInfo, path: str) -> Iterator[pa.RecordBatch]:
+    encoding = _encoding(archive, member)
+    if encoding is None:
+        yield _reject(path, "undecodable")
+        return
+    with archive.open(member) as stream:
+        text = io.TextIOWrapper(stream, encoding="utf-8-sig" if encoding == "utf-8" else encoding, newline="")
+        csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
+        header = next((r for r in csv.reader(text) if r), None)
+    if header is None:
+        yield _reject(path, "no_header")
+        return
+    block, given = CHUNK, 0
+    while True:
+        seen = 0
+        try:
+            for numbers, cells in _table_rows(archive, member, encoding, header, block):
+                skip = min(len(numbers), max(0, given - seen))
+                seen += len(numbers)
+                numbers, cells = numbers[skip:], [c.slice(skip) for c in cells]
+                if numbers and numbers[0] == 1:  # the header
+                    numbers, cells, given = numbers[1:], [c.slice(1) for c in cells], given + 1
+                if numbers:
+                    n = len(numbers)
+                    given += n
+                    rows = [pa.array([path] * n), pa.array([member.filename] * n), pa.array([x - 1 for x in numbers], pa.int32()),
+                            *_fields(header, cells), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(rows, schema=_ARROW)
+            return
+        except pa.ArrowInvalid as fault:
+            if "straddling" not in str(fault):
+                raise
+            block *= 8  # a record longer than the block; what was given is passed over
+
+
+def archive_batches(stream, path: str, size: int, limits: ArchiveLimits = ArchiveLimits()) -> Iterator[pa.RecordBatch]:
+    """Records of one archive as they stream; a rejected archive gives one row, with the text of an XML body."""
+    if not size:
+        yield _reject(path, "empty_response")
+        return
+    if _over(size, limits.max_bytes):
+        yield _reject(path, "archive_too_large")
+        return
+    try:
+        archive = zipfile.ZipFile(stream)
+    except zipfile.BadZipFile:
+        stream.seek(0)
+        yield _reject(path, "bad_zip", [_body(stream.read(ERROR_BYTES))])
+        return
+    except DAMAGED:
+        yield _reject(path, "corrupt_member")
+        return
+    try:
+        members = [m for m in archive.infolist() if not m.is_dir()]
+        tables = [m for m in members if m.filename.lower().endswith(".csv")]
+        fault = _member_fault(members, tables, limits)
+        if fault == "xml_only":
+            yield _reject(path, fault, [_body(archive.read(m)) for m in members if m.filename.lower().endswith(".xml")])
+        elif fault:
+            yield _reject(path, fault)
+        else:
+            yield from _member_batches(archive, tables[0], path)
+    except UNREADABLE:  # encrypted, or packed in an unknown way
+        yield _reject(path, "unreadable_member")
+    except DAMAGED:
+        yield _reject(path, "corrupt_member")
+
+
+#: Bytes kept of a body that is no archive.
+ERROR_BYTES = 1 << 20
+
+
+class PriceArchiveReader(ArchiveReader):
+    def batches(self, part: tuple) -> Iterator[pa.RecordBatch]:
+        path, size = part
+        limit = lambda name: int(self.options[name]) if self.options.get(name) else None
+        with opened(path) as stream:
+            yield from archive_batches(stream, path, size, ArchiveLimits(*map(limit, ArchiveLimits._fields)))
+
+
+def read_price_archives(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
+    """Records of the landed archives under a path, as logical text fields; a rejected archive gives one row.
+
+    Archives spread over the cluster, each is read twice as a stream (encoding and checksum, then records)
+    and its header once; memory holds a batch. No content ends the job: empty, damaged, encrypted and
+    undecodable archives are rejected by name. The row of a body that is XML (zipped or plain) carries its text.
     """
-    return archives.select("path", "content").mapInPandas(lambda batches: _archive_rows(batches, limits), ARCHIVE_SCHEMA)
+    spark.dataSource.register(archive_source(SOURCE, ARCHIVE_SCHEMA, PriceArchiveReader))
+    options = {name: str(value) for name, value in limits._asdict().items() if value is not None}
+    return spark.read.format(SOURCE).options(**options).load(path)
 
 
-def read_price_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Landed archive files. Spark's file scan leaves out zero-byte files, so an
-    empty response is only reported when bodies come from a table."""
-    files = spark.read.format("binaryFile").load(path)
-    return price_archive_rows(files)
+def price_archive_rows(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
+    """As above for ``path, content`` rows of a table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from archive_batches(io.BytesIO(content or b""), path, len(content or b""), limits)
+    return archives.select("path", "content").mapInArrow(lambda batches: merged(run(batches)), ARCHIVE_SCHEMA)
 
 
 def detect_price_errors(archives: DataFrame) -> DataFrame:
     """Error message of each rejected archive, null when its body names none."""
-    found = F.filter(F.transform("cells", price_error), lambda m: m.isNotNull())
+    found = F.filter(F.transform("bodies", price_error), lambda m: m.isNotNull())
     return archives.where("reject_reason is not null").select(
         "path", "reject_reason", F.get(found, F.lit(0)).alias("message"))
 

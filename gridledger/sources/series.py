@@ -1,9 +1,10 @@
 """Hourly series: JSON-lines records and their observations."""
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +12,16 @@ from gridledger.functions.numbers import parse_numeric
 from gridledger.functions.plan import compute_once
 from gridledger.functions.text import blank, strip
 from gridledger.functions.times import parse_period
+from gridledger.session import shared_folder
+from gridledger.sources.landed import (
+    BATCH_BYTES, DAMAGED, UNREADABLE, ArchiveReader, archive_source, chunks, opened)
 
 SERIES_FIELDS = ("series_id", "name", "units", "unitsshort", "f", "last_updated", "description")
 LINE_SCHEMA = "file string, block long, row long, line string"
 SERIES_SUFFIXES = (".txt", ".json", ".jsonl")
-BATCH_ROWS = 5_000
+SOURCE = "landed_series_archives"
+#: Lines of a batch, and of a landed file.
+BATCH_ROWS, LANDED_ROWS = 5_000, 100_000
 
 
 def read_series_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,62 +33,95 @@ def read_series_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("line"))
 
 
-def _member_lines(archive, member) -> Iterator[str]:
-    """Lines of a member as they stream; a damaged member gives one line that is no record.
+def _line_batches(archive: zipfile.ZipFile, member: zipfile.ZipInfo, file: str, block: int) -> Iterator[pa.RecordBatch]:
+    """Lines of a member as they stream; one that is damaged ends with a line that is no record, numbered -1."""
+    row, held, size, pieces = 0, [], 0, []
 
-    The member is read through once for its checksum before any line leaves.
-    """
-    import zipfile
-    import zlib
+    def batch(first: int, lines: list[str]) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.record_batch([pa.array([file] * n), pa.array([block] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()),
+                                pa.array(lines, pa.string())], names=["file", "block", "row", "line"])
+
+    def text(line: bytes) -> str:
+        try:
+            return (line if row or held else line.removeprefix(b"\xef\xbb\xbf")).decode().rstrip("\r\n")
+        except UnicodeDecodeError:
+            return "<undecodable line>"
 
     try:
-        with archive.open(member) as stream:
-            while stream.read(1 << 20):
-                pass
-        with archive.open(member) as stream:
-            for row, line in enumerate(stream):
-                try:
-                    yield line.removeprefix(b"\xef\xbb\xbf" if row == 0 else b"").decode().rstrip("\r\n")
-                except UnicodeDecodeError:
-                    yield "<undecodable line>"
-    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError, OSError):
-        yield "<unreadable member>"
-
-
-def _archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-    import zipfile
-
-    names = ["file", "block", "row", "line"]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            out = []
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
-                members = [m for m in archive.infolist()
-                           if m.filename.lower().endswith(SERIES_SUFFIXES)]
-            except (zipfile.BadZipFile, OSError, ValueError):
-                members = []
-            for block, member in enumerate(members):
-                for row, line in enumerate(_member_lines(archive, member)):
-                    out.append((path, block, row, line))
-                    if len(out) >= BATCH_ROWS:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-            if not members:
-                out.append((path, 0, 0, "<unreadable archive>"))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-
-def series_archive_lines(archives: DataFrame) -> DataFrame:
-    """``path, content`` rows to lines; one task streams one archive, lines leave in batches."""
-    return archives.select("path", "content").mapInPandas(_archive_lines, LINE_SCHEMA)
-
-
-def read_series_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Landed archives of JSON lines."""
-    return series_archive_lines(spark.read.format("binaryFile").load(path))
+        for chunk in chunks(archive, member):
+            start, *rest = chunk.split(b"\n")
+            pieces.append(start)
+            if not rest:
+                continue  # the line goes on
+            for line in (b"".join(pieces), *rest[:-1]):
+                held.append(text(line))
+                size += len(line)
+            pieces = rest[-1:]
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch(row, held)
+                row, held, size = row + len(held), [], 0
+        if last := b"".join(pieces):
+            held.append(text(last))
+        if held:
+            yield batch(row, held)
+    except (*DAMAGED, *UNREADABLE):
+        yield batch(-1, ["<unreadable member>"])
+
+
+def _members(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    return [m for m in archive.infolist() if m.filename.lower().endswith(SERIES_SUFFIXES)]
+
+
+class SeriesArchiveReader(ArchiveReader):
+    """An archive's members, in ranges of ``split`` bytes where it is large."""
+
+    def parts(self, path: str, size: int) -> list[tuple[int, tuple]]:
+        if size < self.split:
+            return [(size, (path, 0, None))]
+        try:
+            with opened(path) as stream, zipfile.ZipFile(stream) as archive:
+                sizes = [m.compress_size for m in _members(archive)]
+        except (*DAMAGED, *UNREADABLE):
+            sizes = []
+        cuts, held = [0], 0
+        for n, more in enumerate(sizes):
+            if held and held + more > self.split:
+                cuts.append(n)
+                held = 0
+            held += more
+        return [(self.split, (path, a, b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+
+    def batches(self, part: tuple) -> Iterator[pa.RecordBatch]:
+        path, first, end = part
+        try:
+            with opened(path) as stream, zipfile.ZipFile(stream) as archive:
+                members = _members(archive)
+                for block, member in list(enumerate(members))[first:end]:
+                    yield from _line_batches(archive, member, path, block)
+                found = bool(members)
+        except (*DAMAGED, *UNREADABLE):
+            found = False
+        if not found:
+            yield pa.record_batch([pa.array([path]), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array(["<unreadable archive>"])],
+                                  names=["file", "block", "row", "line"])
+
+
+def read_series_archives(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Lines of the landed archives of JSON lines under a path, whatever their size.
+
+    One streaming pass over each member, which tests its checksum as well, lands the lines in ``folder`` (by default a new
+    one in the session's shared folder) as Parquet files of ``LANDED_ROWS`` lines; parsing then spreads over all of them,
+    though a ZIP member itself cannot be split. ``file, block, row`` is the order of archive, member and line.
+    A damaged member or archive is one line that is no record; none of its other lines is kept.
+    """
+    spark.dataSource.register(archive_source(SOURCE, LINE_SCHEMA, SeriesArchiveReader))
+    folder = folder or shared_folder(spark)
+    (spark.read.format(SOURCE).load(path).write.option("maxRecordsPerFile", LANDED_ROWS).parquet(folder))
+    lines = spark.read.parquet(folder)
+    faults = lines.where("row < 0")
+    whole = lines.where("row >= 0").join(faults.select("file", "block"), ["file", "block"], "left_anti")
+    return whole.select(*lines.columns).unionByName(faults)
 
 
 def _field(name: str) -> Column:

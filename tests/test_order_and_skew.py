@@ -45,8 +45,23 @@ def test_greedy_dedup_is_sequential(spark, picks):
 def test_greedy_dedup_chain_and_hot_copies(spark):
     chain = [(0, i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(60)]
     copies = [(1, i, f"v{i}", "same") for i in range(2000)]
-    got = greedy_dedup(docs_frame(spark, chain + copies)).where("retained").collect()
-    assert {(r.packet_id, r.pos) for r in got} == walk(chain + copies)
+    for at_once in (100, 100_000):  # in rounds, and by one walk per packet
+        got = greedy_dedup(docs_frame(spark, chain + copies), walk=at_once).where("retained").collect()
+        assert {(r.packet_id, r.pos) for r in got} == walk(chain + copies)
+
+
+def test_a_long_chain_and_many_packets_cost_one_walk(spark):
+    """Every second document of a chain of alternating keys falls to the one before it."""
+    chain = [(0, i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(10_000)]
+    many = [(p, i, f"u{i % 3}", f"t{i % 2}") for p in range(1, 400) for i in range(5)]
+    df = docs_frame(spark, chain + many).repartition(4)
+    spark.sparkContext.setJobGroup("walk", "walk")
+    out = greedy_dedup(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk"))
+    spark.sparkContext.setJobGroup("other", "other")
+    got = out.where("retained").collect()
+    assert {(r.packet_id, r.pos) for r in got} == walk(chain + many)
+    assert jobs <= 6  # the checkpoint and the look for large packets, whatever their number
 
 
 def test_dedup_capped(spark):

@@ -6,11 +6,11 @@ import zipfile
 from pyspark.sql import functions as F
 
 from gridledger.functions.times import day_end_utc, day_start_utc, expected_intervals
-from gridledger.operators.prices import price_day_summary, summarize_prices
+from gridledger.operators.prices import PriceDays, price_day_summary, summarize_prices
 from gridledger.plans.prices import answer_prices, resolve_price_questions
 from gridledger.sources.prices import (
     ArchiveLimits,
-    detect_price_errors, normalize_price_rows, price_archive_rows, price_rows_from_cells, read_price_archives,
+    detect_price_errors, normalize_price_rows, price_archive_rows, read_price_archives,
     typed_price_rows)
 
 NP15 = "TH_NP15_GEN-APND"
@@ -113,6 +113,46 @@ def test_answers(spark):
     assert out[1].status == "held" and out[1].confidence == "insufficient"
 
 
+def filed(spark, rows):
+    """Typed rows whose last value is their file."""
+    wide = spark.createDataFrame(rows, [*COLUMNS, "file"])
+    return typed_price_rows(normalize_price_rows(wide, keep=("file",)))
+
+
+def test_rows_without_a_file_are_one_file(spark):
+    nameless = day_rows() + [("2026-08-09T07:00:00-00:00", "2026-08-09T08:00:00-00:00", " ", "DAM", "MCC", "1")]
+    assert only(price_day_summary(typed(spark, nameless))).coverage == "missing_location"
+
+
+def test_landed_days_read_asked_folders_alone(spark, tmp_path):
+    days = [f"2026-08-0{d}" for d in range(2, 8)]
+    rows = [(*r, f"f{d}") for d in days for r in day_rows(start=f"{d} 07:00:00")]
+    rows += [(*day_rows(1, start="2026-08-03 09:00:00", node="", component="MCC")[0], "f2026-08-04")]  # touches two days
+    rows += [(*day_rows(1, start="2026-08-06 09:00:00", node=" ", component="MCC")[0], "other")]
+    price_rows = filed(spark, rows)
+    landed = PriceDays.land(price_rows, str(tmp_path), "file", parts=2)
+    show = lambda df: sorted((r.location, str(r.market_date), r.coverage, r.actual_count, r.average_price) for r in df.collect())
+    assert show(landed.summary()) == show(price_day_summary(price_rows, file="file"))
+    asked = spark.createDataFrame([(NP15, "DAM", "2026-08-03"), (NP15, "DAM", "2026-08-04"), (NP15, "DAM", "2026-09-01"), (NP15, "DAM", None)],
+                                  "location string, market string, day string")
+    asked = asked.withColumn("market_date", F.to_date("day")).where("location is not null")
+    summary = landed.summary(asked)
+    assert [r[1:3] for r in show(summary)] == [("2026-08-03", "complete"), ("2026-08-04", "missing_location")]
+    assert sorted(r._file for r in landed.refused(asked).collect()) == ["f2026-08-04"]
+    assert sorted(r._file for r in landed.refused().collect()) == ["f2026-08-04", "other"]
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    out = answer_prices(ask(spark, "NP15 dam 2026-08-03", "NP15 dam 2026-08-04", "NP15 dam 2026-08-06"), landed).orderBy("question_id").collect()
+    assert [r.status for r in out] == ["answered", "held", "answered"]
+
+
+def test_a_row_of_no_day_faults_landed_days(spark, tmp_path):
+    rows = [(*r, "f") for r in day_rows()] + [("when?", *day_rows()[-1][1:], "f")]
+    landed = PriceDays.land(filed(spark, rows), str(tmp_path), "file")
+    asked = spark.sql(f"select '{NP15}' location, 'DAM' market, date'2026-08-02' market_date")
+    assert only(summarize_prices(landed, asked)).coverage == "invalid_timestamp"
+
+
 def test_archive_files(spark, tmp_path):
     def archive(name, **members):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
@@ -125,6 +165,7 @@ def test_archive_files(spark, tmp_path):
     archive("xml.zip", e_xml="<ERROR><ERR_DESC>No data\n returned</ERR_DESC></ERROR>")
     archive("none.zip", a_txt="x")
     (tmp_path / "bad.zip").write_bytes(b"<ERROR>refused</ERROR>")
+    (tmp_path / "empty.zip").write_bytes(b"")
     with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
         for i in range(21):
             z.writestr(f"{i}.csv", "x")
@@ -133,17 +174,48 @@ def test_archive_files(spark, tmp_path):
     archive("long.zip", a_csv="NODE,note\nx," + "y" * 200_000)
     stored = (tmp_path / "long.zip").read_bytes()
     (tmp_path / "crc.zip").write_bytes(stored.replace(b"yyyy", b"yyzy", 1))
+    archive("blank.zip", a_csv="\n\n")
     rows = read_price_archives(spark, str(tmp_path)).cache()
     rejects = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in rows.where("reject_reason is not null").collect()}
-    assert rejects == {"two.zip": "multiple_csv", "xml.zip": "xml_only", "none.zip": "no_csv",
-                       "bad.zip": "bad_zip", "many.zip": "multiple_csv", "cut.zip": "bad_zip", "crc.zip": "corrupt_member"}
+    assert rejects == {"two.zip": "multiple_csv", "xml.zip": "xml_only", "none.zip": "no_csv", "empty.zip": "empty_response",
+                       "bad.zip": "bad_zip", "many.zip": "multiple_csv", "cut.zip": "bad_zip", "crc.zip": "corrupt_member", "blank.zip": "no_header"}
     assert rows.where("path like '%long.zip'").count() == 1
-    limited = price_archive_rows(spark.read.format("binaryFile").load(str(tmp_path)), ArchiveLimits(max_members=20))
+    limited = read_price_archives(spark, str(tmp_path), ArchiveLimits(max_members=20))
     assert limited.where("path like '%many.zip'").first().reject_reason == "too_many_members"
     empty = price_archive_rows(spark.sql("select 'e' path, cast('' as binary) content"))
     assert only(empty).reject_reason == "empty_response"
-    row = only(price_day_summary(typed_price_rows(price_rows_from_cells(rows.where("path like '%good.zip'")))))
+    row = only(price_day_summary(typed_price_rows(rows.where("path like '%good.zip'")), file="path"))
     assert row.average_price == 31.5 and row.coverage == "complete"
     errors = {r.path.rsplit("/", 1)[1]: r.message for r in detect_price_errors(rows).collect()}
     assert errors["xml.zip"] == "No data returned" and errors["bad.zip"] == "refused"
     assert errors["two.zip"] is None
+
+
+def test_archive_records_stream_in_order(spark, tmp_path):
+    """Quoted lines, short, long and blank records, a record longer than a block, two encodings, equal headers."""
+    from gridledger.sources import landed
+    wide = "y" * (2 * landed.CHUNK)
+    text = ("\n node , LOCATION,Node,MW,opr dt\nfirst,a,\"two\nlines\",1.5,d\n\nx,b\n ,\u00e9 , ,3,d,too,many\n"
+            + f"p,,q,4,{wide}\n" + "".join(f"n{i},,m{i},{i},d\n" for i in range(60_000)))
+    for name, encoding in (("u.zip", "utf-8-sig"), ("w.zip", "windows-1252")):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.CSV", text.encode(encoding))
+    got = read_price_archives(spark, str(tmp_path)).collect()
+    for name in ("u.zip", "w.zip"):
+        rows = sorted((r for r in got if r.path.endswith(name)), key=lambda r: r.row_no)
+        assert [r.row_no for r in rows] == list(range(1, 60_005)) and all(r.reject_reason is None for r in rows)
+        assert [(r.location, r.price, r.operating_date) for r in rows[:3]] == [("two\nlines", "1.5", "d"), ("b", None, None), ("\u00e9", "3", "d")]
+        assert (rows[3].location, rows[3].price, rows[3].operating_date) == ("q", "4", wide)
+        assert (rows[-1].location, rows[-1].price) == ("m59999", "59999")
+
+
+def test_archives_are_dealt_by_size(spark, tmp_path):
+    for i in range(12):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            z.writestr("a.csv", "NODE,MW\n" + "x,1\n" * (10 if i else 20_000))
+    df = read_price_archives(spark, str(tmp_path))
+    assert df.count() == 20_110
+    from gridledger.sources.prices import PriceArchiveReader
+    reader = PriceArchiveReader({"path": str(tmp_path), "split": "20000"})
+    parts = [[p[0].rsplit("/", 1)[1] for p in part.value] for part in reader.partitions()]
+    assert parts[0] == ["0.zip"] and sorted(n for p in parts for n in p) == sorted(f"{i}.zip" for i in range(12)) and len(parts) == 2

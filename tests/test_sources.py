@@ -13,7 +13,7 @@ from gridledger.plans.series import answer_operating
 from gridledger.sources.api_pages import api_page_status, explode_api_pages, parse_route_catalog
 from gridledger.sources.bulk import flatten_bulk_manifest, resolve_bulk_files, search_bulk_files
 from gridledger.sources.reactors import parse_reactor_lines, parse_reactor_tables
-from gridledger.sources.series import parse_series_lines, read_series_archives, read_series_lines
+from gridledger.sources.series import SeriesArchiveReader, parse_series_lines, read_series_archives, read_series_lines
 from gridledger.sources.web import extract_page_blocks, extract_page_text
 
 LOAD = {"series_id": "EBA.PJM-ALL.D.H", "name": "Load of the zone", "unitsshort": "MWh", "f": "h",
@@ -105,6 +105,26 @@ def test_damaged_series_archives_become_rejected_lines(spark, tmp_path):
     (tmp_path / "c.zip").write_bytes(b"no archive")
     series = parse_series_lines(read_series_archives(spark, str(tmp_path)))
     assert sorted(r.reject_reason or "ok" for r in series.collect()) == ["malformed_json"] * 5 + ["ok"] * 2
+    assert sorted(r.row for r in series.where("reject_reason is not null").collect()) == [-1, -1, 0, 1, 1]
+
+
+def test_large_series_archives_are_dealt_by_members(spark, tmp_path):
+    """Members are ranges of a large archive; lines keep the order of member and line, long ones included."""
+    long = json.dumps(dict(LOAD, name="n" * 3_000_000))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for m in range(40):
+            body = "\n".join([json.dumps(dict(LOAD, series_id=f"S{m}-{i}")) for i in range(m % 3 * 60)] + ([long] if m == 7 else []))
+            z.writestr(f"{m}.jsonl" if m % 10 else f"{m}.md", body + "\n" * (m % 2))
+    reader = SeriesArchiveReader({"path": str(tmp_path), "split": "30000"})
+    parts = [p for part in reader.partitions() for p in part.value]
+    assert len(parts) > 10 and [a for _, a, _ in parts[1:]] == [b for _, _, b in parts[:-1]] and parts[-1][2] is None
+    at_once = [(r["block"], r["row"], r["line"]) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist() if r["line"]]
+    members = [m for m in range(40) if m % 10]
+    want = [(block, i, json.loads(line)["series_id"]) for block, m in enumerate(members)
+            for i, line in enumerate([json.dumps({"series_id": f"S{m}-{i}"}) for i in range(m % 3 * 60)] + ([long] if m == 7 else []))]
+    assert sorted((b, r, json.loads(x)["series_id"]) for b, r, x in at_once) == want
+    got = read_series_archives(spark, str(tmp_path), str(tmp_path / "landed")).where("line <> ''").collect()
+    assert sorted((r.block, r.row, json.loads(r.line)["series_id"]) for r in got) == want
 
 
 def test_api_pages(spark):
