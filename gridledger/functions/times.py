@@ -75,9 +75,10 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return text.try_cast("date")
 
 
-def market_date_form(c: Column) -> Column:
-    """Which spelling of a date a question uses; the first listed form wins."""
-    text = norm_text(c)
+def market_date_form(c: Column, norm: Column | None = None) -> Column:
+    """Which spelling of a date a question uses; the first listed form wins. ``norm`` is the question's
+    ``norm_text`` where the caller has it."""
+    text = norm_text(c) if norm is None else norm
     return (
         F.when(text.contains("day before yesterday"), "two_days_back")
         .when(text.contains("yesterday"), "yesterday")
@@ -90,9 +91,9 @@ def market_date_form(c: Column) -> Column:
     )
 
 
-def resolve_market_date(c: Column, as_of: Column, zone: str = fv.PRICE_ZONE) -> Column:
+def resolve_market_date(c: Column, as_of: Column, zone: str = fv.PRICE_ZONE, norm: Column | None = None) -> Column:
     """Market date a question names; null when absent or not on the calendar."""
-    text = norm_text(c)
+    text = norm_text(c) if norm is None else norm
     today = F.to_date(F.from_utc_timestamp(as_of, zone))
 
     def grab(pattern: str, i: int) -> Column:
@@ -111,11 +112,11 @@ def resolve_market_date(c: Column, as_of: Column, zone: str = fv.PRICE_ZONE) ->
     )
 
 
-def market_date_status(c: Column, resolved: Column) -> Column:
+def market_date_status(c: Column, resolved: Column, norm: Column | None = None) -> Column:
     """resolved, missing_date or invalid_date."""
     return (
         F.when(resolved.isNotNull(), "resolved")
-        .when(market_date_form(c) == "none", "missing_date")
+        .when(market_date_form(c, norm) == "none", "missing_date")
         .otherwise("invalid_date")
     )
 

@@ -167,6 +167,23 @@ _ROUTE_PLACES = _whole_words(fv.ROUTE_GEOGRAPHY_TERMS)
 _ROUTE_ENTITIES = _whole_words([(e, (e,)) for e in fv.ROUTE_ENTITIES])
 
 
+_PLANNED_TYPE = "array<struct<provider_id: string, priority: int, source_role: string, retrieval_modes: array<string>>>"
+
+
+def _planned_literal() -> str:
+    """SQL map of domain to its planned providers; Catalyst folds it to one literal."""
+    parts = []
+    for name in dict.fromkeys(row[0] for row in fv.ROUTE_PROVIDERS):
+        own = [row[1:] for row in fv.ROUTE_PROVIDERS if row[0] == name]
+        items = ", ".join(f"named_struct('provider_id', {_quote(p)}, 'priority', {n}, 'source_role', {_quote(role)}, 'retrieval_modes', {_array(modes)})"
+                          for n, (p, role, modes) in enumerate(own, 1))
+        parts.append(f"{_quote(name)}, array({items})")
+    return f"map({', '.join(parts)})"
+
+
+_PLANNED = _planned_literal()
+
+
 def route_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Domain, mode, freshness, geography, entities, providers, cross-source flag."""
     terms = Terms(_ROUTE_DOMAINS, _ROUTE_PLACES, _ROUTE_ENTITIES, [("explain", fv.EXPLAIN_TERMS)],
@@ -195,12 +212,7 @@ def route_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         .when(domain.isin(*fv.DOCUMENT_DOMAINS), "official_document")
         .when(F.col("_explain") | (domain == "general_energy"), "hybrid_research")
         .otherwise("structured_data"))
-    planned = F.array().cast("array<struct<provider_id: string, priority: int, source_role: string, retrieval_modes: array<string>>>")
-    for name in dict.fromkeys(row[0] for row in fv.ROUTE_PROVIDERS):
-        own = [row[1:] for row in fv.ROUTE_PROVIDERS if row[0] == name]
-        planned = F.when(domain == name, F.array(*(F.struct(
-            F.lit(provider).alias("provider_id"), F.lit(n).alias("priority"), F.lit(role).alias("source_role"),
-            text_array(modes).alias("retrieval_modes")) for n, (provider, role, modes) in enumerate(own, 1)))).otherwise(planned)
+    planned = F.expr(f"coalesce(try_element_at({_PLANNED}, domain), cast(array() AS {_PLANNED_TYPE}))")
     df = compute_once(df, {"planned_providers": planned})
     df = df.withColumns({"mode": mode, "providers": F.transform("planned_providers", lambda p: p["provider_id"]), "freshness": freshness,
                          "entities": terms.labels(_ROUTE_ENTITIES)})

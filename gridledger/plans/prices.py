@@ -20,14 +20,14 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
     df = compute_once(questions, {"_norm": norm_text(F.col(text))})
     df = compute_once(df, {
         "_hub": resolve_hub("_norm"), "market": resolve_price_market("_norm"),
-        "market_date": resolve_market_date(F.col(text), F.col(as_of), zone)})
+        "market_date": resolve_market_date(F.col(text), F.col(as_of), zone, F.col("_norm"))})
     df = df.withColumns({"location": F.col("_hub.location"), "display_name": F.col("_hub.display_name")})
     status = (
         F.when(is_blank_question(F.col(text)), "empty_question")
         .when(F.col("location").isNull(), "unsupported_location")
         .when(F.col("market") == "UNSPECIFIED", "needs_clarification")
         .when(F.col("market") == "AMBIGUOUS", "ambiguous_market")
-        .otherwise(market_date_status(F.col(text), F.col("market_date"))))
+        .otherwise(market_date_status(F.col(text), F.col("market_date"), F.col("_norm"))))
     df = compute_once(df, {"status": status}).drop("_norm", "_hub")
     return with_window(df, zone)
 

@@ -8,7 +8,7 @@ from gridledger.operators.joins import match_plants, validate_requests
 from gridledger.operators.reactors import plant_status
 from gridledger.operators.records import observed_text, reactor_records
 from gridledger.plans.reactors import answer_reactors, latest_report, newest_units, plant_query
-from gridledger.queries.base import QUESTIONS_SQL, joined, nth, questions, register, sql_nth, table
+from gridledger.queries.base import QUESTIONS_SQL, SP, joined, nth, questions, register, sql_nth, table
 from gridledger.sources.api_pages import (
     api_page_status, classify_fetch_status, explode_api_pages, parse_route_catalog)
 from gridledger.sources.articles import (
@@ -369,27 +369,33 @@ def _match_plants(spark, sf_dir):
         "n_nationkey", "page_id", "unit_name", "tier")
 
 
-@register("plant_status", f"""WITH {UNIT_SQL}
-SELECT k AS page_id, CASE WHEN min(power_percent) >= 100 THEN 'full' WHEN max(power_percent) = 0 THEN 'offline' ELSE 'reduced' END AS plant_state,
+PLANT_SQL = f"""{UNIT_SQL}, plants AS (SELECT *, regexp_replace(unit_name, ' [0-9]+$', '') AS plant FROM units)"""
+
+
+def with_plants(units):
+    """Every unit under the query that names its plant: the unit's name without its number."""
+    return units.withColumn("plant_query", F.regexp_replace("unit_name", " [0-9]+$", ""))
+
+
+@register("plant_status", f"""WITH {PLANT_SQL}
+SELECT k AS page_id, plant AS plant_query, CASE WHEN min(power_percent) >= 100 THEN 'full' WHEN max(power_percent) = 0 THEN 'offline' ELSE 'reduced' END AS plant_state,
   string_agg(unit_name || ': ' || power_percent || '%', ', ' ORDER BY ord) AS unit_summary,
-  CASE WHEN min(power_percent) >= 100 THEN 'Yes. Diablo Canyon was reported at full power in the latest NRC status report.'
-       WHEN max(power_percent) = 0 THEN 'No. Diablo Canyon was reported offline in the latest NRC status report.'
-       ELSE 'No. Diablo Canyon was not operating at full power in the latest NRC status report.' END AS direct_answer
-FROM units WHERE unit_name LIKE 'Diablo%' GROUP BY k""")
+  CASE WHEN min(power_percent) >= 100 THEN 'Yes. ' || plant || ' was reported at full power in the latest NRC status report.'
+       WHEN max(power_percent) = 0 THEN 'No. ' || plant || ' was reported offline in the latest NRC status report.'
+       ELSE 'No. ' || plant || ' was not operating at full power in the latest NRC status report.' END AS direct_answer
+FROM plants GROUP BY k, plant""")
 def _plant_status(spark, sf_dir):
-    units = parse_reactor_tables(report_columns(spark, sf_dir)).where("unit_name like 'Diablo%'")
-    out = plant_status(units.withColumn("plant_query", F.lit("Diablo Canyon")), ("page_id",))
-    return out.select("page_id", "plant_state", "unit_summary", "direct_answer")
+    out = plant_status(with_plants(parse_reactor_tables(report_columns(spark, sf_dir))), ("page_id",))
+    return out.select("page_id", "plant_query", "plant_state", "unit_summary", "direct_answer")
 
 
-@register("reactor_records", f"""WITH {UNIT_SQL}
-SELECT k AS page_id, 'nrc_reactor_status' AS provider_id, strftime(report_date, '%Y-%m-%dT08:00:00+00:00') AS observed_text,
-  'percent of rated power' AS unit, true AS complete_coverage, CAST(NULL AS BOOLEAN) AS calculation_verified FROM rep""")
+@register("reactor_records", f"""WITH {PLANT_SQL}
+SELECT DISTINCT k AS page_id, plant, 'nrc_reactor_status' AS provider_id, strftime(report_date, '%Y-%m-%dT08:00:00+00:00') AS observed_text,
+  'percent of rated power' AS unit, true AS complete_coverage, CAST(NULL AS BOOLEAN) AS calculation_verified FROM plants""")
 def _reactor_records(spark, sf_dir):
-    units = report_units(spark, sf_dir).where("unit_name like 'Diablo%'")
-    out = plant_status(units.withColumn("plant_query", F.lit("Diablo Canyon")), ("page_id", "report_date"))
-    recs = observed_text(reactor_records(out, ("page_id",)))
-    return recs.select("page_id", "provider_id", "observed_text", "payload.unit", "flags.complete_coverage",
+    out = plant_status(with_plants(report_units(spark, sf_dir)), ("page_id", "report_date"))
+    recs = observed_text(reactor_records(out, ("page_id", "plant_query")))
+    return recs.select("page_id", F.col("plant_query").alias("plant"), "provider_id", "observed_text", "payload.unit", "flags.complete_coverage",
                        "flags.calculation_verified")
 
 
@@ -425,52 +431,92 @@ def _latest_report(spark, sf_dir):
     return latest_report(report_units(spark, sf_dir)).select("page_id", "unit_name")
 
 
-# ---- search payloads and logged responses, one per page / conversation turn ---------------
-NEWS = ('{"articles":[{"title":" T{k} ","url":"https://reuters.com/{k}","domain":"reuters.com","seendate":"20240101T000000Z","language":"English"},'
-        '{"title":"","url":"https://x.org/{k}"},{"title":"U{k}","url":"https://x.org/{k}","seendate":" "}]}')
-WEB = ('[{"title":"T{k}","href":"https://a.org/{k}","body":" one ","date":"2024-01-01"},{"title":"again","url":"https://a.org/{k}","description":"two"},'
-       '{"title":"V{k}","url":"https://b.org/{k}","description":"three","source":"engine"},{"title":" ","url":"https://c.org"}]')
+# ---- search payloads of pages, logged responses of conversations ---------------------------
+TITLE = "(?s)<title>(.*?)</title>"
+HOST = "^https?://([^/]+)"
 
 
-@register("normalize_news", """SELECT page_id AS query_id, 0 AS pos, 'T' || page_id AS title, 'https://reuters.com/' || page_id AS url, 'reuters.com' AS domain, '20240101T000000Z' AS published_at FROM pages
-UNION ALL SELECT page_id, 2, 'U' || page_id, 'https://x.org/' || page_id, '', NULL FROM pages""")
-def _news(spark, sf_dir):
-    payloads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), fill(NEWS, k=F.col("page_id")).alias("body"))
-    return normalize_news(payloads).select("query_id", "pos", "title", "url", "domain", "published_at")
+def strip_sql(c):
+    return f"regexp_replace({c}, '^{SP}+|{SP}+$', '', 'g')"
 
 
-@register("normalize_web_results", """SELECT page_id AS query_id, 'https://a.org/' || page_id AS url, 'T' || page_id AS title, 'one' AS snippet, '2024-01-01' AS published_at, NULL AS source_engine FROM pages
-UNION ALL SELECT page_id, 'https://b.org/' || page_id, 'V' || page_id, 'three', NULL, 'engine' FROM pages""")
-def _web_results(spark, sf_dir):
-    payloads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), fill(WEB, k=F.col("page_id")).alias("body"))
-    return normalize_web_results(payloads).select("query_id", "url", "title", "snippet", "published_at", "source_engine")
+def listed_json(rows, key, order, items):
+    """One JSON array for each key: a row's ``items`` (an array of structs), rows in order."""
+    gathered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, items.alias("items")))), lambda x: x["items"]))
+    return rows.groupBy(key).agg(gathered.alias("items"))
 
 
-LOGGED = ('{"output":[{"type":"web_search_call","action":{"sources":[{"url":"https://u{k}.org","title":"t","type":"web"},{"url":"https://u{k}.org"},{"url":""},{"url":"https://w.org"}]}},'
-          '{"type":"message","content":[{"type":"output_text","text":" A{k}","annotations":[{"type":"url_citation","url":"https://u{k}.org","title":""},{"type":"url_citation","url":"https://v.org","title":"V"},'
-          '{"type":"file"},{"type":"url_citation","url":"https://v.org","title":"W"}]},{"type":"refusal","text":"no"},{"type":"output_text","text":" and B "}]},{"type":"reasoning"}]}')
+PAGE_SQL = f"""p AS (SELECT *, regexp_extract(html, '{TITLE}', 1) AS title, regexp_extract(url, '{HOST}', 1) AS domain FROM pages)"""
 
 
-def response_log(spark, sf_dir):
-    k = F.col("conv_id") * 100 + F.col("turn")
-    return table(spark, sf_dir, "conversations").select(k.alias("response_id"), fill(LOGGED, k=k).alias("body"))
+@register("normalize_news", f"""WITH {PAGE_SQL},
+a AS (SELECT *, page_id // 8 AS query_id, row_number() OVER (PARTITION BY page_id // 8 ORDER BY page_id) - 1 AS pos FROM p)
+SELECT query_id, pos, {strip_sql('title')} AS title, url, domain, CASE WHEN page_id % 3 > 0 THEN '20240101T' || page_id END AS published_at FROM a
+WHERE page_id % 7 <> 6 AND {strip_sql('title')} <> ''""")
+def _news(spark, sf_dir):
+    i = F.col("page_id")
+    article = F.struct(
+        F.when(i % 7 == 6, " ").otherwise(F.concat(F.lit(" "), F.regexp_extract("html", TITLE, 1), F.lit("\n"))).alias("title"),
+        F.col("url"), F.regexp_extract("url", HOST, 1).alias("domain"),
+        F.when(i % 3 > 0, F.concat(F.lit("20240101T"), i.cast("string"))).otherwise(" ").alias("seendate"), F.lit("English").alias("language"))
+    rows = table(spark, sf_dir, "pages").withColumn("query_id", F.expr("page_id div 8"))
+    payloads = listed_json(rows, "query_id", i, F.array(article)).select("query_id", F.to_json(F.struct(F.col("items").alias("articles"))).alias("body"))
+    return normalize_news(payloads).select("query_id", "pos", "title", "url", "domain", "published_at")
 
 
-RID = "conv_id * 100 + turn"
+@register("normalize_web_results", f"""WITH {PAGE_SQL},
+a AS (SELECT *, page_id // 20 AS query_id, 'https://' || domain || '/' AS site FROM p)
+SELECT query_id, site AS url, {strip_sql('title')} AS title, {strip_sql('left(html, 300)')} AS snippet, CASE WHEN page_id % 4 > 0 THEN '2024-01-0' || page_id % 4 END AS published_at,
+  CASE WHEN page_id % 5 = 0 THEN 'engine' END AS source_engine
+FROM a WHERE {strip_sql('title')} <> '' QUALIFY row_number() OVER (PARTITION BY query_id, site ORDER BY page_id) = 1""")
+def _web_results(spark, sf_dir):
+    i = F.col("page_id")
+    even = F.pmod(i, F.lit(2)) == 0
+    site, text = F.concat(F.lit("https://"), F.regexp_extract("url", HOST, 1), F.lit("/")), F.substring("html", 1, 300)
+    item = F.struct(  # either spelling of the link and of the snippet
+        F.regexp_extract("html", TITLE, 1).alias("title"), F.when(even, site).alias("href"), F.when(~even, site).alias("url"),
+        F.when(even, text).alias("body"), F.when(~even, text).alias("description"),
+        F.when(i % 4 > 0, F.concat(F.lit("2024-01-0"), (i % 4).cast("string"))).alias("date"), F.when(i % 5 == 0, "engine").alias("source"))
+    rows = table(spark, sf_dir, "pages").withColumn("query_id", F.expr("page_id div 20"))
+    payloads = listed_json(rows, "query_id", i, F.array(item)).select("query_id", F.to_json("items").alias("body"))
+    return normalize_web_results(payloads).select("query_id", "url", "title", "snippet", "published_at", "source_engine")
 
 
-@register("response_answers", f"SELECT {RID} AS response_id, 'A' || ({RID}) || ' and B' AS answer FROM conversations")
+def response_log(spark, sf_dir):
+    """One logged response for each conversation: its answers are output texts with notes, its questions consulted sources."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    place = F.pmod(F.length("text"), F.lit(5)).cast("string")
+    answer = F.col("role") == "assistant"
+    note = F.struct(F.lit("url_citation").alias("type"), F.concat(F.lit("https://c.org/"), place).alias("url"), F.substring("text", 1, 40).alias("title"))
+    other = F.struct(F.lit("file").alias("type"), F.lit("").alias("url"), F.lit("").alias("title"))
+    part = F.struct(F.when(answer, "output_text").otherwise("refusal").alias("type"), F.col("text"), F.array(note, other, note).alias("annotations"))
+    source = F.struct(F.when(F.col("role") == "system", "").otherwise(F.concat(F.lit("https://s.org/"), place)).alias("url"),
+                      F.substring("text", 1, 30).alias("title"), F.col("role").alias("type"))
+    order = F.col("turn")
+    parts = listed_json(turns, "conv_id", order, F.array(part)).withColumnRenamed("items", "content")
+    sources = listed_json(turns.where(~answer), "conv_id", order, F.array(source)).withColumnRenamed("items", "sources")
+    output = F.concat(
+        F.lit('{"output":[{"type":"web_search_call","action":{"sources":'), F.coalesce(F.to_json("sources"), F.lit("[]")),
+        F.lit('}},{"type":"reasoning"},{"type":"message","content":'), F.to_json("content"), F.lit("}]}"))
+    return parts.join(sources, "conv_id", "left").select(F.col("conv_id").alias("response_id"), output.alias("body"))
+
+
+TURN_SQL = "t AS (SELECT conv_id AS response_id, turn, role, coalesce(text, '') AS text FROM conversations)"
+
+
+@register("response_answers", f"""WITH {TURN_SQL}
+SELECT response_id, {strip_sql("coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')")} AS answer FROM t GROUP BY response_id""")
 def _response_answers(spark, sf_dir):
     return response_answers(response_log(spark, sf_dir))
 
 
-@register("response_citations", f"""SELECT {RID} AS response_id, 'https://u' || ({RID}) || '.org' AS url, 'https://u' || ({RID}) || '.org' AS title FROM conversations
-UNION ALL SELECT {RID}, 'https://v.org', 'V' FROM conversations""")
+@register("response_citations", f"""WITH {TURN_SQL}, c AS (SELECT *, 'https://c.org/' || length(text) % 5 AS url FROM t WHERE role = 'assistant')
+SELECT response_id, url, coalesce(nullif(left(text, 40), ''), url) AS title FROM c QUALIFY row_number() OVER (PARTITION BY response_id, url ORDER BY turn) = 1""")
 def _response_citations(spark, sf_dir):
     return response_citations(response_log(spark, sf_dir)).select("response_id", "url", "title")
 
 
-@register("response_sources", f"""SELECT {RID} AS response_id, 'https://u' || ({RID}) || '.org' AS url, 't' AS title, 'web' AS source_type FROM conversations
-UNION ALL SELECT {RID}, 'https://w.org', 'https://w.org', NULL FROM conversations""")
+@register("response_sources", f"""WITH {TURN_SQL}, c AS (SELECT *, 'https://s.org/' || length(text) % 5 AS url FROM t WHERE role NOT IN ('assistant', 'system'))
+SELECT response_id, url, coalesce(nullif(left(text, 30), ''), url) AS title, role AS source_type FROM c QUALIFY row_number() OVER (PARTITION BY response_id, url ORDER BY turn) = 1""")
 def _response_sources(spark, sf_dir):
     return response_sources(response_log(spark, sf_dir)).select("response_id", "url", "title", "source_type")

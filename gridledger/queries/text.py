@@ -269,14 +269,18 @@ REFERENCES = (
 )
 ADDED = "<p>caf&eacute; &#x27;q&#x27; &euro;5 &times; &nosuch; &#233;&#X2014; &#x110000; a&amp;lt;b</p>"
 UNCLOSED = "<div>last</div><script>var hidden = \"<p>never shown</p>\";"
-BODIES_SQL = f"""(SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN {sql_text(ADDED)} ELSE '' END
+# Nested, crossed and stray hidden tags, a script that names one, and what of it is seen.
+NESTED = ("</svg><p>a<svg><g>x</g><svg>y</svg>z</svg>b</p><template>t<noscript>n</template>m</noscript>c<canvas/>d"
+          "<svg><title>no</title><script>if (a</svg>b) x</script>e</svg>f<!-- <template> -->g")
+NESTED_SEEN = "<p>a b</p> c d f g"
+BODIES_SQL = f"""(SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN {sql_text(ADDED)} ELSE '' END || CASE WHEN page_id % 7 = 0 THEN {sql_text(NESTED_SEEN)} ELSE '' END
   || CASE WHEN page_id % 5 = 0 THEN {sql_text(UNCLOSED)} ELSE '' END AS html FROM pages)"""
 
 
-def page_bodies(spark, sf_dir):
-    """Pages, some with more character references, some with a script that never ends."""
+def page_bodies(spark, sf_dir, nested=NESTED):
+    """Pages, some with more character references, some with hidden tags in disorder, some with a script that never ends."""
     add = lambda n, text: F.when(F.col("page_id") % n == 0, text).otherwise("")
-    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", add(3, ADDED), add(5, UNCLOSED)))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", add(3, ADDED), add(7, nested), add(5, UNCLOSED)))
 
 
 def decode_sql(expr: str) -> str:
@@ -286,7 +290,7 @@ def decode_sql(expr: str) -> str:
 
 
 _SP = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
-PAGE_TEXT_SQL = f"""t0 AS (SELECT page_id, regexp_replace(html, '{HIDDEN.replace("(?is)", "")}', '', 'gis') AS h,
+PAGE_TEXT_SQL = f"""t0 AS (SELECT page_id, regexp_replace(html, '{HIDDEN.replace("(?is)", "")}', ' ', 'gis') AS h,
     {squeeze_sql(decode_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM {BODIES_SQL}),
 t1 AS (SELECT page_id, title, regexp_replace(h, '{BREAKS.replace("(?i)", "")}', chr(10), 'gi') AS h FROM t0),
 t2 AS (SELECT page_id, title, {decode_sql("regexp_replace(h, '<[^>]*>', ' ', 'g')")} AS h FROM t1),
@@ -309,7 +313,7 @@ chunks AS (SELECT page_id, pos, regexp_matches(p, '(?is)^<({'|'.join(fv.BLOCK_TE
    {squeeze_sql(decode_sql("regexp_replace(p, '(?s)^<[^>]*>', '')"))} AS t FROM pieces)
 SELECT page_id, md5(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE t <> '' AND (listed OR length(t) >= 40)), '')) AS text_hash FROM chunks GROUP BY 1""")
 def _extract_page_blocks(spark, sf_dir):
-    return extract_page_blocks(page_bodies(spark, sf_dir)).select("page_id", F.md5("text").alias("text_hash"))
+    return extract_page_blocks(page_bodies(spark, sf_dir, NESTED_SEEN)).select("page_id", F.md5("text").alias("text_hash"))
 
 
 # ---- small scalar expressions -----------------------------------------------------------

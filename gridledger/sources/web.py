@@ -1,7 +1,9 @@
-"""Web pages: two text extractors, expressed with regular expressions.
+"""Web pages: two text extractors.
 
-They define this engine's text; a tolerant HTML parser may differ on broken
-markup (white space beside line breaks).
+Comments, scripts and styles end at their own mark whatever they hold. Other hidden tags may
+nest and be closed in any order: the page is cut at them, and one fold over these few tags
+tells for each piece how many are open, so unclosed, nested, crossed and stray tags hide what
+a tolerant parser hides. White space beside line breaks is dropped.
 """
 from __future__ import annotations
 
@@ -17,8 +19,12 @@ from gridledger.functions.text import SPACE, squeeze, strip
 
 # Text of a hidden tag that is never closed reaches to the end of the page.
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in fv.BLOCKED_TAGS)
+#: Text that no tag inside can end, and hidden tags that are counted.
+RAW = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style"))
+COUNTED = rf"(?i)</?(?:{'|'.join(t for t in fv.BLOCKED_TAGS if t not in ('script', 'style'))})\b[^>]*>"
 BREAKS = rf"(?i)</?(?:{'|'.join(fv.BREAK_TAGS)})\b[^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+#: A title that is never closed reaches to the end of the page.
+TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: All named references of HTML, from the standard library's table.
 NAMED = json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
@@ -42,14 +48,24 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
+def seen(html: Column) -> Column:
+    """The page without what hidden tags hold; a space stands where something was taken out."""
+    text = F.regexp_replace(html, RAW, " ")
+    tags = F.regexp_extract_all(text, F.lit(COUNTED), F.lit(0))
+    change = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+    depth = F.aggregate(tags, F.array(F.lit(0)), lambda acc, t: F.concat(
+        acc, F.array(F.greatest(F.lit(0), F.element_at(acc, -1) + change(t)))))
+    pieces = F.zip_with(F.split(text, COUNTED, -1), depth, lambda piece, open_tags: F.when(open_tags == 0, piece))
+    return F.when(text.rlike(COUNTED), F.array_join(pieces, " ")).otherwise(text)
+
+
 def page_title(html: Column) -> Column:
-    return squeeze(decode_entities(F.regexp_extract(html, TITLE, 1)))
+    return squeeze(decode_entities(F.regexp_replace(F.regexp_extract(html, TITLE, 1), "<[^>]*>", " ")))
 
 
 def page_text(html: Column) -> Column:
-    """Visible text, one line per block."""
-    text = F.regexp_replace(html, HIDDEN, "")
-    text = F.regexp_replace(text, BREAKS, "\n")
+    """Text of a page without its hidden parts, one line per block."""
+    text = F.regexp_replace(html, BREAKS, "\n")
     text = decode_entities(F.regexp_replace(text, "<[^>]*>", " "))
     text = F.regexp_replace(text, "[ \t]+", " ")
     return strip(F.regexp_replace(text, rf"{SPACE}*\n{SPACE}*", "\n"))
@@ -65,10 +81,11 @@ def extract_page_text(pages: DataFrame, html: str = "html", content_type: str |
     source = F.col(html)
     kind = F.lower(F.col(content_type)) if content_type else F.lit("text/html")
     plain = kind == "text/plain"
-    text = F.when(plain, strip(source)).otherwise(page_text(source))
+    text = F.when(plain, strip(source)).otherwise(page_text(F.col("_seen")))
     if max_chars is not None:
         text = strip(F.substring(text, 1, max_chars))
-    out = compute_once(pages, {"title": F.when(plain, "").otherwise(page_title(source)), "text": text})
+    out = compute_once(pages, {"_seen": F.when(~plain, seen(source))})
+    out = compute_once(out, {"title": F.when(plain, "").otherwise(page_title(F.col("_seen"))), "text": text}).drop("_seen")
     known = kind.isin("text/html", "application/xhtml+xml", "text/plain")
     return out.withColumn("reject_reason", F.when(~known, "unsupported_content_type").when(
         F.length(F.coalesce("text", F.lit(""))) < min_chars, "insufficient_text"))

@@ -179,3 +179,14 @@ def test_page_extractors(spark):
     assert "no" not in got[1].text.split() and got[2].reject_reason == "insufficient_text"
     blocks = {r.page_id: r for r in extract_page_blocks(pages).collect()}
     assert "short" not in blocks[1].text and long.strip() in blocks[1].text
+
+
+def test_hidden_tags_in_any_order(spark):
+    cases = [("<p>a</p><script>x <p>b</p>", "", "a"), ("<svg><svg>x</svg>y</svg>z", "", "z"), ("</svg>a<svg>b</svg>c", "", "a c"),
+             ("<template>t<noscript>n</template>m</noscript>d", "", "d"), ("a<svg/>b", "", "a b"),
+             ("<svg><script>if (a</svg>b) x</script>y</svg>z", "", "z"), ("a<!-- <svg> -->b", "", "a b"), ("a<!-- never", "", "a"),
+             ("<svg><title>no</title></svg><title>yes</title><p>x", "yes", "yes\nx"), ("<title>t <b>u", "t u", "t u"),
+             ("<STYLE>p{}</style >a<Canvas x='1'>b", "", "a"), ("a<div><p>b</div>c</p>d", "", "a\nb\nc\nd"), ("", "", ""), (None, None, None)]
+    pages = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id int, html string")
+    got = {r.page_id: r for r in extract_page_text(pages, min_chars=0).collect()}
+    assert [(got[i].title, got[i].text) for i in range(len(cases))] == [c[1:] for c in cases]
