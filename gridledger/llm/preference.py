@@ -144,9 +144,10 @@ def rejected_sides(turns: DataFrame) -> DataFrame:
 def _next_answer(ends: DataFrame) -> DataFrame:
     """(.., other): the answer of the next conversation by id that has one, null after the last such."""
     rows = ends.withColumn("chunk", F.expr(f"floor(conv / {CHUNK})"))
-    later = Window.partitionBy("chunk").orderBy("conv").rowsBetween(1, Window.unboundedFollowing)
+    # From the last id down, so that a window only grows: the latest answer seen is that of the next conversation.
+    later = Window.partitionBy("chunk").orderBy(F.desc("conv")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("chunk").agg(F.min_by("answer", F.when(F.col("answer").isNotNull(), F.col("conv"))).alias("first"))
-    after = F.first("first", ignorenulls=True).over(Window.orderBy("chunk").rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1))
     heads = firsts.withColumn("after", after).drop("first")
-    return (rows.withColumn("inside", F.first("answer", ignorenulls=True).over(later)).join(heads, "chunk")
+    return (rows.withColumn("inside", F.last("answer", ignorenulls=True).over(later)).join(heads, "chunk")
             .withColumn("other", F.coalesce("inside", "after")).drop("chunk", "inside", "after"))
