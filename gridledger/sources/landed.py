@@ -2,7 +2,7 @@
 
 A reader lists the files under a path (a file or a folder, ``file:``, ``hdfs:``, ``s3a:`` and
 whatever else pyarrow opens), empty ones included, and deals them to partitions: an archive
-of ``SPLIT`` bytes or more is a partition of its own, smaller ones share one. Bodies never
+of ``SPLIT`` bytes or more is a partition of its own, smaller ones share one, some ``FILES`` at most. Bodies never
 lie in memory: an archive is opened at its end, and its members leave as Arrow batches.
 """
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of archives that make a partition.
-SPLIT = 64 << 20
+#: Bytes of archives that make a partition, and the number of empty ones that would (opening a file costs as much as its share).
+SPLIT, FILES = 64 << 20, 500
 #: Bytes read at once, and rows and bytes of a batch.
 CHUNK, BATCH_ROWS, BATCH_BYTES = 1 << 20, 20_000, 8 << 20
 #: What a damaged, encrypted or oddly packed archive raises.
@@ -77,10 +77,11 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(parts: list[tuple[int, tuple]], split: int) -> list[InputPartition]:
-    """Partitions of neighbours with about ``split`` bytes each, from (bytes, part)."""
+    """Partitions of neighbours with about ``split`` bytes each, from (bytes, part); each part counts for some bytes more."""
     out: list[InputPartition] = []
     held, size = [], 0
     for n, part in parts:
+        n += split // FILES
         if held and size + n > split:
             out.append(InputPartition(held))
             held, size = [], 0
