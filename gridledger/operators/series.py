@@ -26,7 +26,7 @@ def latest_observations(series: DataFrame, wanted: DataFrame | None = None) -> D
     opened. A record that fails a rule keeps its reason instead of a value. A
     series arrives as one record, so its array is reduced in place: the greatest
     (timestamp, position) is the latest observation with the last element winning.
-    The first record of an id is kept by a minimum, which map tasks take first:
+    The first record of an id is a rank filter, which map tasks apply before the shuffle:
     of the many records of one id, one leaves each task.
     """
     named = series.where(F.col("reject_reason").isNull() | (F.col("reject_reason") == "no_data_array"))

@@ -163,3 +163,20 @@ def test_terms_are_found_as_by_contains(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.ids for r in df.select("t", find_terms(F.col("t"), terms).alias("ids")).collect()}
     assert got == {t: [i for i, term in enumerate(terms) if term in (t or "")] for t in texts}
+
+
+def test_term_index_against_plain_search(monkeypatch):
+    """Terms of every width, over row ends, steps, slices of arrays, nulls and letters of several bytes."""
+    import random
+
+    import pyarrow as pa
+
+    from gridledger.functions import terms as module
+    rng = random.Random(4)
+    letters = "abé \u20ac"
+    for round_no in range(60):
+        monkeypatch.setattr(module, "STEP", rng.choice([3, 17, 1 << 22]))
+        wanted = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 12))})
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 25))]
+        found = module.TermIndex(wanted).search(pa.array(texts, pa.string())[2:]).to_pylist()
+        assert found == [[n for n, t in enumerate(wanted) if t in (x or "")] for x in texts[2:]]

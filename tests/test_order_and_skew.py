@@ -148,3 +148,21 @@ def test_day_repeated_many_times(spark):
     row = price_day_summary(typed_price_rows(rows)).collect()
     assert len(row) == 1 and row[0].row_count == 20_000 and row[0].actual_count == 24
     assert row[0].coverage == "duplicate"
+
+
+def test_plants_by_pieces_against_plain_search(spark):
+    """Exact name, else names that contain the query; short queries, repeated letters, a piece that no name has."""
+    from gridledger.operators.joins import match_plants
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    asks = ["a", "ab", " a ", "abc", "aaa", "zz", "", None, "A-B", "b c"] + ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    units = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "unit int, unit_name string")
+    questions = spark.createDataFrame([(i, q) for i, q in enumerate(asks)], "question_id int, plant_query string")
+    norm = lambda t: " ".join((t or "").lower().replace("-", " ").split())
+    want = set()
+    for i, q in enumerate(asks):
+        if norm(q):
+            exact = [u for u, n in enumerate(names) if norm(n) == norm(q)]
+            inside = [u for u, n in enumerate(names) if norm(q) in norm(n)]
+            want |= {(i, u, 1 if exact else 2) for u in exact or inside}
+    assert {(r.question_id, r.unit, r.tier) for r in match_plants(questions, units).collect()} == want
