@@ -10,7 +10,10 @@ from gridledger.functions.text import norm_text
 from gridledger.functions.times import market_date_status, resolve_market_date
 from gridledger.operators.labels import is_blank_question, resolve_hub, resolve_price_market
 from gridledger.operators.prices import DAY_KEYS, PriceDays, asked_days, price_answer_text, with_window
+from gridledger.session import cut_lineage
 
+#: Summary rows (three short keys and ten numbers) that meet the questions by broadcast.
+BROADCAST_DAYS = 100_000
 CLARIFY_ANSWER = "Please specify which CAISO market price you want."
 
 
@@ -32,21 +35,29 @@ def resolve_price_questions(questions: DataFrame, as_of: str = "as_of",
     return with_window(df, zone)
 
 
-def answer_prices(questions: DataFrame, price_rows: DataFrame | PriceDays, as_of: str = "as_of", file: str | None = None) -> DataFrame:
+def answer_prices(questions: DataFrame, price_rows: DataFrame | PriceDays, as_of: str = "as_of", file: str | None = None,
+                  broadcast_days: int = BROADCAST_DAYS) -> DataFrame:
     """Answered, held (faulty, empty or incomplete day, refused file) or unresolved price questions.
 
     Landed prices (``PriceDays``) are read for the asked days alone; a table of rows is read whole.
 
-    Questions are resolved once and meet one finished summary row each; unresolved
-    ones take no part in the join.
+    Questions are resolved twice: for the days they ask, which are checkpointed, and to meet one finished
+    summary row each. Up to ``BROADCAST_DAYS`` asked days come by broadcast; with more, unresolved
+    questions take no part in the join, as their keys would meet in one task.
     """
     resolved = resolve_price_questions(questions, as_of).drop("utc_start", "utc_end", "expected_count")
     known = resolved.where("status = 'resolved'")
-    days = asked_days(price_rows, known, file=file).select(
+    asked = cut_lineage(known.select(*DAY_KEYS).distinct())
+    days = asked_days(price_rows, asked, file=file).select(
         *DAY_KEYS, "coverage", "expected_count", "actual_count", "average_price", "minimum_price",
         "maximum_price", "minimum_start", "maximum_start", "utc_end")
-    out = known.join(days, list(DAY_KEYS), "left").unionByName(
-        resolved.where("status is distinct from 'resolved'"), allowMissingColumns=True)
+    if asked.count() <= broadcast_days:
+        keyed = days.toDF(*(f"_{c}" if c in DAY_KEYS else c for c in days.columns))
+        match = [F.col("status") == "resolved", *(F.col(k) == F.col(f"_{k}") for k in DAY_KEYS)]
+        out = resolved.join(F.broadcast(keyed), match, "left").drop(*(f"_{k}" for k in DAY_KEYS))
+    else:
+        out = known.join(days, list(DAY_KEYS), "left").unionByName(
+            resolved.where("status is distinct from 'resolved'"), allowMissingColumns=True)
     direct, explain = price_answer_text(F.col("display_name"))
     complete = F.coalesce(F.col("coverage") == "complete", F.lit(False))
     status = F.when(F.col("status") == "resolved", F.when(complete, "answered").otherwise("held")).otherwise(

@@ -18,7 +18,7 @@ from gridledger.operators.ranking import flag_duplicates
 from gridledger.operators.records import observed_text, price_records
 from gridledger.plans.prices import answer_prices, resolve_price_questions
 from gridledger.queries.base import (
-    AS_OF, ORACLES, nth, register, sql_list, sql_nth, sql_rows, table, utc_text)
+    AS_OF, ORACLES, nth, register, spread_table, sql_list, sql_nth, sql_rows, table, utc_text)
 from gridledger.session import shared_folder
 from gridledger.sources.prices import normalize_price_rows, typed_price_rows
 
@@ -259,7 +259,7 @@ DATE_TEXT_SQL = """CASE o_custkey % 12 WHEN 0 THEN strftime(day, '%Y-%m-%d')
 
 
 def price_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", rows=100_000)
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("o_orderkey", F.lit(31)).cast("int"))
     text = _date_text(day, F.pmod("o_custkey", F.lit(12)))
     ask = nth(ASKS, F.col("o_orderkey"))
