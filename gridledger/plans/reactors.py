@@ -1,7 +1,7 @@
 """Reactor-status questions end to end."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import fixed_values as fv
@@ -25,15 +25,17 @@ def plant_query(question: Column) -> Column:
 
 
 def latest_report(units: DataFrame) -> DataFrame:
-    """Rows (pages or units) of the newest dated report; of several with one date, the highest id."""
-    newest = units.where("report_date is not null").agg(
-        F.max_by("page_id", F.struct("report_date", "page_id")).alias("page_id"))
-    return units.join(newest, "page_id")
+    """Unit rows of the newest dated report; of several with one date, the highest id. The units are parsed once: a task
+    lets none but those of its own newest report go."""
+    place = F.rank().over(Window.orderBy(F.desc("report_date"), F.desc("page_id")))
+    dated = units.where("report_date is not null and page_id is not null")
+    return dated.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def newest_units(reports: DataFrame) -> DataFrame:
     """Units of the newest report: its page is chosen by date before any page is parsed."""
-    page = latest_report(reports)
+    newest = reports.where("report_date is not null").agg(F.max_by("page_id", F.struct("report_date", "page_id")).alias("page_id"))
+    page = reports.join(newest, "page_id")
     return parse_reactor_tables(page).join(page.select("page_id", "report_date"), "page_id")
 
 
