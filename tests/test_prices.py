@@ -219,3 +219,30 @@ def test_archives_are_dealt_by_size(spark, tmp_path):
     reader = PriceArchiveReader({"path": str(tmp_path), "split": "20000"})
     parts = [[p[0].rsplit("/", 1)[1] for p in part.value] for part in reader.partitions()]
     assert parts[0] == ["0.zip"] and sorted(n for p in parts for n in p) == sorted(f"{i}.zip" for i in range(12)) and len(parts) == 2
+
+
+def test_small_members_read_as_rows_equal_the_arrow_reader(tmp_path, monkeypatch):
+    import random
+
+    from gridledger.sources import prices
+
+    def records(path, small):
+        monkeypatch.setattr(prices, "SMALL", small)
+        with open(path, "rb") as stream:
+            return [r for b in prices._batched(prices.archive_batches(stream, "p", path.stat().st_size)) for r in b.to_pylist()]
+
+    def first(path):
+        with open(path, "rb") as stream:
+            return next(prices.archive_batches(stream, "p", path.stat().st_size))
+
+    rng = random.Random(5)
+    cells = ["a", " ", "", "\u00a0x ", '"q,""r"""', '"two\nlines"', '"two\r\nlines"', "caf\u00e9", "1.5", 'in"side']
+    for number in range(60):
+        lines = [",".join(rng.choices(cells, k=rng.choice([5, 5, 5, 3, 7]))) for _ in range(rng.randint(0, 8))]
+        text = rng.choice(["", "\n"]) + rng.choice(["\n", "\r\n"]).join(["node,NODE,MW, opr dt,other", *lines, ""])
+        path = tmp_path / f"{number}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("a.csv", text.encode(rng.choice(["utf-8", "utf-8-sig", "windows-1252"])))
+        arrow, small = records(path, 0), records(path, 1 << 16)
+        assert small == sorted(arrow, key=lambda r: r["row_no"])
+        assert isinstance(first(path), list) or not lines  # no Arrow reader for a small member
