@@ -17,7 +17,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: verified Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each group of near copies: SimHash candidates (covering tables and blocks of several fingerprints)
+    with a verified Jaccard similarity of five-word shingles of 0.8 or more."""
     return shingles.keep_one(docs)
 
 

@@ -1,6 +1,7 @@
 """Near copies by word shingles: texts link at Jaccard similarity ``LIKE`` or more of their distinct five-word shingles.
 
-Candidates come from SimHash. A text has ``PRINTS`` fingerprints of 64 bits over its
+Candidates come from SimHash. The covering tables of ``simhash`` (four-word shingles, radius 4) give all pairs within
+their radius. Pairs at the threshold mostly differ in more bits; for them a text also has ``PRINTS`` fingerprints of 64 bits over its
 distinct shingles; tables take blocks of their bits, and texts that agree on a block
 and lie within the radius of all fingerprints together are candidates. Two texts
 at the threshold differ in ``acos(2 s / (1 + s)) / pi`` of the bits (fewer if their sizes
@@ -291,6 +292,14 @@ def candidates(classes: DataFrame, like: float = LIKE, recall: float = RECALL, b
     return known.where("comp <> node").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(late)
 
 
+def covered(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of ``prints`` (row_key, node) whose texts the covering tables join."""
+    found = simhash.near_duplicates(docs).select("row_key", F.col("root").alias("cover")).distinct()
+    member = common.checkpointed(prints.select("row_key", "node").distinct().join(found, "row_key").select("node", "cover").distinct())
+    least = member.groupBy("cover").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return member.join(least, "cover").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def jaccard_forest(texts: list[bytes], like: float = LIKE, words: int = WORDS) -> list[tuple[int, int]]:
     """(first, member) of each group linked by exact similarity."""
     sets = [shingle_hashes(t, words) for t in texts]
@@ -376,7 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: float = LIKE, rec
     prints = common.checkpointed(slim.mapInArrow(
         _sketches(words), "doc_id long, row_key long, node long, " + ", ".join(f"f{i} long" for i in range(PRINTS))))
     classes = prints.groupBy("node").agg(*(F.first(n).alias(n) for n in NAMES))
-    groups = common.components(candidates(classes, like, recall))
+    groups = common.components(covered(docs, prints).unionByName(candidates(classes, like, recall)))
     groups = common.checkpointed(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
     # One text of each class that has a candidate.
     one = common.checkpointed(prints.join(groups, "node").groupBy("node", "root").agg(F.min("row_key").alias("row_key")))

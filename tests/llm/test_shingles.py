@@ -113,3 +113,16 @@ def test_tables_reach_the_recall_they_state():
         for i, m in masks:
             met |= (diff[:, i] & m) == 0
         assert met.mean() > 0.998
+
+
+def test_covering_tables_alone_find_pairs_within_their_radius(spark, monkeypatch):
+    from gridledger.llm import simhash
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words)), None, ""]
+    near = simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())
+    assert near.bit_count() <= simhash.RADIUS
+    monkeypatch.setattr(shingles, "candidates", lambda classes, *_: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in shingles.near_duplicates(docs).collect()}
+    assert root[0] == root[1] and root[3] == root[4] and len(set(root.values())) == 3
