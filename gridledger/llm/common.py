@@ -91,15 +91,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = checkpointed(links)
     before = None
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("l")).select("l.*")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (both.join(least, "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = checkpointed(
-            small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # A neighbour above the least one is handed the least; the row of the least one keeps the node's own link.
+        own = F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u"))
+        links = checkpointed(large.join(least, "u").select(own.alias("u"), F.col("m").alias("v")).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))

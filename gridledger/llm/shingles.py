@@ -91,9 +91,11 @@ def sketch(text: bytes | None, words: int = WORDS) -> list[int]:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([sketch(t, words) for t in batch.column(2).to_pylist()], np.int64).reshape(-1, PRINTS + 1)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c) for c in values.T)],
-                                  names=["doc_id", "row_key", "node", *(f"f{i}" for i in range(PRINTS))])
+            texts = batch.column(2).to_pylist()
+            values = np.array([sketch(t, words) for t in texts], np.int64).reshape(-1, PRINTS + 1)
+            cover = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cover), *(pa.array(c) for c in values.T)],
+                                  names=["doc_id", "row_key", "cover", "node", *NAMES])
     return run
 
 
@@ -292,12 +294,19 @@ def candidates(classes: DataFrame, like: float = LIKE, recall: float = RECALL, b
     return known.where("comp <> node").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(late)
 
 
-def covered(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) that join the classes of ``prints`` (row_key, node) whose texts the covering tables join."""
-    found = simhash.near_duplicates(docs).select("row_key", F.col("root").alias("cover")).distinct()
-    member = common.checkpointed(prints.select("row_key", "node").distinct().join(found, "row_key").select("node", "cover").distinct())
-    least = member.groupBy("cover").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return member.join(least, "cover").where("node <> b").select(F.col("node").alias("a"), "b")
+def covered(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of ``prints`` (node, cover) whose texts the covering tables join.
+
+    Classes of one fingerprint link with its least class, and linked fingerprints by their least classes: the
+    components are left to the one pass over all candidates.
+    """
+    member = common.checkpointed(prints.select("node", "cover").distinct())
+    least = common.checkpointed(member.groupBy("cover").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    same = member.join(least.where("n > 1"), "cover").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    across = simhash.links(least.select(F.col("cover").alias("fp")))
+    for end in ("a", "b"):
+        across = across.join(least.select(F.col("cover").alias(end), F.col("least").alias(f"least_{end}")), end)
+    return same.unionByName(across.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
 
 def jaccard_forest(texts: list[bytes], like: float = LIKE, words: int = WORDS) -> list[tuple[int, int]]:
@@ -383,9 +392,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, like: float = LIKE, rec
     """(doc_id, row_key, root) for every row; rows of one root are linked by verified near copies."""
     slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary"))
     prints = common.checkpointed(slim.mapInArrow(
-        _sketches(words), "doc_id long, row_key long, node long, " + ", ".join(f"f{i} long" for i in range(PRINTS))))
+        _sketches(words), "doc_id long, row_key long, cover long, node long, " + ", ".join(f"{n} long" for n in NAMES)))
     classes = prints.groupBy("node").agg(*(F.first(n).alias(n) for n in NAMES))
-    groups = common.components(covered(docs, prints).unionByName(candidates(classes, like, recall)))
+    groups = common.components(covered(prints).unionByName(candidates(classes, like, recall)))
     groups = common.checkpointed(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
     # One text of each class that has a candidate.
     one = common.checkpointed(prints.join(groups, "node").groupBy("node", "root").agg(F.min("row_key").alias("row_key")))

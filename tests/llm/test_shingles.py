@@ -126,3 +126,16 @@ def test_covering_tables_alone_find_pairs_within_their_radius(spark, monkeypatch
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     root = {r.doc_id: r.root for r in shingles.near_duplicates(docs).collect()}
     assert root[0] == root[1] and root[3] == root[4] and len(set(root.values())) == 3
+
+
+def test_all_candidates_share_one_pass_of_components(spark, monkeypatch):
+    """A pass of its own for the covering tables writes its rounds' files for every partition once more."""
+    calls = []
+    pass_of = shingles.common.components
+    monkeypatch.setattr(shingles.common, "components", lambda *args: calls.append(1) or pass_of(*args))
+    base = " ".join(f"w{n}" for n in range(60))
+    texts = [base, base + " tail", base.upper() + " ", "other words stand here alone", "", None]
+    found = shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    root = {r.doc_id: r.root for r in found.collect()}
+    assert root[0] == root[1] == root[2] and root[4] == root[5] and len(set(root.values())) == 3
+    assert len(calls) == 1
