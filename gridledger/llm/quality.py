@@ -1,7 +1,10 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of trusted text, one per language.
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text, by words and by spelling, one of each per language.
 
-The model's words are characters folded into 64 classes, its order is four: texts
-of any language and any length are scored without unknown words, and a model is
+The model of hashed word pairs (``words``) gives a text's perplexity, score and bound. A text is rejected if its words
+are, and also if its spelling is, which tells garbled words from rare ones where trusted text is short.
+
+The spelling's units are characters folded into 64 classes, its order is four: texts
+of any language and any length are scored without unknown units, and a model is
 bounded by 64^3 contexts. Counts cover all trusted texts. They are dealt into ``FOLDS``
 by a hash of the text, so that copies stay together, and each fold is scored by a model
 of the counts less its own: every trusted text has a held out score. Each task counts its
@@ -12,9 +15,9 @@ have a proven bound, so they meet a document by broadcast, where the next shorte
 contexts are interpolated; a shuffled join with all n-grams of all documents would
 move several times the input.
 
-A document's cross-entropy per character is drawn to its language's mean by
-``PRIOR`` characters, so a short text needs stronger evidence. A document is
-rejected if that score lies above the quantile ``HIGH`` of the held out scores of the trusted
+A document's cross-entropy per word (per character) is drawn to its language's mean by
+``PRIOR_WORDS`` words (``PRIOR`` characters), so a short text needs stronger evidence. A document is
+rejected if either score lies above the quantile ``HIGH`` of the held out scores of the trusted
 texts of its language, however few they are. Only a language whose trusted texts all lie in one fold
 (such as a single text) has no held out score; it is judged, like a language
 without trusted text, by the model and quantile of all languages together.
@@ -23,7 +26,7 @@ Only tables of a proven size are broadcast: a language has at most 64^3 rows of
 four-byte numbers (64 MB), and languages are scored ``GROUP`` at a time. Trusted ids
 are broadcast up to ``BROADCAST_IDS`` rows and joined by a shuffle beyond.
 
-Rows: a null or empty text has no characters: no perplexity, rejected. A null
+Rows: a null or empty text, or one without words, has no perplexity and is rejected. A null
 language is a language of its own. Null and repeated ids are scored row by row;
 an id is trusted if any of its labels says good and none says bad or toxic.
 Without trusted text nothing is rejected but empty texts.
@@ -39,13 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridledger.llm import common
+from gridledger.llm import common, words
 
 ORDER = 4
 CLASSES = 64
 FOLDS = 5
 HIGH = 0.998
 PRIOR = 100
+PRIOR_WORDS = 20
 GROUP = 4
 BROADCAST_IDS = 4_000_000
 #: Characters coded at once.
@@ -248,12 +252,56 @@ def _collect(model: DataFrame, langs: list[str]) -> dict[str, Model]:
     return {lang: Model(rows.filter(pc.equal(rows["lang"], lang))) for lang in pc.unique(rows["lang"]).to_pylist()}
 
 
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(2), text)]
+
+
 class Classifier:
-    """A trained model: languages, their held out mean and bound."""
+    """A trained model: languages, their held out means and bounds by words and by spelling."""
 
-    def __init__(self, model: DataFrame, known: list[str], bounds: dict[str, tuple[float, float]] | None = None) -> None:
-        self.model, self.known, self.bounds = model, known, bounds or {}
+    def __init__(self, model: DataFrame, known: list[str], spelling: dict[str, tuple[float, float]] | None = None) -> None:
+        self.model, self.known, self.spelling = model, known, spelling or {}
+        self.bounds: dict[str, tuple[float, float]] = {}
         self.held: dict[tuple, object] = {}
+        self.docs = self.rows = self.words = None
+
+    def _rows(self, docs: DataFrame, trusted: Column) -> DataFrame:
+        """The rows that ``words.scores`` takes, for the texts of ``docs`` under the models that judge them."""
+        lang, text = _language(docs), F.col("text").cast("string")
+        own = F.when(lang.isin(self.known), lang).otherwise(F.lit(ALL))
+        return docs.where(F.length(text) > 0).select(own.alias("model"), *(k.alias(n) for k, n in zip(_keys(text), ("k1", "k2"), strict=True)),
+                                                     trusted.cast("long").alias("n"), text.alias("text"))
+
+    def learn(self, docs: DataFrame, ids: DataFrame, high: float) -> None:
+        """Score all texts of ``docs`` by the trusted ones' word pairs, and set the bounds on the held out scores."""
+        self.docs, self.high = docs, high
+        if not self.spelling:  # no held out text
+            return
+        mark, = common.fresh(docs, "trusted")
+        id_, = common.fresh(docs, "trusted_id")
+        marked = docs.join(ids.select(F.col("doc_id").alias(id_), F.lit(1).alias(mark)), F.col("doc_id") == F.col(id_), "left")
+        self.rows = self._rows(marked, F.coalesce(F.col(mark), F.lit(0)))
+        self._score_words(self.rows)
+
+    def _score_words(self, rows: DataFrame) -> None:
+        if rows.where(F.col("model") == ALL).limit(1).count():  # some text is judged by all languages together
+            models = F.when((F.col("n") > 0) & (F.col("model") != ALL), F.array("model", F.lit(ALL))).otherwise(F.array("model"))
+            rows = rows.withColumn("model", F.explode(models))
+        self.words = words.scores(rows)
+        held = self.words.where("held is not null and n > 0")
+        means = held.groupBy("model").agg((F.sum("held") / F.sum("n")).alias("mean"))
+        value = (F.col("held") + PRIOR_WORDS * F.col("mean")) / (F.col("n") + PRIOR_WORDS)
+        found = (held.join(F.broadcast(means), "model").groupBy("model", "mean")
+                 .agg(F.percentile_approx(value, self.high, 100_000).alias("bound")).collect())  # a row a language
+        self.bounds = {r.model: (r.mean, r.bound) for r in found}
+
+    def _meet(self, docs: DataFrame) -> None:
+        """Score the texts that are not among those of the training documents."""
+        if self.rows is None or docs.sameSemantics(self.docs):
+            return
+        new = self._rows(docs, F.lit(0)).join(self.words.select("model", "k1", "k2"), ["model", "k1", "k2"], "left_anti")
+        if new.limit(1).count():
+            self._score_words(self.rows.unionByName(new))
 
     def _models(self, df: DataFrame, langs: list[str]):
         if tuple(langs) not in self.held:
@@ -286,27 +334,59 @@ class Classifier:
             out = out.unionByName(part)
         return out
 
+    def _of(self, key: Column, values: dict[str, tuple[float, float]], position: int) -> Column:
+        out = F.lit(None).cast("double")  # one value a language
+        for name, pair in values.items():
+            out = F.when(key == name, F.lit(pair[position])).otherwise(out)
+        return out
+
+    def _spelled(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns ``keep``, the two keys of the text, the model's language and whether the spelling is rejected."""
+        k1, k2 = common.fresh(docs, "k1", "k2")
+        a, b = _keys(F.col("text").cast("string"))
+        scored = self.score(docs.withColumn(k1, a).withColumn(k2, b), [*keep, k1, k2])
+        lang, bits, chars = (F.col(c) for c in scored.columns[-3:])
+        value = (bits + PRIOR * self._of(lang, self.spelling, 0)) / (chars + PRIOR)
+        bad, = common.fresh(scored, "misspelled")
+        return scored.select(*(common.quoted(c) for c in scored.columns[:-2]),
+                             ((chars == 0) | F.coalesce(value > self._of(lang, self.spelling, 1), F.lit(False))).alias(bad))
+
+    def _judged(self) -> DataFrame:
+        """Texts with perplexity, score, bound and whether their words are rejected."""
+        bits, n, model = F.col("bits"), F.col("n"), F.col("model")
+        value = F.when(n > 0, (bits + PRIOR_WORDS * self._of(model, self.bounds, 0)) / (n + PRIOR_WORDS))
+        bound = self._of(model, self.bounds, 1)
+        return self.words.select("model", "k1", "k2", F.when(n > 0, F.pow(F.lit(2.0), bits / n)).alias("perplexity"), value.alias("score"),
+                                 bound.alias("bound"), ((n == 0) | F.coalesce(value > bound, F.lit(False))).alias("bad"))
+
     def judge(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """The columns ``keep`` with perplexity, score, bound and rejected."""
         keep = docs.columns if keep is None else keep
         names = common.fresh(docs, "perplexity", "score", "bound", "rejected")
-        scored = self.score(docs, keep)
-        lang, bits, chars = (F.col(c) for c in scored.columns[-3:])
-
-        def of(position: int) -> Column:  # one value a language
-            out = F.lit(None).cast("double")
-            for name, values in self.bounds.items():
-                out = F.when(lang == name, F.lit(values[position])).otherwise(out)
-            return out
-        value = (bits + PRIOR * of(0)) / (chars + PRIOR)
-        rejected = (chars == 0) | F.coalesce(value > of(1), F.lit(False))
-        columns = [F.when(chars > 0, F.pow(F.lit(2.0), bits / chars)), value, of(1), rejected]
-        return scored.select(*(common.quoted(c) for c in keep), *(c.alias(n) for c, n in zip(columns, names, strict=True)))
+        self._meet(docs)
+        spelled = self._spelled(docs, keep)
+        k1, k2, lang, bad = (F.col(c) for c in spelled.columns[-4:])
+        if self.words is None:
+            null = F.lit(None).cast("double")
+            columns = [null, null, null, bad]
+        else:
+            columns = common.fresh(spelled, "model", "a", "b", "word_perplexity", "word_score", "word_bound", "word_bad")
+            spelled = spelled.join(self._judged().toDF(*columns), (lang == F.col(columns[0])) & (k1 == F.col(columns[1])) & (k2 == F.col(columns[2])), "left")
+            columns = [*(F.col(c) for c in columns[3:6]), bad | F.coalesce(F.col(columns[6]), F.lit(False))]
+        return spelled.select(*(common.quoted(c) for c in keep), *(c.alias(n) for c, n in zip(columns, names, strict=True)))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows that are not rejected, with the columns of ``docs``."""
-        judged = self.judge(docs)
-        return judged.where(~F.col(judged.columns[-1])).select(*(common.quoted(c) for c in docs.columns))
+        self._meet(docs)
+        spelled = self._spelled(docs, docs.columns)
+        k1, k2, lang, bad = (F.col(c) for c in spelled.columns[-4:])
+        good = spelled.where(~bad)
+        if self.words is not None:
+            keys = common.fresh(spelled, "model", "a", "b")
+            worse = common.checkpointed(self._judged().where("bad").select("model", "k1", "k2").toDF(*keys))
+            worse = F.broadcast(worse) if worse.count() <= BROADCAST_IDS // 4 else worse
+            good = good.join(worse, (lang == F.col(keys[0])) & (k1 == F.col(keys[1])) & (k2 == F.col(keys[2])), "left_anti")
+        return good.select(*(common.quoted(c) for c in docs.columns))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -342,4 +422,6 @@ def train(docs: DataFrame, labels: DataFrame, high: float = HIGH, broadcast_ids:
              .agg(F.percentile_approx(value, high, 100_000).alias("bound")).collect())  # a row a language
     bounds = {r.model_lang: (r.mean, r.bound) for r in found}
     whole = fitted(FOLDS)
-    return Classifier(whole.model, [k for k in whole.known if k in bounds], bounds)
+    out = Classifier(whole.model, [k for k in whole.known if k in bounds], bounds)
+    out.learn(docs, chosen, high)
+    return out
