@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridledger.llm import common
 
 #: Bytes of text in a part.
-PART = 16 << 20
+PART = 12 << 20
 #: Characters hashed at once.
 CHUNK = 1 << 20
 #: Copies that a task tells from new texts.
@@ -121,8 +121,8 @@ def _distinct(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.nd
     order = np.lexsort((right, left))
     left, right = left[order], right[order]
     starts = _runs(left, right)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(order))))
     return left[starts], right[starts], _sums(n[order], starts), place
 
 
@@ -166,9 +166,10 @@ class _Part:
         texts = [words(zlib.decompress(found[k][1]).decode("utf-8", "replace")) for k in self.keys]
         self.sizes = np.array([len(t) + 1 if len(t) else 0 for t in texts], np.int64)
         texts = [t for t in texts if len(t)]
-        self.text = np.repeat(np.arange(len(self.keys)), self.sizes)
-        left = np.concatenate([x for t in texts for x in (edge, t)] or [edge[:0]])
-        right = np.concatenate([x for t in texts for x in (t, edge)] or [edge[:0]])
+        self.text = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.sizes)
+        both = np.concatenate([edge, *(x for t in texts for x in (t, edge))])  # an edge lies between two texts
+        del texts, found
+        left, right = both[:-1], both[1:]
         self.left, self.right, self.n, self.place = _distinct(left, right, self.trusted[self.text])
         self.words = np.union1d(self.left, self.right)
 
@@ -310,10 +311,21 @@ def _grouped(*keys: np.ndarray) -> np.ndarray:
 
 
 def _held(part: _Part, n, li, ri, known: np.ndarray, sums: _Sums) -> np.ndarray:
-    """Bits of each trusted text by the counts less its own and its copies'."""
-    mine = np.flatnonzero(part.trusted[part.text] > 0)
+    """Bits of each trusted text by the counts less its own and its copies', some texts at a time."""
+    out, ends = np.zeros(len(part.keys)), np.cumsum(part.sizes)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // 8, "right")))
+        out += _held_of(part, slice(ends[at - 1] if at else 0, ends[to - 1]), n, li, ri, known, sums)
+        at = to
+    return out
+
+
+def _held_of(part: _Part, mine: slice, n, li, ri, known: np.ndarray, sums: _Sums) -> np.ndarray:
     size = len(n) + 1
-    both, count = np.unique(part.text[mine] * size + part.place[mine], return_counts=True)
+    text, pair = part.text[mine].astype(np.int64), part.place[mine]
+    good = part.trusted[text] > 0
+    both, count = np.unique(text[good] * size + pair[good], return_counts=True)
     text, pair = both // size, both % size
     rest = n[pair] - part.trusted[text] * count
     by_left, by_right = _grouped(text, li[pair]), _grouped(text, ri[pair])

@@ -3,9 +3,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,25 @@ def test_garbled_and_shuffled_texts_of_any_script_are_rejected(spark):
     assert late[2].score == pytest.approx(got[2].score) and late[4].bound == model.bounds[quality.ALL][1]
     assert {r.doc_id for r in model.keep(later).collect()} == {2, 4}
     assert np.isfinite([r.perplexity for r in got.values()]).all()
+
+
+def test_held_out_bits_some_texts_at_a_time(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 30))) or " " for _ in range(60)]
+    rows = {"k1": list(range(60)), "k2": [0] * 60, "n": [i % 3 for i in range(60)], "body": [zlib.compress(t.encode()) for t in texts]}
+    parts, key, table = {"m": 1}, (pa.scalar("m"), pa.scalar(0)), pa.table(rows)
+    said = words._add_pairs(parts)(key, words._ask_pairs(parts)(key, table))
+    kind = np.array(said["kind"].to_pylist())
+    found = words._add_words(key, said.take(np.flatnonzero(kind == words.WORDS)), words._ask_words(parts)(key, table))
+    sums = {k: [r[f"n{c}"] for c in (1, 2, 3, 4)] for k, t in (("pairs", said), ("words", found)) for r in t.to_pylist() if r["kind"] == words.SUMS}
+    last = found.to_pylist()[-1]
+    models = {"m": words._Sums(sums["pairs"], sums["words"], last["words"], last["total"])}
+    back = pa.concat_tables([said.take(np.flatnonzero(kind == words.PAIRS)), found.take([0])])
+    whole = words._score(parts, models)(key, table, back).to_pylist()
+    monkeypatch.setattr(words, "CHUNK", 8 * 40)
+    pieces = words._score(parts, models)(key, table, back).to_pylist()
+    trusted = [t for t, n in zip(texts, rows["n"], strict=True) for _ in range(n)]
+    for t, a, b in zip(texts, whole, pieces, strict=True):
+        assert a["bits"] == b["bits"] and (a["held"] is None) == (b["held"] is None)
+        assert a["held"] is None or math.isclose(a["held"], b["held"])
+        assert math.isclose(a["bits"], slow_bits(slow_pairs(t), trusted), rel_tol=1e-9, abs_tol=1e-9)
