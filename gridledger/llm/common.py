@@ -66,6 +66,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint after which the shuffles that made it are removed from the executors' disks; those of cached tables stay."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return checkpointed(df.select("*"))  # a plan is told when it is made
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the session's shared checkpoint folder (a temporary one in local sessions that have none)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -170,12 +170,12 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, classes: int = CLASSES) ->
     sum of the discounts, which is the weight of the next shorter context. Discounts are the usual
     estimates from the numbers of n-grams seen once to four times, kept within 0.05 and the count.
     """
-    level = common.checkpointed(counts)
+    level = common.landed(counts)
     grams = level.withColumn("length", F.lit(order - 1))
     for k in range(order - 1, 0, -1):
         level = level.groupBy("lang", F.pmod("gram", F.lit(classes ** k)).cast("int").alias("gram")).agg(F.count("*").alias("n"))
         grams = grams.unionByName(level.withColumn("length", F.lit(k - 1)))
-    grams = common.checkpointed(grams)
+    grams = common.landed(grams)
     seen = [F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in (1, 2, 3, 4)]
     y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
     discount = [F.least(F.greatest(F.coalesce(c - F.try_divide((c + 1) * y * F.col(f"n{c + 1}"), F.col(f"n{c}")), F.lit(0.5 * c)),
@@ -404,7 +404,7 @@ def train(docs: DataFrame, labels: DataFrame, high: float = HIGH, broadcast_ids:
     texts = docs.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     texts = texts.join(chosen, "doc_id", "left_semi")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    models = common.checkpointed(kneser_ney(fold_counts(texts.select(_language(texts).alias("lang"), "fold", "text"))))
+    models = common.landed(kneser_ney(fold_counts(texts.select(_language(texts).alias("lang"), "fold", "text"))))
     having = models.where("length = 0").select("lang").distinct().collect()  # a row a language and fold
 
     def fitted(fold: int) -> Classifier:

@@ -152,3 +152,42 @@ def test_held_out_bits_some_texts_at_a_time(monkeypatch):
         assert a["bits"] == b["bits"] and (a["held"] is None) == (b["held"] is None)
         assert a["held"] is None or math.isclose(a["held"], b["held"])
         assert math.isclose(a["bits"], slow_bits(slow_pairs(t), trusted), rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("numbered", [0, 1 << 16])
+def test_packed_texts_and_blocks_come_back(monkeypatch, numbered):
+    monkeypatch.setattr(words, "NUMBERED", numbered)
+    texts = ["a b a, c", "", " \n", "日本 x" * 3, "b " * 500, "\ud83d"]
+    rows = [(i - 3, -i, i % 2, t.encode("utf-8", "surrogatepass")) for i, t in enumerate(texts)]
+    for row, (*key, text) in zip(rows, words._unpack(words._pack(rows)), strict=True):
+        found = words.words(text.decode("utf-8", "replace")) if isinstance(text, bytes) else text
+        assert (*key,) == row[:3] and found.tolist() == words.words(row[3].decode("utf-8", "replace")).tolist()
+    hashes = np.unique(np.concatenate([[0, (1 << 48) - 1], words.words("some words in here")])).astype(np.uint64)
+    for some in (hashes, hashes[:0], hashes[:1], hashes[-1:]):
+        assert words._hashes_in(words._hashes_out(some)).tolist() == some.tolist()
+        assert words._counts_in(words._counts_out(some)).tolist() == some.tolist()
+
+
+def test_a_step_leaves_no_shuffle_but_the_texts(spark):
+    rng = random.Random(8)
+    rows = [("m", i, " ".join(rng.choices([f"w{k}" for k in range(3000)], k=400)), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, k1 long, text string, n long").withColumn("k2", F.lit(0).cast("long"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {int(x) for x in re.findall(r"\d+", str(blocks.shuffleStatuses().keys().mkString(" ")))}
+    before, set_before = held(), spark.conf.get(key, None)
+    parts = words.scores(df)
+    assert parts.count() == 300 and spark.conf.get(key, None) == set_before
+    assert len(held() - before) <= 5  # the texts dealt to parts, the models' sizes and two sums, and the count
+
+
+def test_pairs_in_turns_are_all_pairs():
+    rng = random.Random(9)
+    part = words._Part(pa.table({"k1": [1, None], "k2": [1, None], "n": [1, None], "body": [
+        zlib.compress(b"a b c"), words._pack([(2, 2, 0, " ".join(rng.choices([f"w{k}" for k in range(50)], k=900)).encode())])]}))
+    part.pair()
+    for buckets in (1, 7, 40):
+        whole = {b: at.tolist() for b, at in part.pairs_by_bucket(buckets)}
+        turns = [{b: at.tolist() for b, at in part.pairs_by_bucket(buckets, t, 3)} for t in range(3)]
+        assert {b: at for turn in turns for b, at in turn.items()} == whole and sum(map(len, turns)) == len(whole)
+        assert sorted(i for at in whole.values() for i in at) == list(range(len(part.left)))
