@@ -211,12 +211,12 @@ class Model:
             probs.append((own[level] + mass[level, None] * lower) / total[level, None])
             at[context[level]] = np.arange(count, count + len(level))
             count += len(level)
-        self.probs = np.concatenate(probs)
-        self.logs = np.log2(self.probs).astype(np.float32).ravel()
+        self.logs = np.concatenate([np.log2(p, out=p).astype(np.float32).ravel() for p in probs])
         self.row = at * CLASSES
 
-    def __getstate__(self) -> dict:
-        return {"logs": self.logs, "row": self.row}
+    @property
+    def probs(self) -> np.ndarray:
+        return np.exp2(self.logs.reshape(-1, CLASSES).astype(np.float64))
 
     def bits(self, codes: np.ndarray) -> float:
         return -float(self.logs[self.row[codes >> 6] + (codes & 63)].sum(dtype=np.float64))
@@ -249,7 +249,10 @@ def _collect(model: DataFrame, langs: list[str]) -> dict[str, Model]:
     """Models of a bounded group of languages; each has at most 64^3 + 64^2 + 64 + 1 contexts."""
     rows = model.where(F.col("lang").isin(langs)).select(
         "lang", "length", "context", "total", "mass", F.col("own.class").alias("classes"), F.col("own.kept").alias("kept")).toArrow()
-    return {lang: Model(rows.filter(pc.equal(rows["lang"], lang))) for lang in pc.unique(rows["lang"]).to_pylist()}
+    out = {lang: Model(rows.filter(pc.equal(rows["lang"], lang))) for lang in pc.unique(rows["lang"]).to_pylist()}
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver keeps no more than the models
+    return out
 
 
 def _keys(text: Column) -> list[Column]:

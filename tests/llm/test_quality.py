@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridledger.llm import quality, queries
@@ -115,3 +116,11 @@ def test_query_keeps_good_and_rejects_garbled_text(spark):
     got = queries.op1(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     share = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
     assert share[1] < 0.01 and share[0] > 0.8
+
+
+def test_models_hold_four_bytes_a_probability():
+    rows = pa.table({"length": [0], "context": [0], "total": [4], "mass": [1.5], "classes": [[1, 2]], "kept": [[1.5, 1.0]]})
+    model = quality.Model(rows)
+    assert np.allclose(model.probs[1], (np.bincount([1, 2], [1.5, 1.0], quality.CLASSES) + 1.5 / quality.CLASSES) / 4)
+    held = sum(x.nbytes for x in vars(model).values() if isinstance(x, np.ndarray))
+    assert held == 4 * (2 * quality.CLASSES + quality.CLASSES ** 3)
