@@ -14,12 +14,11 @@ from gridledger.functions.text import blank, strip
 from gridledger.functions.times import parse_period
 from gridledger.session import shared_folder
 from gridledger.sources.landed import (
-    BATCH_BYTES, DAMAGED, UNREADABLE, ArchiveReader, archive_source, chunks, opened)
+    BATCH_BYTES, DAMAGED, UNREADABLE, ArchiveReader, chunks, opened, read_archives)
 
 SERIES_FIELDS = ("series_id", "name", "units", "unitsshort", "f", "last_updated", "description")
 LINE_SCHEMA = "file string, block long, row long, line string"
 SERIES_SUFFIXES = (".txt", ".json", ".jsonl")
-SOURCE = "landed_series_archives"
 #: Lines of a batch, and of a landed file.
 BATCH_ROWS, LANDED_ROWS = 5_000, 100_000
 
@@ -115,9 +114,9 @@ def read_series_archives(spark: SparkSession, path: str, folder: str | None = No
     though a ZIP member itself cannot be split. ``file, block, row`` is the order of archive, member and line.
     A damaged member or archive is one line that is no record; none of its other lines is kept.
     """
-    spark.dataSource.register(archive_source(SOURCE, LINE_SCHEMA, SeriesArchiveReader))
     folder = folder or shared_folder(spark)
-    (spark.read.format(SOURCE).load(path).write.option("maxRecordsPerFile", LANDED_ROWS).parquet(folder))
+    (read_archives(spark, SeriesArchiveReader({"path": path}), LINE_SCHEMA)
+     .write.option("maxRecordsPerFile", LANDED_ROWS).parquet(folder))
     lines = spark.read.parquet(folder)
     faults = lines.where("row < 0")
     whole = lines.where("row >= 0").join(faults.select("file", "block"), ["file", "block"], "left_anti")

@@ -246,3 +246,50 @@ def test_small_members_read_as_rows_equal_the_arrow_reader(tmp_path, monkeypatch
         arrow, small = records(path, 0), records(path, 1 << 16)
         assert small == sorted(arrow, key=lambda r: r["row_no"])
         assert isinstance(first(path), list) or not lines  # no Arrow reader for a small member
+
+
+def test_the_driver_holds_no_name_of_an_archive(spark, tmp_path, monkeypatch):
+    """Tasks list folders within folders; what the driver hands to the reading tasks does not grow with the files."""
+    from gridledger.sources import landed
+
+    for n in range(300):
+        folder = tmp_path / "deep" / f"{n % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"archive{n}.zip").write_bytes(b"" if n % 2 else b"no archive" * 9)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "deep" / "_archive.zip").write_bytes(b"")
+    (tmp_path / "deep" / "gone").symlink_to("nowhere")
+    monkeypatch.setattr(landed, "LISTED", 40, raising=False)  # so that several tasks deal the files
+    df = read_price_archives(spark, f"file://{tmp_path}")
+    handed = [bytes(spark._jvm.org.apache.spark.util.Utils.serialize(p)) for p in df._jdf.queryExecution().toRdd().partitions()]
+    assert not any(b"archive" in p for p in handed) and len(handed) == 8
+    assert sorted((r.path, r.reject_reason) for r in df.collect()) == sorted(
+        (f"file://{tmp_path}/deep/{n % 3}/archive{n}.zip", "empty_response" if n % 2 else "bad_zip") for n in range(300))
+    assert read_price_archives(spark, str(tmp_path / "none")).count() == 0
+    assert read_price_archives(spark, str(tmp_path / "deep" / "0" / "archive0.zip")).count() == 1
+
+
+def test_folders_of_any_store_are_listed_alike(tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+
+    from gridledger.sources import landed
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, body in (("x.zip", b"123"), (".y", b""), ("_z", b""), ("b/in.zip", b"")):
+        (tmp_path / "a" / name).write_bytes(body)
+    want = [("a/b", None), ("a/x.zip", 3)]
+    assert sorted(landed.entries(f"{tmp_path}/a")) == [(f"{tmp_path}/{p}", n) for p, n in want]
+    store = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    monkeypatch.setattr(landed, "file_system", lambda path: (store, path.removeprefix("mem://"), "mem://"))
+    assert sorted(landed.entries("mem://a")) == [(f"mem://{p}", n) for p, n in want]
+
+
+def test_landed_files_are_spread_over_folders(spark, tmp_path):
+    from gridledger.sources import landed
+
+    files = spark.range(2_000).selectExpr("concat('c', id, '.zip') path", "cast('' as binary) content")
+    landed.land_files(files, str(tmp_path / "in"))
+    landed.land_files(files, str(tmp_path / "in"))  # again: the same files
+    held = [len(list(d.iterdir())) for d in (tmp_path / "in").iterdir()]
+    assert sum(held) == 2_000 and len(held) == landed.SPREAD and max(held) < 100
+    assert landed.listed_files(spark, str(tmp_path / "in"))[1] == 2_000
